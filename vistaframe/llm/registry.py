@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, shard
+from . import mixing, shard, topk
 
 QUERIES = {
+    "op1_topk_search": topk.query,
     "op8_sharding": shard.query,
     "op9_mixing": mixing.query,
 }
 
 SQL = {
+    "op1_topk_search": topk.SQL,
     "op9_mixing": mixing.SQL,
 }
