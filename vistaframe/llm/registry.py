@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, shard, topk
+from . import bpe, mixing, shard, topk
 
 QUERIES = {
     "op1_topk_search": topk.query,
+    "op3_bpe": bpe.query,
     "op8_sharding": shard.query,
     "op9_mixing": mixing.query,
 }
