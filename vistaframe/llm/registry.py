@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, shard, topk
+from . import bpe, mixing, neardup, shard, topk
 
 QUERIES = {
     "op1_topk_search": topk.query,
     "op3_bpe": bpe.query,
+    "op6_minhash_near_dedup": neardup.query,
     "op8_sharding": shard.query,
     "op9_mixing": mixing.query,
 }
 
 SQL = {
     "op1_topk_search": topk.SQL,
+    "op6_minhash_near_dedup": neardup.SQL,
     "op9_mixing": mixing.SQL,
 }
