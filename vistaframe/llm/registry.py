@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, neardup, shard, topk
+from . import bpe, mixing, neardup, quality, shard, topk
 
 QUERIES = {
     "op1_topk_search": topk.query,
+    "op2_quality_classifier": quality.query,
     "op3_bpe": bpe.query,
     "op6_minhash_near_dedup": neardup.query,
     "op8_sharding": shard.query,
