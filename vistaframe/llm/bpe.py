@@ -48,7 +48,7 @@ def _class(ranges: str) -> str:
 _L, _N = f"[\\p{{L}}--[{_class(NEWER_LETTERS)}]]", f"[\\p{{N}}--[{_class(NEWER_NUMBERS)}]]"
 #: Pattern of the vocabulary's word cutter.
 CUTTER = rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{_L}+|{_N}|(?:(?!{_L}|{_N})\S)+"
-_WORDS_KEPT = 250_000
+_WORDS_KEPT = 200_000
 
 
 def byte_letters() -> list[str]:
@@ -85,7 +85,7 @@ class Vocabulary:
         self.inner = np.array([vocab[x] for x in letters], np.int64)
         self.last = np.array([vocab[x + END] for x in letters], np.int64)
 
-    def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
+    def encode_words(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each non-empty word."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         raw = np.frombuffer(b"".join(words), np.uint8)
@@ -117,8 +117,9 @@ class Vocabulary:
         owner = np.concatenate(done_owner) if done_owner else np.empty(0, np.int64)
         flat = np.concatenate(done_ids) if done_ids else np.empty(0, np.int64)
         order = np.argsort(owner, kind="stable")
-        bounds = np.cumsum(np.bincount(owner, minlength=len(words)))[:-1]
-        return np.split(flat[order], bounds)
+        ends = np.cumsum(np.bincount(owner, minlength=len(words))).tolist()
+        ids = flat[order].tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 class Encoder:
@@ -128,7 +129,9 @@ class Encoder:
         self.v = vocabulary
         self.cut = regex.compile(CUTTER).findall
         self.marks = regex.compile("(" + "|".join(map(regex.escape, vocabulary.special)) + ")") if vocabulary.special else None
+        self.digits = [str(i) for i in range(len(vocabulary.names))]
         self.known: dict[str, tuple[int, str, str]] = {}
+        self.older: dict[str, tuple[int, str, str]] = {}
 
     def chunks(self, text: str | None) -> list[str]:
         """Stretches without white space (composed and lower-cased), and special tokens."""
@@ -151,27 +154,65 @@ class Encoder:
         return text.split()
 
     def learn(self, chunks: set[str]) -> None:
-        """Encode the chunks that are not known yet, all at once."""
+        """Encode the chunks that are not known yet, all at once.
+
+        Two generations are remembered: chunks that come again outlive the older one.
+        """
         if len(self.known) > _WORDS_KEPT:
-            self.known.clear()
-        new = [c for c in chunks if c not in self.known]
-        pieces = [[] if c[0] == "\0" and c[1:] in self.v.special else [w.encode("utf-8", "surrogatepass") for w in self.cut(c)] for c in new]
-        flat = list({w for ws in pieces for w in ws})
-        ids = dict(zip(flat, self.v.encode_words(flat), strict=True)) if flat else {}
-        names = self.v.names
-        for chunk, ws in zip(new, pieces, strict=True):
-            got = [self.v.special[chunk[1:]]] if chunk[0] == "\0" and chunk[1:] in self.v.special else [int(i) for w in ws for i in ids[w]]
-            self.known[chunk] = (len(got), " ".join(map(str, got)), " ".join(names[i] for i in got))
+            self.known, self.older = {}, self.known
+        new = self._unknown(chunks)
+        special = self.v.special
+        pieces = {c: [] if c[0] == "\0" and c[1:] in special else self._pieces(c) for c in new}
+        words = self._unknown({w for ws in pieces.values() for w in ws})
+        names, digits = self.v.names, self.digits
+        for word, ids in zip(words, self.v.encode_words([w.encode("utf-8", "surrogatepass") for w in words]) if words else [], strict=True):
+            self.known[word] = (len(ids), " ".join([digits[i] for i in ids]), " ".join([names[i] for i in ids]))
+        known = self.known
+        for chunk, ws in pieces.items():
+            if len(ws) == 2:
+                (n, ids, text), (m, more, rest) = known[ws[0]], known[ws[1]]
+                known[chunk] = (n + m, f"{ids} {more}", f"{text} {rest}")
+            elif not ws:
+                i = special.get(chunk[1:]) if chunk[0] == "\0" else None
+                known[chunk] = (0, "", "") if i is None else (1, digits[i], names[i])
+            elif len(ws) > 2:
+                n, ids, text = zip(*[known[w] for w in ws], strict=True)
+                known[chunk] = (sum(n), " ".join(ids), " ".join(text))
+
+    def _pieces(self, chunk: str) -> list[str]:
+        """The words of a chunk; a run of letters, and one with a mark behind it, need no pattern."""
+        if chunk.isalpha():
+            return [chunk]
+        if chunk[-1] in ".,!?;:" and chunk[:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
+        return self.cut(chunk)
+
+    def _unknown(self, chunks: set[str]) -> list[str]:
+        """Those of neither generation; the ones of the older move to the newer."""
+        new = []
+        for c in chunks.difference(self.known):
+            got = self.older.get(c)
+            if got is None:
+                new.append(c)
+            else:
+                self.known[c] = got
+        return new
 
     def encode(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
         """For each text: number of ids, the ids in decimal, the decoded text (joined by a space)."""
         cut = [self.chunks(t) for t in texts]
         self.learn({c for cs in cut for c in cs})
+        find = self.known.__getitem__
         out = []
         for cs in cut:
-            got = [self.known[c] for c in cs]
-            got = [g for g in got if g[0]]
-            out.append((sum(g[0] for g in got), " ".join([g[1] for g in got]), " ".join([g[2] for g in got])))
+            if cs:
+                sizes, ids, names = zip(*map(find, cs), strict=True)
+                n = sum(sizes)
+                if 0 in sizes:  # chunks without an id take no space between ids
+                    ids, names = filter(None, ids), filter(None, names)
+                out.append((n, " ".join(ids), " ".join(names)))
+            else:
+                out.append((0, "", ""))
         return out
 
     def restore(self, ids: list[int]) -> str:
