@@ -10,11 +10,12 @@ All pairs within the threshold therefore share an index key. At J = 0.8 a pair l
 beyond the threshold of 23 of 48 with a probability near 1e-6, less above it.
 
 Documents of equal sets are one class. A bucket (one key) is first joined as a star
-around its smallest member, and each star pair is confirmed on the full sets. Members
-that the star links are one component already; what is left of a bucket is compared
-by signatures in square cells of bounded size, and only pairs within the threshold
-leave a cell, to be confirmed as well. No bucket is held whole in a task, nothing is
-capped, and components come from star contraction over the confirmed links.
+around its smallest member, each star pair is confirmed on the full sets, and the
+confirmed links are contracted to components. Pairs inside one component need no
+further look. Buckets that still hold several components are compared by signatures
+in square cells of bounded size; only pairs of different components within the
+threshold leave a cell, to be confirmed as well. No bucket is held whole in a task,
+nothing is capped, and the final components come from all confirmed links.
 
 Defined cases: a text that is null or without words has an empty set, is linked with
 nothing and is its own component; fewer words than a shingle has count as one shingle;
@@ -155,13 +156,15 @@ def _near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cell_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows of cells to the pairs within the threshold of which one is loose."""
+    """Sorted rows of cells to the pairs of different components within the threshold."""
     name, rows = None, []
 
     def pairs(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
         node = np.array([r["node"] for r in rows], np.int64)
         size = np.array([r["n"] for r in rows], np.int64)
-        loose = np.array([r["loose"] for r in rows], bool)
+        part = np.array([r["part"] for r in rows], np.int64)
+        if (part == part[0]).all():
+            return node[:0], node[:0]
         block = np.array([r["block"] for r in rows])
         sig = np.frombuffer(b"".join(r["sig"] for r in rows), np.uint16).reshape(len(rows), POSITIONS)
         cross = rows[0]["low"] != rows[0]["high"]
@@ -169,7 +172,7 @@ def _cell_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(len(rows)):
             rest = slice(i + 1, None)
             other = (block[rest] != block[i]) if cross else np.ones(len(rows) - i - 1, bool)
-            ask = np.flatnonzero(other & (loose[rest] | loose[i]) & _sizes_fit(size[rest], size[i]) & (node[rest] != node[i])) + i + 1
+            ask = np.flatnonzero(other & (part[rest] != part[i]) & _sizes_fit(size[rest], size[i])) + i + 1
             if len(ask):
                 ask = ask[(sig[ask] != sig[i]).sum(axis=1) <= THRESHOLD]
                 found += [(i, j) for j in ask.tolist()]
@@ -252,17 +255,16 @@ class NearDuplicates:
         near = written(self._with_signatures(spokes), "spokes")
         star_links = self._confirmed(near, "stars")
 
-        linked = star_links.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.lit(True).alias("linked"))
-        marked = placed.join(linked, ["hub", "node"], "left").withColumn("loose", F.col("linked").isNull() & (F.col("node") != F.col("hub")))
-        open_keys = marked.filter("loose").groupBy("key").agg(F.count(F.lit(1)).alias("loose_ones")).join(stars.select("key", "members"), "key")
-        open_keys = open_keys.filter("members > 2").select("key")
-        rest = marked.join(open_keys, "key", "left_semi").filter("node <> hub").select("key", "node", "loose", "members")
+        parts = contract(star_links).select("node", F.col("root").alias("part"))
+        marked = placed.filter("members > 2").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+        open_keys = marked.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("key")
+        rest = marked.join(open_keys, "key", "left_semi").select("key", "node", "part", "members")
         cells = F.ceil(F.col("members") / CELL).cast("int")
         celled = (
             rest.withColumn("cells", cells)
             .withColumn("block", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-            .select("key", "node", "loose", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+            .select("key", "node", "part", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
             .join(self.classes.select("node", "n", "sig"), "node")
             .repartition("key", "low", "high")
             .sortWithinPartitions("key", "low", "high")
