@@ -10,7 +10,8 @@ word and its two neighbours. It is trained with AdaGrad on the exact gradient
 
 With two states the forward and backward messages are odds, and each step is one
 fractional linear map, done for all chains of a batch at once. A document's score is
-the calibrated logistic of its largest marginal (calibrated on the training sample);
+a logistic of its largest marginal, of the sum of its raised marginals and of its
+length, calibrated on the training sample;
 offending offsets are runs of tokens whose marginal reaches one half, as character
 positions in the text.
 
@@ -27,7 +28,6 @@ from __future__ import annotations
 
 import io
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,34 +41,48 @@ from .quality import labelled_sample
 
 BITS = 17
 CHAIN = 64
-SAMPLE = 4000
+SAMPLE = 8000
 EPOCHS, RATE = 6, 0.5
-CUE_LIFT, CUE_LEAST, CUES = 40.0, 0.004, 400
-_KEPT = 400_000
+CUE_LIFT, CUE_LEAST, CUES = 6.0, 0.004, 400
+_KEPT = 200_000
 _EDGE = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-class Codes(dict):
-    """Weight numbers of raw words (bytes): lower-cased, outer punctuation stripped."""
+#: Beginnings of a word, in bytes, that have weights of their own beside the whole word.
+STEMS = (4, 5, 6, 7, 8)
+KINDS = 1 + len(STEMS)
+
+
+class Types(dict):
+    """Numbers of the distinct raw words of a worker, and the weight numbers of each:
+    of the whole word (lower-cased, outer punctuation stripped) and of its beginnings."""
+
+    def __init__(self):
+        super().__init__()
+        self.lists: list[list[int]] = [[] for _ in range(KINDS)]
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= _KEPT:
-            self.clear()
         plain = word.lower().strip(_EDGE)
-        n = self[word] = 1 + xxhash.xxh3_64_intdigest(plain) % ((1 << BITS) - 1) if plain else 1
+        for k, size in enumerate((None, *STEMS)):
+            part = plain[:size]
+            self.lists[k].append(1 + xxhash.xxh3_64_intdigest(part, seed=k) % ((1 << BITS) - 1) if part and (size is None or len(plain) > size) else 0)
+        n = self[word] = len(self.lists[0]) - 1
         return n
 
+    def arrays(self) -> np.ndarray:
+        return np.array(self.lists, np.int64).reshape(KINDS, -1)
+
 
-def codes(text: str | None, known: Codes) -> np.ndarray:
+def types(text: str | None, known: Types) -> np.ndarray:
     ws = utf8(text).split()
     return np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))
 
 
-def neighbours(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def neighbours(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Codes before and after each token, 0 outside the text."""
-    before, after = np.zeros_like(code), np.zeros_like(code)
-    before[1:], after[:-1] = code[:-1], code[1:]
+    before, after = np.zeros_like(word), np.zeros_like(word)
+    before[1:], after[:-1] = word[:-1], word[1:]
     return before, after
 
 
@@ -89,19 +103,29 @@ def marginal_odds(u: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return f.T, b.T, e.T
 
 
+def summary(marginal: np.ndarray) -> np.ndarray:
+    """Log odds of the largest marginal, log sum of the raised ones, log length, one."""
+    if not len(marginal):
+        return np.array([-12.0, np.log(1e-3), 0.0, 1.0])
+    top = min(max(float(marginal.max()), 1e-6), 1 - 1e-6)
+    raised = float(marginal[marginal > 0.01].sum())
+    return np.array([np.log(top / (1 - top)), np.log(raised + 1e-3), np.log1p(len(marginal)), 1.0])
+
+
 class Field:
     """Weights of the field and its training."""
 
     def __init__(self):
-        self.w = np.zeros((3, 1 << BITS))
+        self.w = np.zeros((KINDS + 2, 1 << BITS))
         self.bias, self.trans = -4.0, np.zeros((2, 2))
-        self.scale, self.shift = 1.0, 0.0
+        self.doc = np.array([1.0, 0.0, 0.0, 0.0])
 
-    def evidence(self, code: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
-        return self.w[0][code] + self.w[1][before] + self.w[2][after] + self.bias
+    def evidence(self, rows: np.ndarray) -> np.ndarray:
+        """rows: codes of word, beginnings, previous and next word; code 0 has no weight."""
+        return sum(self.w[k][rows[k]] for k in range(KINDS + 2)) + self.bias
 
     def train(self, rows: np.ndarray, tags: np.ndarray, seed: int = 3) -> None:
-        """rows: (3, chains, CHAIN) codes of word, previous, next; padding has code -1."""
+        """rows: (KINDS + 2, chains, CHAIN) codes as for evidence; padding has code -1."""
         rng = np.random.default_rng(seed)
         g2w, g2b, g2t = np.full_like(self.w, 1e-2), 1e-2, np.full((2, 2), 1e-2)
         real = rows[0] >= 0
@@ -111,7 +135,7 @@ class Field:
                 i = order[at : at + 64]
                 ok, y = real[i], tags[i]
                 x = np.maximum(rows[:, i], 0)
-                u = np.where(ok, self.evidence(*x), -30.0)
+                u = np.where(ok, self.evidence(x), -30.0)
                 a = np.exp(self.trans)
                 f, b, e = marginal_odds(u, a)
                 odds = f * b
@@ -130,37 +154,42 @@ class Field:
                 gb = d.sum() / len(i)
                 g2b += gb**2
                 self.bias -= RATE * gb / np.sqrt(g2b)
-                for k in range(3):
+                for k in range(KINDS + 2):
                     index, inverse = np.unique(x[k][ok], return_inverse=True)
-                    g = np.bincount(inverse, d[ok], len(index)) / len(i) + (1e-5 if k == 0 else 3e-4) * self.w[k][index]
+                    g = np.bincount(inverse, d[ok], len(index)) / len(i) + (1e-5 if k < KINDS else 3e-4) * self.w[k][index]
                     g2w[k][index] += g**2
-                    self.w[k][index] -= RATE * g / np.sqrt(g2w[k][index])
+                    self.w[k][index] -= np.where(index > 0, RATE * g / np.sqrt(g2w[k][index]), 0.0)
+
+    def marginals(self, lists: list[np.ndarray], codes: np.ndarray) -> list[np.ndarray]:
+        """Marginal probability of the toxic state for every token of every text.
 
-    def marginals(self, lists: list[np.ndarray]) -> list[np.ndarray]:
-        """Marginal probability of the toxic state for every token of every text."""
+        lists: numbers of the tokens' types; codes: the weight numbers of each type.
+        """
         sizes = np.array([len(c) for c in lists], np.int64)
         chains = -(-sizes // CHAIN)
         u = np.full(int(chains.sum()) * CHAIN, -30.0)
         if not len(u):
             return [np.empty(0) for _ in lists]
+        own = sum(self.w[k][codes[k]] for k in range(KINDS)) + self.bias
+        as_before, as_after = self.w[KINDS][codes[0]], self.w[KINDS + 1][codes[0]]
         starts = np.cumsum(np.r_[0, chains[:-1]]) * CHAIN
-        for start, code in zip(starts.tolist(), lists, strict=True):
-            if len(code):
-                u[start : start + len(code)] = self.evidence(code, *neighbours(code))
+        for start, at in zip(starts.tolist(), lists, strict=True):
+            if len(at):
+                part = own[at]
+                part[1:] += as_before[at[:-1]]
+                part[:-1] += as_after[at[1:]]
+                u[start : start + len(at)] = part
         f, b, _ = marginal_odds(u.reshape(-1, CHAIN), np.exp(self.trans))
         odds = (f * b).ravel()
         p = odds / (1 + odds)
         return [p[s : s + n] for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
 
     def score(self, marginal: np.ndarray) -> float:
-        top = float(marginal.max()) if len(marginal) else 1e-9
-        top = min(max(top, 1e-9), 1 - 1e-9)
-        z = self.scale * np.log(top / (1 - top)) + self.shift
-        return float(1 / (1 + np.exp(-np.clip(z, -35, 35))))
+        return float(1 / (1 + np.exp(-np.clip(summary(marginal) @ self.doc, -35, 35))))
 
     def save(self) -> bytes:
         out = io.BytesIO()
-        np.savez_compressed(out, w=self.w.astype(np.float32), bias=self.bias, trans=self.trans, scale=self.scale, shift=self.shift)
+        np.savez_compressed(out, w=self.w.astype(np.float32), bias=self.bias, trans=self.trans, doc=self.doc)
         return out.getvalue()
 
     @classmethod
@@ -168,88 +197,97 @@ class Field:
         field = cls()
         with np.load(io.BytesIO(data)) as f:
             field.w, field.trans = f["w"].astype(float), f["trans"]
-            field.bias, field.scale, field.shift = float(f["bias"]), float(f["scale"]), float(f["shift"])
+            field.bias, field.doc = float(f["bias"]), f["doc"]
         return field
 
 
-def cue_words(docs: list[tuple[np.ndarray, int]]) -> set[int]:
-    """Codes that tag tokens: greedy cover of the toxic documents."""
-    toxic = [set(c.tolist()) for c, y in docs if y == 1]
-    clean = Counter(w for c, y in docs if y == 0 for w in set(c.tolist()))
-    n_clean = max(1, sum(1 for _, y in docs if y == 0))
-    n_toxic = max(1, len(toxic))
-    every = Counter(w for s in toxic for w in s)
-    fit = {w for w, n in every.items() if w > 1 and (n / n_toxic) / ((clean[w] + 0.5) / n_clean) >= CUE_LIFT}
-    count = Counter(w for s in toxic for w in s if w in fit)
-    left, cues = toxic, set()
-    least = max(3, CUE_LEAST * n_toxic)
-    while len(cues) < CUES:
-        word, n = max(count.items(), key=lambda x: (x[1], every[x[0]], -x[0]), default=(0, 0))
-        if n < least:
+def cue_features(docs: list[tuple[np.ndarray, int]]) -> np.ndarray:
+    """Features (kind << BITS | code) that tag tokens: a greedy cover of the toxic documents.
+
+    docs: codes (KINDS, tokens) and label of each document.
+    """
+    kinds = np.arange(KINDS, dtype=np.int64)[:, None] << BITS
+    sets = [np.unique((c + kinds)[c > 0]) for c, _ in docs]
+    label = np.array([y for _, y in docs])
+    size = KINDS << BITS
+
+    def frequency(which: np.ndarray) -> np.ndarray:
+        parts = [sets[i] for i in which]
+        return np.bincount(np.concatenate(parts), minlength=size) if parts else np.zeros(size, np.int64)
+
+    toxic, clean = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
+    every = frequency(toxic)
+    lift = (every / max(1, len(toxic))) / ((frequency(clean) + 0.5) / max(1, len(clean)))
+    fit = lift >= CUE_LIFT
+    feats = [sets[i][fit[sets[i]]] for i in toxic]
+    owner = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
+    feat = np.concatenate(feats) if feats else np.empty(0, np.int64)
+    open_ = np.ones(len(feat), bool)
+    least, cues = max(3, CUE_LEAST * len(toxic)), []
+    while len(cues) < CUES and open_.any():
+        count = np.bincount(feat[open_], minlength=size)
+        word = int(np.argmax(count * (1 << 20) + np.minimum(every, (1 << 20) - 1)))  # then the more frequent, then the first
+        if count[word] < least:
             break
-        cues.add(word)
-        rest = []
-        for s in left:
-            if word in s:
-                count.subtract(w for w in s if w in fit)
-            else:
-                rest.append(s)
-        left = rest
-    # words as frequent and as one-sided as the cues stand beside them
-    floor = 0.5 * min((every[w] for w in cues if every[w] >= 0.1 * n_toxic), default=n_toxic)
-    return cues | {w for w in fit if every[w] >= max(floor, 0.1 * n_toxic)}
+        cues.append(word)
+        covered = owner[open_ & (feat == word)]
+        open_ &= ~np.isin(owner, covered)
+    # features as frequent and as one-sided as the cues stand beside them
+    floor = 0.5 * min((every[w] for w in cues if every[w] >= 0.1 * len(toxic)), default=len(toxic))
+    return np.union1d(np.array(cues, np.int64), np.flatnonzero(fit & (every >= max(floor, 0.1 * len(toxic)))))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = Codes()
     for batch in batches:
-        got = [codes(t, known).astype(np.int32).tobytes() for t in batch.column("text").to_pylist()]
+        known = Types()
+        lists = [types(t, known) for t in batch.column("text").to_pylist()]
+        codes = known.arrays()
+        got = [codes[:, at].astype(np.int32).tobytes() for at in lists]
         yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(got, pa.binary())], names=["label", "codes"])
 
 
-def _calibrate(logits: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Scale and shift of a logistic by damped Newton steps."""
-    theta = np.array([0.5, 0.0])
-    x = np.stack([logits, np.ones_like(logits)], axis=1)
-    for _ in range(50):
+def _calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of a logistic by damped Newton steps."""
+    theta = np.zeros(x.shape[1])
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -35, 35)))
         g = x.T @ (p - y) + 0.1 * theta
-        h = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2)
+        h = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(theta))
         step = np.linalg.solve(h, g)
         theta -= step * min(1.0, 1.0 / (np.abs(step).max() + 1e-12))
-    return float(theta[0]), float(theta[1])
+    return theta
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", parts: int = 5, bound: int = SAMPLE) -> bytes:
     """A field learned from labels of documents whose fold is not 0."""
     rows = labelled_sample(docs, labels, column, parts, bound).mapInArrow(_extract, "label int, codes binary").collect()
     rows.sort(key=lambda r: (bytes(r["codes"]), r["label"]))
-    data = [(np.frombuffer(r["codes"], np.int32).astype(np.int64), r["label"]) for r in rows]
+    data = [(np.frombuffer(r["codes"], np.int32).reshape(KINDS, -1), r["label"]) for r in rows]
     field = Field()
     if len({y for _, y in data}) < 2:
         share = float(np.mean([y for _, y in data])) if data else 0.0
-        field.scale, field.shift = 0.0, 35.0 * (2 * share - 1)
+        field.doc = np.array([0.0, 0.0, 0.0, 35.0 * (2 * share - 1)])
         return field.save()
-    cues = np.array(sorted(cue_words(data)), np.int64)
+    cues = cue_features(data)
+    kinds = np.arange(KINDS, dtype=np.int64)[:, None] << BITS
     chains, tags = [], []
     for code, y in data:
-        before, after = neighbours(code)
-        tag = np.isin(code, cues) & (y == 1)
-        size = -(-len(code) // CHAIN) * CHAIN
-        padded = np.full((3, size), -1, np.int64)
-        padded[:, : len(code)] = code, before, after
+        before, after = neighbours(code[0])
+        tag = np.isin(code + kinds, cues).any(axis=0) & (y == 1)
+        size = -(-code.shape[1] // CHAIN) * CHAIN
+        padded = np.full((KINDS + 2, size), -1, np.int64)
+        padded[:, : code.shape[1]] = [*code, before, after]
         marked = np.zeros(size)
-        marked[: len(code)] = tag
-        padded, marked = padded.reshape(3, -1, CHAIN), marked.reshape(-1, CHAIN)
+        marked[: code.shape[1]] = tag
+        padded, marked = padded.reshape(KINDS + 2, -1, CHAIN), marked.reshape(-1, CHAIN)
         pick = np.flatnonzero(marked.any(axis=1))
         plain = np.flatnonzero(~marked.any(axis=1))
         pick = np.union1d(pick[:8], plain[np.linspace(0, len(plain) - 1, 3).astype(int)] if len(plain) else pick[:0])
         chains.append(padded[:, pick])
         tags.append(marked[pick])
     field.train(np.concatenate(chains, axis=1), np.concatenate(tags))
-    tops = np.array([m.max() if len(m) else 1e-9 for m in field.marginals([c for c, _ in data])])
-    tops = np.clip(tops, 1e-9, 1 - 1e-9)
-    field.scale, field.shift = _calibrate(np.log(tops / (1 - tops)), np.array([y for _, y in data], float))
+    x = np.stack([summary(field.marginals([np.arange(code.shape[1])], code)[0]) for code, _ in data])
+    field.doc = _calibrate(x, np.array([y for _, y in data], float))
     return field.save()
 
 
@@ -281,10 +319,13 @@ def tagged(docs: DataFrame, model: bytes, spans: bool = True) -> DataFrame:
     kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("marginal", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field, known = Field.load(sent.value), Codes()
+        field, known = Field.load(sent.value), Types()
         for batch in batches:
+            if len(known) >= _KEPT:
+                known = Types()
             texts = batch.column("text").to_pylist()
-            got = field.marginals([codes(t, known) for t in texts])
+            lists = [types(t, known) for t in texts]
+            got = field.marginals(lists, known.arrays())
             columns = [*batch.columns, pa.array([field.score(m) for m in got], pa.float64())]
             if spans:
                 columns.append(pa.array([offsets(t or "", m) for t, m in zip(texts, got, strict=True)], kind))
