@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, mixing, neardup, quality, shard, topk, toxicity
+from . import bpe, hnsw, langid, mixing, neardup, quality, shard, topk, toxicity
 
 QUERIES = {
     "op1_topk_search": topk.query,
     "op2_quality_classifier": quality.query,
     "op3_bpe": bpe.query,
     "op4_language_id": langid.query,
+    "op5_hnsw_neighbours": hnsw.query,
     "op6_minhash_near_dedup": neardup.query,
     "op8_sharding": shard.query,
     "op9_mixing": mixing.query,

@@ -127,13 +127,18 @@ PACKET = "is_query boolean, width int, ids binary, body binary"
 FOUND = "query_id long, vec_id long, score long"
 
 
-def _search(k: int):
+def over_shards(build, answer):
+    """A kernel for sharded_search: build(ids, vectors) makes a shard's index, and
+    answer(index, ids, vectors) gives rows (query_id, vec_id, score) of a query packet.
+
+    A task holds whole shards, one at a time; a shard's candidates come before its queries.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A task holds whole shards: candidate packets of a shard come before its queries."""
         shard, index, held = None, None, []
         for batch in batches:
             for row in batch.to_pylist():
-                if row["shard"] != (shard and shard[0]) or row["width"] != shard[1]:
+                if (row["shard"], row["width"]) != shard:
                     shard, index, held = (row["shard"], row["width"]), None, []
                 ids = np.frombuffer(row["ids"], np.int64)
                 body = np.frombuffer(row["body"], np.float64).reshape(len(ids), -1)
@@ -141,16 +146,25 @@ def _search(k: int):
                     held.append((ids, body))
                     continue
                 if index is None and held:
-                    index = BlockIndex(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+                    index = build(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
                     held = []
-                if index is None:
-                    continue
-                bounds = index.bounds(body)
-                out: list[tuple] = []
-                for own, query, bound in zip(ids.tolist(), body, bounds, strict=True):
-                    names, scores = index.search(own, query, bound, k)
-                    out += [(own, n, min(max(int(s), -(2**63)), 2**63 - 1)) for n, s in zip(names.tolist(), scores.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], pa.int64()) for j in range(3)], names=["query_id", "vec_id", "score"])
+                if index is not None:
+                    yield answer(index, ids, body)
+
+    return run
+
+
+def found_batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], kind)], names=["query_id", "vec_id", "score"])
+
+
+def _answer(k: int):
+    def run(index: BlockIndex, ids: np.ndarray, body: np.ndarray) -> pa.RecordBatch:
+        out: list[tuple] = []
+        for own, query, bound in zip(ids.tolist(), body, index.bounds(body), strict=True):
+            names, scores = index.search(own, query, bound, k)
+            out += [(own, n, min(max(int(s), -(2**63)), 2**63 - 1)) for n, s in zip(names.tolist(), scores.tolist(), strict=True)]
+        return found_batch(out, pa.int64())
 
     return run
 
@@ -198,7 +212,7 @@ def best_of(found: DataFrame, k: int) -> DataFrame:
 
 def search(vectors: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score. vectors: vec_id, vector of integers as doubles, is_query."""
-    return best_of(sharded_search(vectors, _search(k), FOUND), k)
+    return best_of(sharded_search(vectors, over_shards(BlockIndex, _answer(k)), FOUND), k)
 
 
 def integers(df: DataFrame, scale: float = 256.0, every: int = 50) -> DataFrame:
