@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, hnsw, langid, mixing, neardup, quality, shard, topk, toxicity
+from . import bpe, hnsw, langid, mixing, neardup, pitman_yor, quality, shard, topk, toxicity
 
 QUERIES = {
     "op1_topk_search": topk.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_language_id": langid.query,
     "op5_hnsw_neighbours": hnsw.query,
     "op6_minhash_near_dedup": neardup.query,
+    "op7_lm_scoring": pitman_yor.query,
     "op8_sharding": shard.query,
     "op9_mixing": mixing.query,
     "op10_toxicity": toxicity.query,
