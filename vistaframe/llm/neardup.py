@@ -13,8 +13,10 @@ Documents of equal sets are one class. A bucket (one key) is first joined as a s
 around its smallest member, each star pair is confirmed on the full sets, and the
 confirmed links are contracted to components. Pairs inside one component need no
 further look. Buckets that still hold several components are compared by signatures
-in square cells of bounded size; only pairs of different components within the
-threshold leave a cell, to be confirmed as well. No bucket is held whole in a task,
+in square cells of bounded size, and pairs within the threshold by bit maps of their
+sets, which bound the similarity from above (sets of more than 512 shingles by a
+sample of them, five standard deviations wide); only pairs of different components
+that pass leave a cell, to be confirmed as well. No bucket is held whole in a task,
 nothing is capped, and the final components come from all confirmed links.
 
 Defined cases: a text that is null or without words has an empty set, is linked with
@@ -44,6 +46,7 @@ WIDTH = POSITIONS // CHUNKS
 THRESHOLD = CHUNKS * (ERRORS + 1) - 1
 PERCENT = 80
 CELL = 2048
+MAP_BITS, MAP_SHINGLES = 8192, 512
 BROADCAST_ROWS = 2_000_000
 
 _rng = np.random.default_rng(1999)
@@ -81,6 +84,30 @@ def signature(codes: np.ndarray) -> np.ndarray:
     return (mix(least) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
+def bit_map(codes: np.ndarray) -> tuple[int, int, bytes]:
+    """Level, number of shingles and bit map of the set's part of that level: all of its
+    shingles at level 0, and half as many at each level more."""
+    level = max(0, int(np.ceil(np.log2(len(codes) / MAP_SHINGLES)))) if len(codes) else 0
+    part = mix(codes + np.uint64(0x5851F42D4C957F2D))
+    part = part[(part >> np.uint64(64 - level)) == 0] if level else part
+    bits = np.zeros(MAP_BITS, np.uint8)
+    bits[(part & np.uint64(MAP_BITS - 1)).astype(np.int64)] = 1
+    return level, len(part), np.packbits(bits).tobytes()
+
+
+def _may_reach(size, level, taken, spare, maps, i: int, ask: np.ndarray) -> np.ndarray:
+    """Which of the rows ask can reach the similarity with row i, by their bit maps.
+
+    spare: shingles of a row that share a bit with another of its own.
+    """
+    both = np.bitwise_count(maps[ask] & maps[i]).sum(axis=1) + np.minimum(spare[ask], spare[i])
+    both = np.minimum(both, np.minimum(taken[ask], taken[i]))
+    whole = 100 * both >= PERCENT * (size[ask] + size[i] - both)
+    union = np.maximum(1, taken[ask] + taken[i] - both)
+    part = both / union >= PERCENT / 100 - 5 * np.sqrt(0.16 / union)
+    return np.where(level[ask] != level[i], True, np.where(level[ask] == 0, whole, part))
+
+
 def _node(codes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(codes.tobytes())).astype(np.int64))
 
@@ -114,6 +141,20 @@ def _full_sets(width: int):
     return run
 
 
+def _bit_maps(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordCodes()
+        for batch in batches:
+            sets = [s for s in shingle_sets(batch.column("text").to_pylist(), width, cache) if len(s)]
+            maps = [bit_map(s) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([_node(s) for s in sets], pa.int64()), pa.array([m[0] for m in maps], pa.int32()), pa.array([m[1] for m in maps], pa.int32()), pa.array([m[2] for m in maps], pa.binary())],
+                names=["node", "level", "taken", "map"],
+            )
+
+    return run
+
+
 def index_keys(sigs: np.ndarray) -> np.ndarray:
     """The keys of each signature: chunk, places left out, and the symbols that remain."""
     out = []
@@ -167,6 +208,9 @@ def _cell_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return node[:0], node[:0]
         block = np.array([r["block"] for r in rows])
         sig = np.frombuffer(b"".join(r["sig"] for r in rows), np.uint16).reshape(len(rows), POSITIONS)
+        level, taken = (np.array([r[c] for r in rows], np.int64) for c in ("level", "taken"))
+        maps = np.frombuffer(b"".join(r["map"] for r in rows), np.uint64).reshape(len(rows), -1)
+        spare = taken - np.bitwise_count(maps).sum(axis=1)
         cross = rows[0]["low"] != rows[0]["high"]
         found = []
         for i in range(len(rows)):
@@ -175,6 +219,8 @@ def _cell_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ask = np.flatnonzero(other & (part[rest] != part[i]) & _sizes_fit(size[rest], size[i])) + i + 1
             if len(ask):
                 ask = ask[(sig[ask] != sig[i]).sum(axis=1) <= THRESHOLD]
+            if len(ask):
+                ask = ask[_may_reach(size, level, taken, spare, maps, i, ask)]
                 found += [(i, j) for j in ask.tolist()]
         at = np.array(found, np.int64).reshape(-1, 2)
         return node[at[:, 0]], node[at[:, 1]]
@@ -224,18 +270,23 @@ class NearDuplicates:
         members = self.described.filter("node IS NOT NULL")
         self.classes = written(members.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("text_code").alias("text_code"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
 
+    def _texts(self, nodes: DataFrame, name: str) -> DataFrame | None:
+        """One text of each of the nodes (and perhaps of others that share its id and code)."""
+        need = written(nodes.distinct().join(self.classes, "node").select("rep", "text_code").distinct(), f"need-{name}")
+        count = need.count()
+        if not count:
+            return None
+        coded = self.docs.withColumn("text_code", F.xxhash64("text"))
+        need = checked_broadcast(need, count)
+        found = coded.join(need, (coded["text_code"] == need["text_code"]) & coded["doc_id"].eqNullSafe(need["rep"]), "left_semi")
+        return found.dropDuplicates(["doc_id", "text_code"]).select("text")
+
     def _confirmed(self, pairs: DataFrame, name: str) -> DataFrame:
         """Pairs (a, b) of nodes that reach the similarity on their full sets."""
-        need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        texts = written(need.join(self.classes, "node").select("rep", "text_code"), f"need-{name}")
-        count = texts.count()
-        if not count:
+        texts = self._texts(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), name)
+        if texts is None:
             return pairs.limit(0)
-        coded = self.docs.withColumn("text_code", F.xxhash64("text"))
-        asked = checked_broadcast(texts.distinct(), count)
-        found = coded.join(asked, (coded["text_code"] == asked["text_code"]) & coded["doc_id"].eqNullSafe(asked["rep"]), "left_semi")
-        sets = found.dropDuplicates(["doc_id", "text_code"]).select("text").mapInArrow(_full_sets(self.width), "node long, codes binary")
-        sets = written(sets, f"sets-{name}")
+        sets = written(texts.mapInArrow(_full_sets(self.width), "node long, codes binary"), f"sets-{name}")
         left = sets.select(F.col("node").alias("a"), F.col("codes").alias("codes_a"))
         right = sets.select(F.col("node").alias("b"), F.col("codes").alias("codes_b"))
         both = pairs.join(right, "b").join(left, "a").select("a", "b", "codes_a", "codes_b")
@@ -258,14 +309,18 @@ class NearDuplicates:
         parts = contract(star_links).select("node", F.col("root").alias("part"))
         marked = placed.filter("members > 2").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
         open_keys = marked.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("key")
-        rest = marked.join(open_keys, "key", "left_semi").select("key", "node", "part", "members")
+        rest = written(marked.join(open_keys, "key", "left_semi").select("key", "node", "part", "members"), "open")
+        texts = self._texts(rest.select("node"), "open")
+        if texts is None:
+            return star_links
+        maps = written(texts.mapInArrow(_bit_maps(self.width), "node long, level int, taken int, map binary"), "maps")
         cells = F.ceil(F.col("members") / CELL).cast("int")
         celled = (
             rest.withColumn("cells", cells)
             .withColumn("block", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
             .select("key", "node", "part", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-            .join(self.classes.select("node", "n", "sig"), "node")
+            .join(self.classes.select("node", "n", "sig").join(maps, "node"), "node")
             .repartition("key", "low", "high")
             .sortWithinPartitions("key", "low", "high")
         )
