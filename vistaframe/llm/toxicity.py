@@ -41,7 +41,7 @@ from .quality import labelled_sample
 
 BITS = 17
 CHAIN = 64
-SAMPLE = 8000
+SAMPLE = 5000
 EPOCHS, RATE = 6, 0.5
 CUE_LIFT, CUE_LEAST, CUES = 6.0, 0.004, 400
 _KEPT = 200_000
@@ -133,7 +133,7 @@ class Field:
             order = rng.permutation(len(tags))
             for at in range(0, len(order), 64):
                 i = order[at : at + 64]
-                ok, y = real[i], tags[i]
+                ok, y = real[i], tags[i].astype(float)
                 x = np.maximum(rows[:, i], 0)
                 u = np.where(ok, self.evidence(x), -30.0)
                 a = np.exp(self.trans)
@@ -207,7 +207,7 @@ def cue_features(docs: list[tuple[np.ndarray, int]]) -> np.ndarray:
     docs: codes (KINDS, tokens) and label of each document.
     """
     kinds = np.arange(KINDS, dtype=np.int64)[:, None] << BITS
-    sets = [np.unique((c + kinds)[c > 0]) for c, _ in docs]
+    sets = [np.unique((c + kinds)[c > 0]).astype(np.int32) for c, _ in docs]
     label = np.array([y for _, y in docs])
     size = KINDS << BITS
 
@@ -261,8 +261,9 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", parts: int = 5, bound: int = SAMPLE) -> bytes:
     """A field learned from labels of documents whose fold is not 0."""
     rows = labelled_sample(docs, labels, column, parts, bound).mapInArrow(_extract, "label int, codes binary").collect()
-    rows.sort(key=lambda r: (bytes(r["codes"]), r["label"]))
-    data = [(np.frombuffer(r["codes"], np.int32).reshape(KINDS, -1), r["label"]) for r in rows]
+    data = sorted((bytes(r["codes"]), r["label"]) for r in rows)
+    del rows
+    data = [(np.frombuffer(c, np.int32).reshape(KINDS, -1), y) for c, y in data]
     field = Field()
     if len({y for _, y in data}) < 2:
         share = float(np.mean([y for _, y in data])) if data else 0.0
@@ -275,17 +276,20 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", parts: int =
         before, after = neighbours(code[0])
         tag = np.isin(code + kinds, cues).any(axis=0) & (y == 1)
         size = -(-code.shape[1] // CHAIN) * CHAIN
-        padded = np.full((KINDS + 2, size), -1, np.int64)
+        padded = np.full((KINDS + 2, size), -1, np.int32)
         padded[:, : code.shape[1]] = [*code, before, after]
-        marked = np.zeros(size)
+        marked = np.zeros(size, np.int8)
         marked[: code.shape[1]] = tag
         padded, marked = padded.reshape(KINDS + 2, -1, CHAIN), marked.reshape(-1, CHAIN)
         pick = np.flatnonzero(marked.any(axis=1))
         plain = np.flatnonzero(~marked.any(axis=1))
-        pick = np.union1d(pick[:8], plain[np.linspace(0, len(plain) - 1, 3).astype(int)] if len(plain) else pick[:0])
+        pick = np.union1d(pick[:4], plain[np.linspace(0, len(plain) - 1, 2).astype(int)] if len(plain) else pick[:0])
         chains.append(padded[:, pick])
         tags.append(marked[pick])
-    field.train(np.concatenate(chains, axis=1), np.concatenate(tags))
+    rows, marks = np.concatenate(chains, axis=1), np.concatenate(tags)
+    del chains, tags
+    field.train(rows, marks)
+    del rows, marks
     x = np.stack([summary(field.marginals([np.arange(code.shape[1])], code)[0]) for code, _ in data])
     field.doc = _calibrate(x, np.array([y for _, y in data], float))
     return field.save()
