@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_ENTRIES: dict[str, tuple[Callable, str | None]] = {}
+from .base import ENTRIES
+
+for _name in ("sight_queries",):
+    import_module(f".{_name}", __package__)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["g04_sparse_sight_lines"](spark, sf_dir)
+    return ENTRIES["g04_sparse_sight_lines"][0](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: run for name, (run, _) in _ENTRIES.items()}
+    return {name: run for name, (run, _) in ENTRIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _ENTRIES.items() if sql}
+    return {name: sql for name, (_, sql) in ENTRIES.items() if sql}
