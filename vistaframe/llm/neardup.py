@@ -297,8 +297,9 @@ class NearDuplicates:
         two = self.classes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
         return pairs.join(one, "a").join(two, "b").mapInArrow(_near_pairs, "a long, b long")
 
-    def links(self) -> DataFrame:
-        """Confirmed links (a < b) that connect every pair of similar classes."""
+    def links(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Confirmed links (a, b) of stars; node, part of their components; and confirmed
+        links between parts. Together they connect every pair of similar classes."""
         keys = self.classes.select("node", "sig").mapInArrow(_keys, "key long, node long")
         stars = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("members")).filter("members > 1")
         placed = written(keys.join(stars, "key").select("key", "hub", "node", "members"), "buckets")
@@ -307,12 +308,13 @@ class NearDuplicates:
         star_links = self._confirmed(near, "stars")
 
         parts = contract(star_links).select("node", F.col("root").alias("part"))
+        nothing = star_links.limit(0)
         marked = placed.filter("members > 2").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
         open_keys = marked.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("key")
         rest = written(marked.join(open_keys, "key", "left_semi").select("key", "node", "part", "members"), "open")
         texts = self._texts(rest.select("node"), "open")
         if texts is None:
-            return star_links
+            return star_links, parts, nothing
         maps = written(texts.mapInArrow(_bit_maps(self.width), "node long, level int, taken int, map binary"), "maps")
         cells = F.ceil(F.col("members") / CELL).cast("int")
         celled = (
@@ -326,12 +328,18 @@ class NearDuplicates:
         )
         more = celled.mapInArrow(_cell_pairs, "a long, b long").distinct()
         more = written(more.join(near, ["a", "b"], "left_anti"), "more")
-        return star_links.union(self._confirmed(more, "cells"))
+        return star_links, parts, self._confirmed(more, "cells")
 
     def components(self) -> DataFrame:
         """doc_id, text_code, n_shingles, component_id of every row."""
-        roots = contract(self.links())
-        labels = self.classes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        _, parts, bridges = self.links()
+        for end in ("a", "b"):  # links between parts, each once
+            side = parts.select(F.col("node").alias(end), F.col("part").alias(f"part_{end}"))
+            bridges = bridges.join(side, end, "left").withColumn(f"part_{end}", F.coalesce(f"part_{end}", end))
+        bridges = bridges.select(F.col("part_a").alias("a"), F.col("part_b").alias("b")).distinct()
+        roots = contract(bridges).select(F.col("node").alias("part"), "root")
+        labels = self.classes.select("node", "rep").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+        labels = labels.join(roots, "part", "left").withColumn("root", F.coalesce("root", "part"))
         least = labels.groupBy("root").agg(F.min("rep").alias("component_id"))
         named = labels.join(least, "root").select("node", "component_id")
         rows = self.described.select("doc_id", "text_code", "n_shingles", "node").join(named, "node", "left")
