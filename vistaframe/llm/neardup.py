@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCodes, mix, small_batches, table, word_codes, written
+from .common import WordCodes, fresh, mix, small_batches, table, word_codes, written
 
 POSITIONS, CHUNKS, ERRORS = 48, 12, 1
 WIDTH = POSITIONS // CHUNKS
@@ -169,6 +169,16 @@ def index_keys(sigs: np.ndarray) -> np.ndarray:
     return np.stack(out, axis=1) if len(sigs) else np.empty((0, 0), np.int64)
 
 
+def first_shared(same: np.ndarray) -> np.ndarray:
+    """Number (chunk * 64 + choice) of the first key that pairs share, from their equal
+    positions: a pair meets in many buckets and is looked at in this one only."""
+    choices = list(combinations(range(WIDTH), ERRORS))
+    differ = ~same.reshape(len(same), CHUNKS, WIDTH)
+    hit = np.stack([(differ.sum(axis=2) - differ[:, :, list(c)].sum(axis=2)) == 0 for c in choices], axis=2)
+    at = hit.reshape(len(same), -1).argmax(axis=1)
+    return at // len(choices) * 64 + at % len(choices)
+
+
 def _signatures(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), POSITIONS)
 
@@ -212,6 +222,7 @@ def _cell_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps = np.frombuffer(b"".join(r["map"] for r in rows), np.uint64).reshape(len(rows), -1)
         spare = taken - np.bitwise_count(maps).sum(axis=1)
         cross = rows[0]["low"] != rows[0]["high"]
+        rank = (rows[0]["key"] >> (16 * (WIDTH - ERRORS))) & 0xFFFF
         found = []
         for i in range(len(rows)):
             rest = slice(i + 1, None)
@@ -219,6 +230,8 @@ def _cell_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ask = np.flatnonzero(other & (part[rest] != part[i]) & _sizes_fit(size[rest], size[i])) + i + 1
             if len(ask):
                 ask = ask[(sig[ask] != sig[i]).sum(axis=1) <= THRESHOLD]
+            if len(ask):
+                ask = ask[first_shared(sig[ask] == sig[i]) == rank]
             if len(ask):
                 ask = ask[_may_reach(size, level, taken, spare, maps, i, ask)]
                 found += [(i, j) for j in ask.tolist()]
@@ -268,11 +281,11 @@ class NearDuplicates:
         coded = self.docs.withColumn("text_code", F.xxhash64("text"))
         self.described = written(coded.mapInArrow(_describe(width), "doc_id long, text_code long, n_shingles long, node long, sig binary"), "described")
         members = self.described.filter("node IS NOT NULL")
-        self.classes = written(members.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("text_code").alias("text_code"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
+        self.classes = written(members.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "text_code")).alias("row"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
 
     def _texts(self, nodes: DataFrame, name: str) -> DataFrame | None:
         """One text of each of the nodes (and perhaps of others that share its id and code)."""
-        need = written(nodes.distinct().join(self.classes, "node").select("rep", "text_code").distinct(), f"need-{name}")
+        need = written(nodes.distinct().join(self.classes, "node").select(F.col("row.doc_id").alias("rep"), F.col("row.text_code").alias("text_code")).distinct(), f"need-{name}")
         count = need.count()
         if not count:
             return None
@@ -380,18 +393,19 @@ def deduplicated(docs: DataFrame, width: int = 5) -> DataFrame:
     rows = written(rows.select("doc_id", "text_code", (F.col("n_shingles") > 0).alias("has"), F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")), "verdicts")
     gone = rows.filter("has AND NOT kept").select(F.col("doc_id").alias("gone_id"), F.col("text_code").alias("gone_code")).distinct()
     twice = rows.filter("has AND kept").groupBy("doc_id", "text_code").count().filter("count > 1").select(F.col("doc_id").alias("gone_id"), F.col("text_code").alias("gone_code"))
-    coded = docs.withColumn("_code", F.xxhash64(F.col("text").cast("string")))
+    code = fresh(docs, "code")
+    coded = docs.withColumn(code, F.xxhash64(F.col("text").cast("string")))
 
     def hit(side: DataFrame):
-        return (coded["_code"] == side["gone_code"]) & coded["doc_id"].cast("long").eqNullSafe(side["gone_id"])
+        return (coded[code] == side["gone_code"]) & coded["doc_id"].cast("long").eqNullSafe(side["gone_id"])
 
     out = gone.unionByName(twice)
     n_out, n_twice = out.count(), twice.count()
     out = checked_broadcast(out, n_out)
-    kept = coded.join(out, hit(out), "left_anti").drop("_code")
+    kept = coded.join(out, hit(out), "left_anti").drop(code)
     if n_twice:
         side = checked_broadcast(twice, n_twice)
-        kept = kept.unionByName(coded.join(side, hit(side), "left_semi").dropDuplicates(["doc_id", "_code"]).drop("_code"))
+        kept = kept.unionByName(coded.join(side, hit(side), "left_semi").dropDuplicates(["doc_id", code]).drop(code))
     return kept
 
 
