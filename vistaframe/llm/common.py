@@ -97,6 +97,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def kept_rows(docs: DataFrame, text: str, make_test) -> DataFrame:
+    """Rows of docs, unchanged and with its schema, whose text passes; make_test() gives, in
+    the worker, a function from a list of texts to a list of booleans."""
+    import pyarrow as pa
+
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        test = make_test()
+        for batch in batches:
+            keep = test(batch.column(text).cast(pa.string()).to_pylist())
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 LETTER = re.compile(r"[^\W\d_]")
 

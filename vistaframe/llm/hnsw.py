@@ -82,7 +82,7 @@ def diverse(vectors: np.ndarray, ids: np.ndarray, sims: np.ndarray, most: int) -
     near = np.einsum("bid,bjd->bij", body, body)
     chosen = np.zeros(ids.shape, bool)
     for j in range(ids.shape[1]):
-        blocked = (np.where(chosen[:, :j], near[:, j, :j], -np.inf) >= sims[:, j : j + 1]).any(axis=1) if j else False
+        blocked = (np.where(chosen[:, :j], near[:, j, :j], -np.inf) >= sims[:, j : j + 1]).any(axis=1) if j else np.zeros(len(ids), bool)
         chosen[:, j] = real[:, j] & ~blocked & (chosen.sum(axis=1) < most)
     rank = np.where(chosen, 0, np.where(real, 1, 2)) * ids.shape[1] + np.arange(ids.shape[1])
     pick = np.argsort(rank, axis=1, kind="stable")[:, :most]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTER, crc_fold, sample_ids, small_batches, table
+from .common import LETTER, crc_fold, kept_rows, sample_ids, small_batches, table
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 12, 8
 SAMPLE, WINDOWS = 2400, 4
@@ -212,6 +212,22 @@ def identified(docs: DataFrame, model: bytes) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def recognised(docs: DataFrame, model: bytes, least: float = 0.5) -> DataFrame:
+    """Rows of docs, unchanged, with a letter and a language at least that probable."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        scorer = Scorer(Network.load(sent.value))
+
+        def test(texts):
+            langs, scores = scorer.predict(texts)
+            return [lang != UNKNOWN and p >= least for lang, p in zip(langs, scores, strict=True)]
+
+        return test
+
+    return kept_rows(docs, "text", make)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, table, written
+from .common import WORD_PATTERN, fresh, table, written
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -98,10 +98,12 @@ def mixed(docs: DataFrame) -> DataFrame:
     document off its target.
     """
     shares = plan(docs).select("doc_id", "size", (F.col("whole") + F.when(F.col("rest") * 2 >= F.greatest("size", F.lit(1)), 1).otherwise(0)).cast("int").alias("copies"))
-    shares = shares.filter("copies > 0").groupBy("doc_id").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows_of_id"))
-    kept = docs.join(shares.withColumnRenamed("doc_id", "mix_id"), F.col("doc_id").eqNullSafe(F.col("mix_id")))
+    shares = shares.filter("copies > 0 AND size > 0").groupBy("doc_id").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows_of_id"))
+    share, copy = fresh(docs, "share"), fresh(docs, "copy")
     every = F.greatest(F.lit(1), F.ceil(F.col("copies") / F.col("rows_of_id"))).cast("int")
-    return kept.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), every))).select(*docs.columns)
+    side = shares.select(F.struct("doc_id", every.alias("times")).alias(share))
+    kept = docs.join(side, docs["doc_id"].cast("long").eqNullSafe(F.col(share)["doc_id"]))
+    return kept.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(share)["times"]))).select(*[docs[c] for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, mix, sample_ids, small_batches, table, utf8
+from .common import crc_fold, kept_rows, mix, sample_ids, small_batches, table, utf8
 
 BITS = 18
 SAMPLE = 4000
@@ -188,6 +188,17 @@ def scored(docs: DataFrame, model: bytes) -> DataFrame:
 THRESHOLD = 0.3
 
 
+def accepted(docs: DataFrame, model: bytes, least: float = THRESHOLD) -> DataFrame:
+    """Rows of docs, unchanged, that score at least least."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        weights, features = np.load(io.BytesIO(sent.value)).astype(float), Features()
+        return lambda texts: [score(weights, *f) >= least for f in features.of_batch(texts)]
+
+    return kept_rows(docs, "text", make)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = fit(docs, labels)

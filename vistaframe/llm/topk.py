@@ -54,6 +54,9 @@ def cut_ranges(matrix: np.ndarray, block: int = BLOCK_ROWS) -> np.ndarray:
     return np.concatenate(done) if done else np.arange(0)
 
 
+_whole = np.frompyfunc(int, 1, 1)  # integers of any size
+
+
 class BlockIndex:
     """Blocks of one shard: term maxima and minima, and forward indexes."""
 
@@ -85,7 +88,7 @@ class BlockIndex:
                 take = take[bound[take] + slack >= floor]
             at, wave = at + wave, wave * 2
             block = self.forward[take].reshape(-1, len(query))
-            got = block @ query if exact else (block.astype(object) @ query.astype(object))
+            got = block @ query if exact else _whole(block) @ _whole(query)
             name = self.block_ids[take].ravel()
             real = self.real[take].ravel() & (name != own)
             self.scored += len(take)
