@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from vistaframe.llm import bpe, langid, mixing, neardup, quality
 from vistaframe.llm.common import table, written
@@ -26,17 +25,13 @@ LEAST_LANGUAGE = 0.5
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that the classifier, learned from the label table, accepts."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    names = docs.columns
-    scored = quality.scored(docs, model)
-    return scored.filter(F.col("score") >= LEAST_QUALITY).select(*names)
+    return quality.accepted(docs, model, LEAST_QUALITY)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language is recognised."""
     model = langid.fit(docs)
-    names = docs.columns
-    named = langid.identified(docs, model)
-    return named.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)).select(*names)
+    return langid.recognised(docs, model, LEAST_LANGUAGE)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
