@@ -259,7 +259,7 @@ def f31(spark, d):
 WAYS = "SELECT l_orderkey AS way, l_linenumber AS n, l_partkey % 260 AS node FROM {lineitem}"
 
 
-@query("f33_way_completeness", f"SELECT way, count(*) >= 2 AND count(*) FILTER (node >= 250) = 0 AS complete FROM ({WAYS}) GROUP BY way")
+@query("f33_way_completeness", f"SELECT way, count(*) >= 2 AND count(*) FILTER (node <> 0 AND node NOT IN (SELECT c_custkey FROM {{customer}} WHERE c_custkey < 250)) = 0 AS complete FROM ({WAYS}) GROUP BY way")
 def f33(spark, d):
     nodes = frame(spark, d, "SELECT CAST(c_custkey AS BIGINT) AS node, 1 AS hit FROM {customer} WHERE c_custkey < 250").unionByName(spark.range(1).select(F.lit(0).cast("long").alias("node"), F.lit(1).alias("hit"))).dropDuplicates(["node"])
     return frame(spark, d, WAYS).join(nodes, "node", "left").groupBy("way").agg(((n() >= 2) & (F.count_if(F.col("hit").isNull()) == 0)).alias("complete"))

@@ -36,10 +36,12 @@ def current_observations(stream: DataFrame, visits: DataFrame, key: str, at: str
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """events as a stream of files, with ts as an instant."""
-    schema = spark.read.parquet(path).schema
-    folder, _, name = path.rstrip("/").rpartition("/")
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    """events (a Parquet file or a folder of them) as a stream, with ts as an instant.
+
+    The path goes in as a pattern of itself: a stream takes one file only that way.
+    """
+    path = path.rstrip("/")
+    raw = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
