@@ -343,10 +343,10 @@ def o13(spark, d):
 # -- sets ------------------------------------------------------------------------------
 
 
-@query("u03_concatenated_layers", "SELECT 'customer' AS layer, c_name AS name FROM {customer} WHERE c_custkey <= 40 UNION ALL SELECT 'supplier', s_name FROM {supplier} WHERE s_suppkey <= 40")
+@query("u03_concatenated_layers", "SELECT 'customer' AS layer, c_name AS name FROM {customer} UNION ALL SELECT 'supplier', s_name FROM {supplier}")
 def u03(spark, d):
-    a = frame(spark, d, "SELECT 'customer' AS layer, c_name AS name FROM {customer} WHERE c_custkey <= 40")
-    return a.unionByName(frame(spark, d, "SELECT 'supplier' AS layer, s_name AS name FROM {supplier} WHERE s_suppkey <= 40"))
+    a = frame(spark, d, "SELECT 'customer' AS layer, c_name AS name FROM {customer}")
+    return a.unionByName(frame(spark, d, "SELECT 'supplier' AS layer, s_name AS name FROM {supplier}"))
 
 
 @query("u04_expected_minus_assembled", "SELECT p_partkey AS id FROM {part} EXCEPT SELECT l_partkey FROM {lineitem} WHERE l_quantity > 10")

@@ -154,11 +154,11 @@ def s14(spark, d):
     return frame(spark, d, "SELECT * FROM {part}").select(F.col("p_partkey").alias("source_id"), h.alias("height_m"), h.isNull().alias("unresolved"))
 
 
-@query("s17_context_nodes", "SELECT 'n' || c_custkey AS id, c_mktsegment AS tag FROM {customer} WHERE c_custkey <= 200")
+@query("s17_context_nodes", "SELECT 'n' || c_custkey AS id, c_mktsegment AS tag FROM {customer}")
 def s17(spark, d):
-    rows = frame(spark, d, "SELECT * FROM {customer} WHERE c_custkey <= 200")
+    rows = frame(spark, d, "SELECT * FROM {customer}")
     node = F.struct(F.concat(F.lit("n"), F.col("c_custkey")).alias("id"), F.lit(127.0).alias("lon"), F.lit(37.5).alias("lat"), F.create_map(F.lit("seg"), F.col("c_mktsegment")).alias("tags"))
-    body = rows.agg(F.to_json(F.struct(F.lit(1).alias("schema_version"), F.collect_list(node).alias("nodes"), F.array().cast("array<struct<u:string>>").alias("edges"))).alias("body"))
+    body = rows.groupBy("c_mktsegment", F.floor(F.col("c_custkey") / 500)).agg(F.to_json(F.struct(F.lit(1).alias("schema_version"), F.collect_list(node).alias("nodes"), F.array().cast("array<struct<u:string>>").alias("edges"))).alias("body"))
     nodes, _ = contexts.split_context(body.select(F.from_json("body", contexts.CONTEXT).alias("c")).select("c.*"))
     return nodes.select("id", F.element_at("tags", "seg").alias("tag"))
 

@@ -115,7 +115,7 @@ def histogram(spark, sf_dir):
     return states.join(sparse(spark, sf_dir).groupBy("state").agg(F.count(F.lit(1)).alias("n")), "state", "left").select("state", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-TARGETS = "SELECT CAST(s_suppkey AS BIGINT) AS target_id, CAST(20 + s_suppkey * 11 % 24 AS INTEGER) AS trow, CAST(20 + s_suppkey * 5 % 24 AS INTEGER) AS tcol, CAST(40 + s_suppkey % 25 AS DOUBLE) AS tz FROM {supplier} WHERE s_suppkey <= 6"
+TARGETS = "SELECT CAST(s_suppkey AS BIGINT) AS target_id, CAST(20 + s_suppkey * 11 % 24 AS INTEGER) AS trow, CAST(20 + s_suppkey * 5 % 24 AS INTEGER) AS tcol, CAST(40 + s_suppkey % 25 AS DOUBLE) AS tz FROM {supplier}"
 RADIUS = 60.0
 DENSE = f"""WITH {grids.SYNTHETIC_SQL}, targets AS ({TARGETS}),
 around AS (SELECT t.*, g.*, (g.row - trow) * (g.row - trow) * {RES * RES} + (g.col - tcol) * (g.col - tcol) * {RES * RES} AS d2,
@@ -148,7 +148,7 @@ BEARINGS = """
 SELECT CAST(c_custkey AS BIGINT) AS ray_id, 30.5 AS c0, 30.5 AS r0, 30.0 AS z0, 30.0 AS z1,
   CASE c_custkey % 4 WHEN 0 THEN 30.5 WHEN 1 THEN 60.25 WHEN 2 THEN 30.5 ELSE 1.25 END + (c_custkey % 7) AS c1,
   CASE c_custkey % 4 WHEN 0 THEN 2.5 WHEN 1 THEN 30.5 WHEN 2 THEN 60.25 ELSE 30.5 END + (c_custkey % 5) * 0.5 AS r1
-FROM {customer} WHERE c_custkey <= 140"""
+FROM {customer}"""
 ANGLE = lambda d: f"degrees(atan2(s - z0 - (6.0::DOUBLE / 7) * ({d}) * ({d}) / {EARTH_DIAMETER_M}, {d}))"
 BEARINGS_T = BEARINGS.replace("AS c0", "::DOUBLE AS c0").replace("AS r0", "::DOUBLE AS r0").replace("AS z0", "::DOUBLE AS z0").replace("30.0 AS z1", "30.0::DOUBLE AS z1").replace("(c_custkey % 7) AS c1", "(c_custkey % 7)::DOUBLE AS c1").replace("* 0.5 AS r1", "* 0.5::DOUBLE AS r1")
 
