@@ -48,7 +48,7 @@ def _class(ranges: str) -> str:
 _L, _N = f"[\\p{{L}}--[{_class(NEWER_LETTERS)}]]", f"[\\p{{N}}--[{_class(NEWER_NUMBERS)}]]"
 #: Pattern of the vocabulary's word cutter.
 CUTTER = rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{_L}+|{_N}|(?:(?!{_L}|{_N})\S)+"
-_WORDS_KEPT = 200_000
+_WORDS_KEPT = 160_000
 
 
 def byte_letters() -> list[str]:

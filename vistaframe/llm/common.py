@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch of documents; keeps a batch to a few MB of typical text.
 DOC_BATCH = 1024
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
