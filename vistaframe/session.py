@@ -2,8 +2,33 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
+_ROOT = Path(__file__).resolve().parent.parent
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package where the environment does not provide it.
+
+    The workers find it on PYTHONPATH or in the working folder; elsewhere Spark sends
+    them a zip of the sources, once for a session.
+    """
+    context = spark.sparkContext
+    known = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
+    if getattr(context, "_vistaframe_shipped", False) or str(_ROOT) in map(os.path.abspath, filter(None, known)):
+        return
+    path = os.path.join(tempfile.mkdtemp(), "vistaframe.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted((_ROOT / "vistaframe").rglob("*.py")):
+            z.write(f, f.relative_to(_ROOT))
+    context.addPyFile(path)
+    context._vistaframe_shipped = True
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table; read through Spark so that any file system works."""
