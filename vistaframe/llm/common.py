@@ -10,6 +10,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Rows in an Arrow batch of documents; keeps a batch to a few MB of typical text.
 DOC_BATCH = 1024
 _CACHE_WORDS = 250_000
@@ -20,7 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows that a Python worker holds at once."""
+    """Bound the rows that a Python worker holds at once, and let workers import us."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(DOC_BATCH))
 
 
