@@ -47,6 +47,7 @@ THRESHOLD = CHUNKS * (ERRORS + 1) - 1
 PERCENT = 80
 CELL = 2048
 MAP_BITS, MAP_SHINGLES = 8192, 512
+BEST_PAIRS = 2
 BROADCAST_ROWS = 2_000_000
 
 _rng = np.random.default_rng(1999)
@@ -95,8 +96,9 @@ def bit_map(codes: np.ndarray) -> tuple[int, int, bytes]:
     return level, len(part), np.packbits(bits).tobytes()
 
 
-def _may_reach(size, level, taken, spare, maps, i: int, ask: np.ndarray) -> np.ndarray:
-    """Which of the rows ask can reach the similarity with row i, by their bit maps.
+def _may_reach(size, level, taken, spare, maps, i: int, ask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the rows ask can reach the similarity with row i, by their bit maps, and
+    how alike they are at most.
 
     spare: shingles of a row that share a bit with another of its own.
     """
@@ -105,7 +107,7 @@ def _may_reach(size, level, taken, spare, maps, i: int, ask: np.ndarray) -> np.n
     whole = 100 * both >= PERCENT * (size[ask] + size[i] - both)
     union = np.maximum(1, taken[ask] + taken[i] - both)
     part = both / union >= PERCENT / 100 - 5 * np.sqrt(0.16 / union)
-    return np.where(level[ask] != level[i], True, np.where(level[ask] == 0, whole, part))
+    return np.where(level[ask] != level[i], True, np.where(level[ask] == 0, whole, part)), both / union
 
 
 def _node(codes: np.ndarray) -> int:
@@ -206,9 +208,9 @@ def _near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
 
-def _cell_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows of cells to the pairs of different components within the threshold."""
-    name, rows = None, []
+def _cell_pairs(best: int | None):
+    """Sorted rows of cells to the pairs of different components within the threshold: the
+    best of every two components in a cell (by their bit maps), or all."""
 
     def pairs(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
         node = np.array([r["node"] for r in rows], np.int64)
@@ -223,7 +225,7 @@ def _cell_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spare = taken - np.bitwise_count(maps).sum(axis=1)
         cross = rows[0]["low"] != rows[0]["high"]
         rank = (rows[0]["key"] >> (16 * (WIDTH - ERRORS))) & 0xFFFF
-        found = []
+        found, scores = [], []
         for i in range(len(rows)):
             rest = slice(i + 1, None)
             other = (block[rest] != block[i]) if cross else np.ones(len(rows) - i - 1, bool)
@@ -233,25 +235,38 @@ def _cell_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(ask):
                 ask = ask[first_shared(sig[ask] == sig[i]) == rank]
             if len(ask):
-                ask = ask[_may_reach(size, level, taken, spare, maps, i, ask)]
-                found += [(i, j) for j in ask.tolist()]
-        at = np.array(found, np.int64).reshape(-1, 2)
+                fine, alike = _may_reach(size, level, taken, spare, maps, i, ask)
+                found.append(np.column_stack([np.full(int(fine.sum()), i), ask[fine]]))
+                scores.append(alike[fine])
+        if not found:
+            return node[:0], node[:0]
+        at, score = np.concatenate(found), np.concatenate(scores)
+        if best is not None:
+            two = np.sort(part[at], axis=1)
+            order = np.lexsort((-score, two[:, 1], two[:, 0]))
+            start = np.r_[True, (np.diff(two[order], axis=0) != 0).any(axis=1)] if len(order) else np.empty(0, bool)
+            turn = np.arange(len(order)) - np.maximum.accumulate(np.where(start, np.arange(len(order)), 0))
+            at = at[order[turn < best]]
         return node[at[:, 0]], node[at[:, 1]]
 
     def flush(rows: list[dict]) -> pa.RecordBatch:
         a, b = pairs(rows)
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    for batch in batches:
-        for row in batch.to_pylist():
-            now = (row["key"], row["low"], row["high"])
-            if now != name and rows:
-                yield flush(rows)
-                rows = []
-            name = now
-            rows.append(row)
-    if rows:
-        yield flush(rows)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, rows = None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                now = (row["key"], row["low"], row["high"])
+                if now != name and rows:
+                    yield flush(rows)
+                    rows = []
+                name = now
+                rows.append(row)
+        if rows:
+            yield flush(rows)
+
+    return run
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,27 +325,38 @@ class NearDuplicates:
         two = self.classes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
         return pairs.join(one, "a").join(two, "b").mapInArrow(_near_pairs, "a long, b long")
 
-    def links(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Confirmed links (a, b) of stars; node, part of their components; and confirmed
-        links between parts. Together they connect every pair of similar classes."""
+    def links(self) -> tuple[DataFrame, DataFrame]:
+        """Confirmed links (a, b), and node, part of the components that they make; a node
+        without a link is not listed. Every pair of similar classes is in one component."""
         keys = self.classes.select("node", "sig").mapInArrow(_keys, "key long, node long")
         stars = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("members")).filter("members > 1")
         placed = written(keys.join(stars, "key").select("key", "hub", "node", "members"), "buckets")
         spokes = placed.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-        near = written(self._with_signatures(spokes), "spokes")
-        star_links = self._confirmed(near, "stars")
-
-        parts = contract(star_links).select("node", F.col("root").alias("part"))
-        nothing = star_links.limit(0)
-        marked = placed.filter("members > 2").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
-        open_keys = marked.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("key")
-        rest = written(marked.join(open_keys, "key", "left_semi").select("key", "node", "part", "members"), "open")
-        texts = self._texts(rest.select("node"), "open")
-        if texts is None:
-            return star_links, parts, nothing
-        maps = written(texts.mapInArrow(_bit_maps(self.width), "node long, level int, taken int, map binary"), "maps")
+        tried = written(self._with_signatures(spokes), "spokes")
+        found = self._confirmed(tried, "stars")
+        parts = contract(found).select("node", F.col("root").alias("part"))
+        maps = None
+        # first the best pairs of every two parts that meet in a cell, which joins most of
+        # them; then every pair of what is left apart
+        for name, each in (("best", BEST_PAIRS), ("all", None)):
+            marked = placed.filter("members > 2").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+            open_keys = marked.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("key")
+            rest = written(marked.join(open_keys, "key", "left_semi").select("key", "node", "part", "members"), f"open-{name}")
+            if maps is None:
+                texts = self._texts(rest.select("node"), "open")
+                if texts is None:
+                    break
+                maps = written(texts.mapInArrow(_bit_maps(self.width), "node long, level int, taken int, map binary"), "maps")
+            more = self._cells(rest, maps).mapInArrow(_cell_pairs(each), "a long, b long").distinct()
+            more = written(more.join(tried, ["a", "b"], "left_anti"), f"pairs-{name}")
+            got = self._confirmed(more, name)
+            parts, found, tried = joined(parts, got), found.union(got), tried.union(more)
+        return found, parts
+
+    def _cells(self, rest: DataFrame, maps: DataFrame) -> DataFrame:
+        """Members of open buckets in square cells of bounded size, sorted by cell."""
         cells = F.ceil(F.col("members") / CELL).cast("int")
-        celled = (
+        return (
             rest.withColumn("cells", cells)
             .withColumn("block", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
@@ -339,26 +365,29 @@ class NearDuplicates:
             .repartition("key", "low", "high")
             .sortWithinPartitions("key", "low", "high")
         )
-        more = celled.mapInArrow(_cell_pairs, "a long, b long").distinct()
-        more = written(more.join(near, ["a", "b"], "left_anti"), "more")
-        return star_links, parts, self._confirmed(more, "cells")
 
     def components(self) -> DataFrame:
         """doc_id, text_code, n_shingles, component_id of every row."""
-        _, parts, bridges = self.links()
-        for end in ("a", "b"):  # links between parts, each once
-            side = parts.select(F.col("node").alias(end), F.col("part").alias(f"part_{end}"))
-            bridges = bridges.join(side, end, "left").withColumn(f"part_{end}", F.coalesce(f"part_{end}", end))
-        bridges = bridges.select(F.col("part_a").alias("a"), F.col("part_b").alias("b")).distinct()
-        roots = contract(bridges).select(F.col("node").alias("part"), "root")
-        labels = self.classes.select("node", "rep").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
-        labels = labels.join(roots, "part", "left").withColumn("root", F.coalesce("root", "part"))
+        parts = self.links()[1].select("node", F.col("part").alias("root"))
+        labels = self.classes.select("node", "rep").join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
         least = labels.groupBy("root").agg(F.min("rep").alias("component_id"))
         named = labels.join(least, "root").select("node", "component_id")
         rows = self.described.select("doc_id", "text_code", "n_shingles", "node").join(named, "node", "left")
         return rows.select("doc_id", "text_code", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def joined(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """node, part after more links: what the links join, contracted part by part."""
+    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    known = parts.unionByName(ends.join(parts, "node", "left_anti").withColumn("part", F.col("node")))
+    for end in ("a", "b"):  # links between parts, each once
+        side = known.select(F.col("node").alias(end), F.col("part").alias(f"part_{end}"))
+        links = links.join(side, end)
+    roots = contract(links.select(F.col("part_a").alias("a"), F.col("part_b").alias("b")).distinct())
+    both = known.join(roots.select(F.col("node").alias("part"), "root"), "part", "left")
+    return written(both.select("node", F.coalesce("root", "part").alias("part")), "parts")
+
+
 def contract(links: DataFrame) -> DataFrame:
     """node, root of every linked node: alternating large and small stars.
 
