@@ -83,15 +83,20 @@ def _offsets(rows: list[tuple[int, int, int]]) -> list[dict]:
     return out
 
 
-def assign(df: DataFrame, n_shards: int = 8, seed: int = 20_240_601) -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot: a uniform shuffle, sizes at most one apart."""
+def assign(df: DataFrame, n_shards: int = 8, seed: int = 20_240_601, whole: bool = False) -> DataFrame:
+    """doc_id, size, text_crc32, shard, slot: a uniform shuffle, sizes at most one apart.
+
+    whole: also row, a struct of all columns, which then travels with each exchange.
+    """
     spark = df.sparkSession
     text = F.col("text").cast("string").cast("binary")
     base = df.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"),
+        *([F.struct(*[df[c] for c in df.columns]).alias("row")] if whole else []),
     )
+    carried = ["row"] if whole else []
     keys = lambda salt: F.xxhash64(F.lit(seed + salt), "doc_id", "text_crc32", "size")
     total = base.count()
     parts = max(8, min(MOST_PARTITIONS, -(-total // ROWS_PER_PARTITION)))
@@ -115,7 +120,7 @@ def assign(df: DataFrame, n_shards: int = 8, seed: int = 20_240_601) -> DataFram
         .filter(F.col("position").between(F.col("first"), F.col("last")))
         .withColumn("key2", keys(2))
         .withColumn("block", F.floor((F.shiftrightunsigned("key2", 33)) * F.lit(parts) / F.lit(2.0**31)).cast("int"))
-        .select("doc_id", "size", "text_crc32", "shard", "key2", "block")
+        .select("doc_id", "size", "text_crc32", "shard", "key2", "block", *carried)
     )
     placed = written(placed, "placed")
     sizes = [(r["shard"], r["block"], r["count"]) for r in placed.groupBy("shard", "block").count().collect()]
@@ -124,10 +129,17 @@ def assign(df: DataFrame, n_shards: int = 8, seed: int = 20_240_601) -> DataFram
     return (
         placed.withColumn("rank", F.row_number().over(inner).cast("long") - 1)
         .join(before, ["shard", "block"])
-        .select("doc_id", "size", "text_crc32", "shard", (F.col("before") + F.col("rank")).alias("slot"))
+        .select("doc_id", "size", "text_crc32", "shard", (F.col("before") + F.col("rank")).alias("slot"), *carried)
     )
 
 
+def write_shards(df: DataFrame, path: str, n_shards: int = 8, seed: int = 20_240_601, files: int = 1) -> None:
+    """Write the shuffled rows as Parquet, a folder for each shard, in slot order within
+    each of its files (files: how many a shard has, as ranges of slots)."""
+    rows = assign(df, n_shards, seed, whole=True).select("shard", "slot", "row.*")
+    rows.repartitionByRange(n_shards * files, "shard", "slot").sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").parquet(path)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
