@@ -129,6 +129,13 @@ def test_bit_maps_bound_from_above():
         assert neardup._may_reach(size, level, taken, spare, body, 0, np.array([1]))[0].all()
 
 
+def test_joined_parts_take_their_roots_along(spark):
+    parts = spark.createDataFrame([(2, 1), (1, 1), (6, 5), (5, 5)], "node long, part long")
+    links = spark.createDataFrame([(2, 6), (7, 8)], "a long, b long")
+    got = {r.node: r.part for r in neardup.joined(parts, links).collect()}
+    assert got == {1: 1, 2: 1, 5: 1, 6: 1, 7: 7, 8: 7}
+
+
 def test_deduplicated_keeps_one_and_columns(spark, clashing):
     out = neardup.deduplicated(clashing)
     ids = [r.doc_id for r in out.collect()]

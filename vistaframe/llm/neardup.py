@@ -334,7 +334,8 @@ class NearDuplicates:
         spokes = placed.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
         tried = written(self._with_signatures(spokes), "spokes")
         found = self._confirmed(tried, "stars")
-        parts = contract(found).select("node", F.col("root").alias("part"))
+        stars = contract(found)
+        parts = stars.select("node", F.col("root").alias("part")).union(stars.select("root", "root").distinct())
         maps = None
         # first the best pairs of every two parts that meet in a cell, which joins most of
         # them; then every pair of what is left apart
@@ -377,7 +378,10 @@ class NearDuplicates:
 
 
 def joined(parts: DataFrame, links: DataFrame) -> DataFrame:
-    """node, part after more links: what the links join, contracted part by part."""
+    """node, part after more links: what the links join, contracted part by part.
+
+    parts lists every linked node, the node that names its part too.
+    """
     ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
     known = parts.unionByName(ends.join(parts, "node", "left_anti").withColumn("part", F.col("node")))
     for end in ("a", "b"):  # links between parts, each once
