@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SHARD_ROWS = 8192
@@ -208,9 +208,12 @@ def _pack_group(group: pa.Table) -> pa.Table:
 
 
 def best_of(found: DataFrame, k: int) -> DataFrame:
-    """The k best rows of each query over all shards, ties to the smaller id."""
-    top = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("minus"), F.col("vec_id"), F.col("score")))), 1, k).alias("top"))
-    return top.select("query_id", F.posexplode("top").alias("at", "row")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("row.vec_id").alias("vec_id"), F.col("row.score").alias("score"))
+    """The k best rows of each query over all shards, ties to the smaller id.
+
+    A ranked window with a limit: each task keeps k rows of a query before the shuffle.
+    """
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def search(vectors: DataFrame, k: int = 5) -> DataFrame:
