@@ -8,7 +8,7 @@ in the one cell that holds the lower corner of their overlap, so no distinct is
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -92,13 +92,25 @@ def nearest(origins: DataFrame, nodes: DataFrame, radius: float, origin: str, no
 
 def nearest_in_time(left: DataFrame, right: DataFrame, tolerance: int, key: str, at: str, other_at: str, other: str) -> DataFrame:
     """The row of right nearest in seconds to each row of left, within tolerance; ties to
-    the earlier, then to the smaller id. Buckets as wide as the tolerance."""
-    asked = left.withColumn("slot", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col(at) / tolerance) + d)))
-    there = right.withColumn("slot", F.floor(F.col(other_at) / tolerance))
-    gap = F.abs(F.col(at) - F.col(other_at))
-    near = asked.join(there, "slot").withColumn("gap", gap).filter(F.col("gap") <= tolerance)
-    best = near.groupBy(key).agg(F.min(F.struct("gap", F.col(other_at).alias("t"), other)).alias("best"))
-    return best.select(key, f"best.{other}", "best.gap")
+    the earlier, then to the smaller id.
+
+    One pass over both sides in order of time, in slots as wide as the tolerance (rows of
+    right also stand in the slots beside theirs): the last one before and the first one
+    after are the only candidates, so no pairs are made.
+    """
+    times = right.groupBy(F.col(other_at).alias("t")).agg(F.min(other).alias("hit"))
+    beside = F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("t") / tolerance) + d)
+    kind = left.schema[key].dataType
+    given = times.select(F.explode(beside).alias("slot"), "t", F.lit(0).alias("asks"), F.lit(None).cast(kind).alias(key), F.struct("t", "hit").alias("one"))
+    asked = left.select(F.floor(F.col(at) / tolerance).alias("slot"), F.col(at).cast(times.schema["t"].dataType).alias("t"), F.lit(1).alias("asks"), key, F.lit(None).cast(given.schema["one"].dataType).alias("one"))
+    order = Window.partitionBy("slot").orderBy("t", "asks")
+    back = F.last("one", True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    ahead = F.first("one", True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    seen = given.unionByName(asked).withColumn("back", back).withColumn("ahead", ahead).filter("asks = 1")
+    before, after = F.col("t") - F.col("back.t"), F.col("ahead.t") - F.col("t")
+    late = F.coalesce(after < before, F.col("back").isNull())
+    best = seen.select(key, F.when(late, F.col("ahead.hit")).otherwise(F.col("back.hit")).alias(other), F.when(late, after).otherwise(before).alias("gap"))
+    return best.filter(F.col("gap") <= tolerance)
 
 
 def vetoed(rows: DataFrame, restricted: DataFrame) -> DataFrame:
