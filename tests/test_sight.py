@@ -122,6 +122,17 @@ def test_unknown_cell_is_unknown_and_spreads_along_rays(spark, open_ground):
     assert got.filter("row = 40 AND col = 44").first().state == 3 and got.filter("row = 40 AND col = 48").first().state == 3
 
 
+@pytest.mark.parametrize("radius", [12.0, 60.0, 150.0])
+def test_block_kernel_equals_the_relational_form(spark, radius):
+    from vistaframe.operators import block_view
+
+    cells = grids.synthetic(spark)
+    targets = spark.range(5).select(F.col("id").alias("target_id"), (10 + F.col("id") * 11).cast("int").alias("trow"), (50 - F.col("id") * 9).cast("int").alias("tcol"), (30.0 + F.col("id") * 6).alias("tz"))
+    one = sight.viewshed(cells, targets, radius, 5.0, rows=4096)
+    two = block_view.viewshed(cells, targets, radius, 5.0, rows=4096)
+    assert one.count() == two.count() and one.exceptAll(two).count() == 0
+
+
 def test_partitioning_does_not_matter(spark, open_ground):
     one = sight.viewshed(open_ground, target(spark), 40.0, 5.0, rows=6561)
     two = sight.viewshed(open_ground.repartition(7), target(spark), 40.0, 5.0)

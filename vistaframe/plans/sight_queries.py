@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_DIAMETER_M
-from ..operators import sight
+from ..operators import block_view, sight
 from ..sources import grids
 from .base import frame, micro, micro_sql, query
 
@@ -130,6 +130,12 @@ dense AS (SELECT target_id, row, col, CAST(CASE WHEN NOT open THEN 2 WHEN NOT kn
 
 
 def _dense(spark, sf_dir):
+    return block_view.viewshed(grids.synthetic(spark), frame(spark, sf_dir, TARGETS), RADIUS, RES, rows=4096)
+
+
+@query("g01_relational_viewshed", f"{DENSE} SELECT * FROM dense")
+def dense_relational(spark, sf_dir):
+    """The same states by joins and one aggregation, for windows of any size."""
     return sight.viewshed(grids.synthetic(spark), frame(spark, sf_dir, TARGETS), RADIUS, RES, rows=4096)
 
 
