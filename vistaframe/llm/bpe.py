@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import small_batches, table
+from .common import KEPT, small_batches, table, tidy
 
 END = "</w>"
 # Letters and numbers of Unicode 17, which the vocabulary's cutter (Unicode 16)
@@ -48,7 +48,7 @@ def _class(ranges: str) -> str:
 _L, _N = f"[\\p{{L}}--[{_class(NEWER_LETTERS)}]]", f"[\\p{{N}}--[{_class(NEWER_NUMBERS)}]]"
 #: Pattern of the vocabulary's word cutter.
 CUTTER = rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{_L}+|{_N}|(?:(?!{_L}|{_N})\S)+"
-_WORDS_KEPT = 160_000
+_WORDS_KEPT = 130_000
 
 
 def byte_letters() -> list[str]:
@@ -236,14 +236,12 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-_encoders: dict[int, Encoder] = {}
-
-
 def _encoder(sent) -> Encoder:
     """One encoder a worker process, with its remembered words."""
-    if sent.id not in _encoders:
-        _encoders[sent.id] = Encoder(sent.value)
-    return _encoders[sent.id]
+    kept = KEPT.get("bpe")
+    if kept is None or kept[0] != sent.id:
+        kept = KEPT["bpe"] = (sent.id, Encoder(sent.value))
+    return kept[1]
 
 
 class _Sent:
@@ -281,7 +279,7 @@ def encode(df: DataFrame, text: str = "text", path: str | None = None, ids: bool
                 columns += [pa.array(s, pa.string()) for s in sha]
             yield pa.RecordBatch.from_arrays(columns, names=keep + [a.split()[0] for a in added])
 
-    return df.select(*keep, text).mapInArrow(run, schema)
+    return df.select(*keep, text).mapInArrow(tidy(run, "bpe"), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ..session import ship
 
 #: Rows in an Arrow batch of documents; keeps a batch to a few MB of typical text.
-DOC_BATCH = 1024
-_CACHE_WORDS = 250_000
+DOC_BATCH = 512
+_CACHE_WORDS = 150_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,37 @@ def crc_fold(column: str, parts: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % parts, F.lit(-1))
 
 
+#: What a worker process keeps between tasks of one kernel, by the kernel's name.
+KEPT: dict[str, object] = {}
+
+
+def tidy(run, keeps: str = ""):
+    """A kernel that leaves a reused worker process small: what other kernels kept goes
+    first, and freed memory returns to the system at the end of the task."""
+
+    def wrapped(batches):
+        for name in [k for k in KEPT if k != keeps]:
+            del KEPT[name]
+        yield from run(batches)
+        release()
+
+    return wrapped
+
+
+def release() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library has no such call
+        pass
+
+
 class WordCodes(dict):
     """64-bit codes of words (bytes), remembered up to a bound."""
 
@@ -121,7 +152,7 @@ def kept_rows(docs: DataFrame, text: str, make_test) -> DataFrame:
             keep = test(batch.column(text).cast(pa.string()).to_pylist())
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"

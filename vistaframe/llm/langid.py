@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTER, crc_fold, kept_rows, sample_ids, small_batches, table
+from .common import LETTER, crc_fold, kept_rows, sample_ids, small_batches, table, tidy
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 12, 8
 SAMPLE, WINDOWS = 2400, 4
@@ -183,7 +183,7 @@ def fit(docs: DataFrame, parts: int = 3, held: int = 1, bound: int = SAMPLE) ->
     """A network learned from documents whose fold is not held."""
     known = docs.select(F.col("doc_id").cast("long").alias("pick"), F.col("lang").cast("string").alias("label")).filter("pick IS NOT NULL AND label IS NOT NULL")
     picked = sample_ids(known.filter(crc_fold("pick", parts) != held), "pick", bound, ["label"])
-    rows = docs.join(F.broadcast(picked), F.col("doc_id").cast("long") == F.col("pick")).select(F.col("text").cast("string").alias("text"), "label").mapInArrow(_spread, "label string, body binary").collect()
+    rows = docs.join(F.broadcast(picked), F.col("doc_id").cast("long") == F.col("pick")).select(F.col("text").cast("string").alias("text"), "label").mapInArrow(tidy(_spread), "label string, body binary").collect()
     rows.sort(key=lambda r: (r["label"], bytes(r["body"])))
     languages = sorted({r["label"] for r in rows})
     net = Network(languages)
@@ -209,7 +209,7 @@ def identified(docs: DataFrame, model: bytes) -> DataFrame:
             langs, scores = scorer.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def recognised(docs: DataFrame, model: bytes, least: float = 0.5) -> DataFrame:

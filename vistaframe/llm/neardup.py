@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCodes, fresh, mix, small_batches, table, word_codes, written
+from .common import WordCodes, fresh, mix, small_batches, table, tidy, word_codes, written
 
 POSITIONS, CHUNKS, ERRORS = 48, 12, 1
 WIDTH = POSITIONS // CHUNKS
@@ -294,7 +294,7 @@ class NearDuplicates:
         small_batches(self.spark)
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         coded = self.docs.withColumn("text_code", F.xxhash64("text"))
-        self.described = written(coded.mapInArrow(_describe(width), "doc_id long, text_code long, n_shingles long, node long, sig binary"), "described")
+        self.described = written(coded.mapInArrow(tidy(_describe(width)), "doc_id long, text_code long, n_shingles long, node long, sig binary"), "described")
         members = self.described.filter("node IS NOT NULL")
         self.classes = written(members.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "text_code")).alias("row"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
 
@@ -314,21 +314,21 @@ class NearDuplicates:
         texts = self._texts(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), name)
         if texts is None:
             return pairs.limit(0)
-        sets = written(texts.mapInArrow(_full_sets(self.width), "node long, codes binary"), f"sets-{name}")
+        sets = written(texts.mapInArrow(tidy(_full_sets(self.width)), "node long, codes binary"), f"sets-{name}")
         left = sets.select(F.col("node").alias("a"), F.col("codes").alias("codes_a"))
         right = sets.select(F.col("node").alias("b"), F.col("codes").alias("codes_b"))
         both = pairs.join(right, "b").join(left, "a").select("a", "b", "codes_a", "codes_b")
-        return written(both.mapInArrow(_confirm, "a long, b long"), f"links-{name}")
+        return written(both.mapInArrow(tidy(_confirm), "a long, b long"), f"links-{name}")
 
     def _with_signatures(self, pairs: DataFrame) -> DataFrame:
         one = self.classes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
         two = self.classes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
-        return pairs.join(one, "a").join(two, "b").mapInArrow(_near_pairs, "a long, b long")
+        return pairs.join(one, "a").join(two, "b").mapInArrow(tidy(_near_pairs), "a long, b long")
 
     def links(self) -> tuple[DataFrame, DataFrame]:
         """Confirmed links (a, b), and node, part of the components that they make; a node
         without a link is not listed. Every pair of similar classes is in one component."""
-        keys = self.classes.select("node", "sig").mapInArrow(_keys, "key long, node long")
+        keys = self.classes.select("node", "sig").mapInArrow(tidy(_keys), "key long, node long")
         stars = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("members")).filter("members > 1")
         placed = written(keys.join(stars, "key").select("key", "hub", "node", "members"), "buckets")
         spokes = placed.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
@@ -347,8 +347,8 @@ class NearDuplicates:
                 texts = self._texts(rest.select("node"), "open")
                 if texts is None:
                     break
-                maps = written(texts.mapInArrow(_bit_maps(self.width), "node long, level int, taken int, map binary"), "maps")
-            more = self._cells(rest, maps).mapInArrow(_cell_pairs(each), "a long, b long").distinct()
+                maps = written(texts.mapInArrow(tidy(_bit_maps(self.width)), "node long, level int, taken int, map binary"), "maps")
+            more = self._cells(rest, maps).mapInArrow(tidy(_cell_pairs(each)), "a long, b long").distinct()
             more = written(more.join(tried, ["a", "b"], "left_anti"), f"pairs-{name}")
             got = self._confirmed(more, name)
             parts, found, tried = joined(parts, got), found.union(got), tried.union(more)

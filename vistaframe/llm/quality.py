@@ -30,12 +30,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, kept_rows, mix, sample_ids, small_batches, table, utf8
+from .common import crc_fold, kept_rows, mix, sample_ids, small_batches, table, tidy, utf8
 
 BITS = 18
 SAMPLE = 4000
 EPOCHS = 4
-_KEPT = 200_000
+_KEPT = 150_000
 _SHAPE = re.compile(rb"([A-Z]+|[a-z\x80-\xff]+|[0-9]+)|([^A-Za-z0-9\x80-\xff])\2*")
 
 
@@ -151,7 +151,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, parts: int,
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", parts: int = 5, bound: int = SAMPLE) -> bytes:
     """Weights as bytes: learned from labels of documents whose fold is not 0."""
-    rows = labelled_sample(docs, labels, column, parts, bound).mapInArrow(_extract, "label int, index binary, value binary").collect()
+    rows = labelled_sample(docs, labels, column, parts, bound).mapInArrow(tidy(_extract), "label int, index binary, value binary").collect()
     rows.sort(key=lambda r: (bytes(r["index"]), bytes(r["value"]), r["label"]))
     data = [(np.frombuffer(r["index"], np.int32).astype(np.int64), np.frombuffer(r["value"], np.float32).astype(float), r["label"]) for r in rows]
     if len({d[2] for d in data}) < 2:
@@ -182,7 +182,7 @@ def scored(docs: DataFrame, model: bytes) -> DataFrame:
             got = [score(weights, *f) for f in features.of_batch(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], names=[*names, "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 THRESHOLD = 0.3

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, small_batches, table, utf8
+from .common import crc_fold, small_batches, table, tidy, utf8
 from .quality import labelled_sample
 
 BITS = 17
@@ -44,7 +44,7 @@ CHAIN = 64
 SAMPLE = 5000
 EPOCHS, RATE = 6, 0.5
 CUE_LIFT, CUE_LEAST, CUES = 6.0, 0.004, 400
-_KEPT = 200_000
+_KEPT = 150_000
 _EDGE = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -260,7 +260,7 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", parts: int = 5, bound: int = SAMPLE) -> bytes:
     """A field learned from labels of documents whose fold is not 0."""
-    rows = labelled_sample(docs, labels, column, parts, bound).mapInArrow(_extract, "label int, codes binary").collect()
+    rows = labelled_sample(docs, labels, column, parts, bound).mapInArrow(tidy(_extract), "label int, codes binary").collect()
     data = sorted((bytes(r["codes"]), r["label"]) for r in rows)
     del rows
     data = [(np.frombuffer(c, np.int32).reshape(KINDS, -1), y) for c, y in data]
@@ -335,7 +335,7 @@ def tagged(docs: DataFrame, model: bytes, spans: bool = True) -> DataFrame:
                 columns.append(pa.array([offsets(t or "", m) for t, m in zip(texts, got, strict=True)], kind))
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "score", *["spans"] * spans])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
