@@ -24,7 +24,7 @@ def G(spark):  # noqa: N802
     return grids.synthetic(spark)
 
 
-@query("a02_validation_counts", f"WITH b AS ({BLD}) SELECT (SELECT count(*) FROM b) AS total, (SELECT count(*) FROM b WHERE height IS NULL) AS unresolved, (SELECT sum(invalid) FROM b) AS invalid, (SELECT count(*) FROM (SELECT gid FROM b GROUP BY gid HAVING count(*) > 1)) AS duplicated, (SELECT count(*) FROM b WHERE height <= 1 OR height > 45) AS bad_heights")
+@query("a02_validation_counts", f"WITH b AS ({BLD}) SELECT (SELECT count(*) FROM b) AS total, (SELECT count(*) FROM b WHERE height IS NULL) AS unresolved, (SELECT CAST(sum(invalid) AS BIGINT) FROM b) AS invalid, (SELECT count(*) FROM (SELECT gid FROM b GROUP BY gid HAVING count(*) > 1)) AS duplicated, (SELECT count(*) FROM b WHERE height <= 1 OR height > 45) AS bad_heights")
 def a02(spark, d):
     b = frame(spark, d, BLD)
     per = b.groupBy("gid").agg(N().alias("n"), F.count_if(F.col("height").isNull()).alias("u"), F.sum("invalid").alias("i"), F.count_if((F.col("height") <= 1) | (F.col("height") > 45)).alias("bad"))

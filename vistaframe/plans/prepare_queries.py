@@ -553,7 +553,7 @@ def i06(spark, d):
     return _targets(spark, d).groupBy("category", (F.col("dist") <= 1200).alias("near")).agg(n().alias("targets"))
 
 
-@query("i11_overlap_audit", f"{GRID}, t AS (SELECT *, row // 16 AS tr, col // 16 AS tc FROM grid) SELECT a.tr AS tile_row, a.tc AS tile_col, count(*) AS shared, count(*) FILTER (abs(a.dtm - b.dtm - (a.row % 3) * 0.5) > 1) AS over_1 FROM t a JOIN grid b ON a.row = b.row AND a.col = b.col WHERE a.col % 16 >= 14 GROUP BY 1, 2")
+@query("i11_overlap_audit", f"{GRID}, t AS (SELECT *, row // 16 AS tr, col // 16 AS tc FROM grid) SELECT CAST(a.tr AS BIGINT) AS tile_row, CAST(a.tc AS BIGINT) AS tile_col, count(*) AS shared, count(*) FILTER (abs(a.dtm - b.dtm - (a.row % 3) * 0.5) > 1) AS over_1 FROM t a JOIN grid b ON a.row = b.row AND a.col = b.col WHERE a.col % 16 >= 14 GROUP BY 1, 2")
 def i11(spark, d):
     g = G(spark).withColumn("tile_row", grids.tile_key(F.col("row"), 16).cast("long")).withColumn("tile_col", grids.tile_key(F.col("col"), 16).cast("long"))
     other = G(spark).select("row", "col", F.col("dtm").alias("odtm"))
