@@ -48,7 +48,7 @@ def _class(ranges: str) -> str:
 _L, _N = f"[\\p{{L}}--[{_class(NEWER_LETTERS)}]]", f"[\\p{{N}}--[{_class(NEWER_NUMBERS)}]]"
 #: Pattern of the vocabulary's word cutter.
 CUTTER = rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{_L}+|{_N}|(?:(?!{_L}|{_N})\S)+"
-_WORDS_KEPT = 130_000
+_WORDS_KEPT = 80_000
 
 
 def byte_letters() -> list[str]:
@@ -255,14 +255,14 @@ class _Sent:
         return self.box.value
 
 
-def encode(df: DataFrame, text: str = "text", path: str | None = None, ids: bool = True, digests: bool = False) -> DataFrame:
-    """The columns of df, and of each text: n_tokens, with ids also ids and decoded,
+def encode(df: DataFrame, text: str = "text", path: str | None = None, ids: bool = True, digests: bool = False, decoded: bool = True) -> DataFrame:
+    """The columns of df, and of each text: n_tokens, with ids also ids (and decoded),
     with digests also ids_sha256 and decoded_sha256. text itself is dropped if it is
     not among the columns to keep (select it under another name to keep it)."""
     small_batches(df.sparkSession)
     sent = _Sent(df.sparkSession, path or default_path())
     keep = [c for c in df.columns if c != text]
-    added = ["n_tokens long"] + ["ids array<int>", "decoded string"] * ids + ["ids_sha256 string", "decoded_sha256 string"] * digests
+    added = ["n_tokens long"] + ["ids array<int>"] * ids + ["decoded string"] * (ids and decoded) + ["ids_sha256 string", "decoded_sha256 string"] * digests
     from pyspark.sql.types import StructType
 
     schema = StructType([df.schema[c] for c in keep] + list(StructType.fromDDL(", ".join(added)).fields))
@@ -273,7 +273,11 @@ def encode(df: DataFrame, text: str = "text", path: str | None = None, ids: bool
             got = encoder.encode(batch.column(text).to_pylist())
             columns = [batch.column(c) for c in keep] + [pa.array([g[0] for g in got], pa.int64())]
             if ids:
-                columns += [pa.array([list(map(int, g[1].split())) for g in got], pa.list_(pa.int32())), pa.array([g[2] for g in got], pa.string())]
+                flat = [np.array(g[1].split(" "), np.int32) if g[0] else np.empty(0, np.int32) for g in got]
+                ends = np.cumsum([0, *map(len, flat)], dtype=np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat))))
+                if decoded:
+                    columns.append(pa.array([g[2] for g in got], pa.string()))
             if digests:
                 sha = [[hashlib.sha256(g[j].encode("utf-8")).hexdigest() for g in got] for j in (1, 2)]
                 columns += [pa.array(s, pa.string()) for s in sha]

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ..session import ship
 
 #: Rows in an Arrow batch of documents; keeps a batch to a few MB of typical text.
-DOC_BATCH = 512
-_CACHE_WORDS = 150_000
+DOC_BATCH = 256
+_CACHE_WORDS = 80_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -35,7 +35,7 @@ from .common import crc_fold, kept_rows, mix, sample_ids, small_batches, table,
 BITS = 18
 SAMPLE = 4000
 EPOCHS = 4
-_KEPT = 150_000
+_KEPT = 80_000
 _SHAPE = re.compile(rb"([A-Z]+|[a-z\x80-\xff]+|[0-9]+)|([^A-Za-z0-9\x80-\xff])\2*")
 
 

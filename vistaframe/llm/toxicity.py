@@ -44,7 +44,7 @@ CHAIN = 64
 SAMPLE = 5000
 EPOCHS, RATE = 6, 0.5
 CUE_LIFT, CUE_LEAST, CUES = 6.0, 0.004, 400
-_KEPT = 150_000
+_KEPT = 80_000
 _EDGE = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
