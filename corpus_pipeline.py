@@ -46,7 +46,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode every text; the ids and the digests of ids and decoded text."""
-    return bpe.encode(docs.select("doc_id", "lang", "source", "text"), digests=True).drop("decoded")
+    return bpe.encode(docs.select("doc_id", "lang", "source", "text"), digests=True, decoded=False)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
