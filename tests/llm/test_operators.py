@@ -4,8 +4,10 @@ import itertools
 import math
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -256,6 +258,46 @@ def test_predictive_probabilities_sum_to_one():
         assert (sums < 1).all() and (sums > 0.9).all()
 
 
+def _language_parts(parts, frequent):
+    """The counted partitions of a small corpus."""
+    rng = np.random.default_rng(12)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, 200) % 500) for _ in range(150)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(150)), "text": texts, "held_out": [False] * 150})
+    rows = [r for b in pitman_yor._chunks(parts, frequent)(iter([batch])) for r in b.to_pylist()]
+    return [pitman_yor.Part([pitman_yor._unpack(r["body"])], frequent) for r in rows if r["part"] >= 0]
+
+
+def _language_totals(every):
+    def summed(known):
+        got = [one.totals(*one.seating(i, known)).arrays() for i, one in enumerate(every)]
+        return pitman_yor.Totals.of([sum(a) for a in zip(*got, strict=True)])
+
+    return pitman_yor.settled(summed)
+
+
+@pytest.fixture()
+def no_task(monkeypatch):
+    task = SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0))
+    monkeypatch.setattr(pitman_yor, "TaskContext", task)
+
+
+def test_language_model_seats_with_all_partitions(no_task):
+    """The root's probabilities sum to one in every sweep, and partitions change no count of tables."""
+    frequent = np.sort(np.array([pitman_yor.xxhash.xxh3_64_intdigest(f"w{i}".encode()) for i in range(1, 9)], np.uint64))
+    every, alone = _language_parts(16, frequent), _language_parts(1, frequent)
+    assert len(every) == 16 and len(alone) == 1
+    known, whole = _language_totals(every), _language_totals(alone)
+    for k, totals in enumerate(known):
+        base, root = 1 / (totals.vocabulary + 1), {}
+        for i, one in enumerate(every):
+            root |= dict(zip(one.words.tolist(), one.upper(one.seating(i, known[:k]), totals, base)[0].tolist(), strict=True))
+        assert len(root) == totals.vocabulary
+        assert abs(sum(root.values()) + base * (pitman_yor.STRENGTH[2] + pitman_yor.DISCOUNT[2] * totals.root[1]) / (pitman_yor.STRENGTH[2] + totals.root[0]) - 1) < 1e-9
+    assert known[0].leaf_t.sum() == whole[0].leaf_t.sum()
+    for a, b in zip(known, whole, strict=True):
+        assert abs(a.leaf_t.sum() / b.leaf_t.sum() - 1) < 0.02 and abs(a.root[0] / b.root[0] - 1) < 0.02
+
+
 def test_quality_learns_and_defines_cases(spark, docs, labels):
     good = [(i, f"the quick {i} fox jumps over the lazy dog number {i}", 1) for i in range(100, 220)]
     bad = [(i, f"BUY!! {i} NOW!! CHEAP!! $$$ DEAL!!", 0) for i in range(300, 420)]
