@@ -298,6 +298,20 @@ def test_language_model_seats_with_all_partitions(no_task):
         assert abs(a.leaf_t.sum() / b.leaf_t.sum() - 1) < 0.02 and abs(a.root[0] / b.root[0] - 1) < 0.02
 
 
+def test_language_model_seats_frequent_words_at_the_root(no_task):
+    """Tables of frequent words follow the seating, as they do for words that are not split."""
+    frequent = np.sort(np.array([pitman_yor.xxhash.xxh3_64_intdigest(f"w{i}".encode()) for i in range(1, 9)], np.uint64))
+    split = _language_totals(_language_parts(16, frequent))
+    plain = _language_parts(1, np.empty(0, np.uint64))
+    known = _language_totals(plain)
+    tables = plain[0].seating(0, known[:-1])[2][np.searchsorted(plain[0].words, frequent)]
+    assert (split[-1].often[2] >= 1).all() and (split[-1].often[2] <= split[-1].often[1]).all()
+    assert abs(split[-1].often[2].sum() / tables.sum() - 1) < 0.2
+    assert abs(split[-1].root[1] / known[-1].root[1] - 1) < 0.05
+    other = sum(one.seating(i, split[:-1])[2][~one.often].sum() for i, one in enumerate(_language_parts(16, frequent)))
+    assert split[-1].root[1] == other + split[-1].often[2].sum()
+
+
 def test_quality_learns_and_defines_cases(spark, docs, labels):
     good = [(i, f"the quick {i} fox jumps over the lazy dog number {i}", 1) for i in range(100, 220)]
     bad = [(i, f"BUY!! {i} NOW!! CHEAP!! $$$ DEAL!!", 0) for i in range(300, 420)]
