@@ -377,6 +377,17 @@ def test_toxicity_learns_spans_and_defines_cases(spark, docs, labels):
     assert toxicity.fit(docs, labels.limit(0))
 
 
+def test_toxicity_query_gives_spans(spark):
+    d = "/root/testdata/sf0.001"
+    rows = toxicity.query(spark, d).collect()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()}
+    assert len(rows) >= 200 and any(r.spans for r in rows)
+    for r in rows:
+        for s in r.spans:
+            passage = texts[r.doc_id][s.start : s.stop]
+            assert passage and passage == passage.strip() and 0.5 <= s.marginal <= 1
+
+
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(10)
     u, a = rng.normal(size=(3, 5)), np.exp(rng.normal(size=(2, 2)))

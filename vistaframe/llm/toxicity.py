@@ -341,5 +341,5 @@ def tagged(docs: DataFrame, model: bytes, spans: bool = True) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = fit(docs, labels)
-    out = tagged(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), model, spans=False)
-    return out.select("doc_id", (crc_fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    out = tagged(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), model)
+    return out.select("doc_id", (crc_fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
