@@ -388,6 +388,17 @@ def test_toxicity_query_gives_spans(spark):
             assert passage and passage == passage.strip() and 0.5 <= s.marginal <= 1
 
 
+def test_toxicity_trains_on_whole_documents():
+    """Every token of a document stands in one chain, and every cue of a toxic one is tagged."""
+    rng = np.random.default_rng(13)
+    docs = [(rng.integers(1, 500, (toxicity.KINDS, n)).astype(np.int32), y) for n, y in ((1000, 1), (64, 1), (0, 1), (777, 0))]
+    cues = np.array([5, 9])
+    rows, tags = toxicity.training_chains(docs, cues)
+    assert sorted(rows[0][rows[0] >= 0].tolist()) == sorted(np.concatenate([c[0] for c, _ in docs]).tolist())
+    want = sum(int(np.isin(c[0], cues).sum()) for c, y in docs if y)
+    assert tags.sum() == want and set(rows[0][tags == 1].tolist()) <= {5, 9}
+
+
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(10)
     u, a = rng.normal(size=(3, 5)), np.exp(rng.normal(size=(2, 2)))

@@ -6,7 +6,8 @@ and (nearly) never in clean ones, each time the word that explains most toxic
 documents not explained yet; their occurrences in toxic documents are the tagged
 tokens. The field has two states; a token's evidence comes from hashed weights of the
 word and its two neighbours. It is trained with AdaGrad on the exact gradient
-(forward-backward marginals minus tags). Chains are stretches of CHAIN tokens.
+(forward-backward marginals minus tags). Chains are stretches of CHAIN tokens; every
+chain of a sampled document is trained on.
 
 With two states the forward and backward messages are odds, and each step is one
 fractional linear map, done for all chains of a batch at once. A document's score is
@@ -258,6 +259,20 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return theta
 
 
+def training_chains(docs: list[tuple[np.ndarray, int]], cues: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All chains of the documents (rows as for Field.train), and the tags of their tokens."""
+    kinds = np.arange(KINDS, dtype=np.int64)[:, None] << BITS
+    sizes = [-(-code.shape[1] // CHAIN) * CHAIN for code, _ in docs]
+    rows, tags = np.full((KINDS + 2, sum(sizes)), -1, np.int32), np.zeros(sum(sizes), np.int8)
+    for (code, y), at in zip(docs, np.cumsum([0, *sizes[:-1]]).tolist(), strict=True):
+        here = slice(at, at + code.shape[1])
+        rows[:KINDS, here] = code
+        rows[KINDS:, here] = neighbours(code[0])
+        if y == 1:
+            tags[here] = np.isin(code + kinds, cues).any(axis=0)
+    return rows.reshape(KINDS + 2, -1, CHAIN), tags.reshape(-1, CHAIN)
+
+
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", parts: int = 5, bound: int = SAMPLE) -> bytes:
     """A field learned from labels of documents whose fold is not 0."""
     rows = labelled_sample(docs, labels, column, parts, bound).mapInArrow(tidy(_extract), "label int, codes binary").collect()
@@ -270,24 +285,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", parts: int =
         field.doc = np.array([0.0, 0.0, 0.0, 35.0 * (2 * share - 1)])
         return field.save()
     cues = cue_features(data)
-    kinds = np.arange(KINDS, dtype=np.int64)[:, None] << BITS
-    chains, tags = [], []
-    for code, y in data:
-        before, after = neighbours(code[0])
-        tag = np.isin(code + kinds, cues).any(axis=0) & (y == 1)
-        size = -(-code.shape[1] // CHAIN) * CHAIN
-        padded = np.full((KINDS + 2, size), -1, np.int32)
-        padded[:, : code.shape[1]] = [*code, before, after]
-        marked = np.zeros(size, np.int8)
-        marked[: code.shape[1]] = tag
-        padded, marked = padded.reshape(KINDS + 2, -1, CHAIN), marked.reshape(-1, CHAIN)
-        pick = np.flatnonzero(marked.any(axis=1))
-        plain = np.flatnonzero(~marked.any(axis=1))
-        pick = np.union1d(pick[:4], plain[np.linspace(0, len(plain) - 1, 2).astype(int)] if len(plain) else pick[:0])
-        chains.append(padded[:, pick])
-        tags.append(marked[pick])
-    rows, marks = np.concatenate(chains, axis=1), np.concatenate(tags)
-    del chains, tags
+    rows, marks = training_chains(data, cues)
     field.train(rows, marks)
     del rows, marks
     x = np.stack([summary(field.marginals([np.arange(code.shape[1])], code)[0]) for code, _ in data])
