@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vistaframe.llm import hnsw, langid, mixing, neardup, pitman_yor, quality, shard, topk, toxicity
-from vistaframe.llm.common import crc_fold, words
+from vistaframe.llm.common import crc_fold, sample_ids, words
 
 
 def test_sharding_sizes_slots_and_margins(spark, docs):
@@ -342,6 +342,13 @@ def test_language_learns_and_defines_cases(spark, docs):
     assert {r.lang_pred for r in langid.identified(docs, langid.fit(docs.limit(0))).collect()} == {"und"}
 
 
+def test_sample_has_every_class(spark):
+    """More classes than 256, and the rows of each class as many as its quota."""
+    rows = [(i, f"l{i % 400:03d}") for i in range(1200)] + [(9999, None)]
+    got = sample_ids(spark.createDataFrame(rows, "doc_id long, lang string"), "doc_id", 800, ["lang"]).collect()
+    assert Counter(r.lang for r in got) == {f"l{i:03d}": 2 for i in range(400)}
+
+
 def test_network_tables_equal_the_network():
     net = langid.Network(["a", "b", "c"])
     x = langid.windows("Ein kleines Haus steht am Waldrand. " * 20)

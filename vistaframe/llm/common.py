@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -160,13 +160,19 @@ LETTER = re.compile(r"[^\W\d_]")
 
 
 def sample_ids(df: DataFrame, key: str, bound: int, by: list[str] | None = None) -> DataFrame:
-    """At most bound rows of the narrow table df, spread by a hash of key (of each class in by)."""
+    """At most bound rows of the narrow table df, spread by a hash of key (of each class in by).
+
+    Every class that is not null has a row at least; so with more classes than bound, there
+    are as many rows as classes.
+    """
     rank = F.xxhash64(F.lit(17), F.col(key))
     if not by:
         return df.orderBy(rank, key).limit(bound)
-    parts = [r[0] for r in df.select(by[0]).distinct().orderBy(by[0]).limit(256).collect()]
-    out = None
-    for value in parts:
-        one = df.filter(F.col(by[0]) == F.lit(value)).orderBy(rank, key).limit(max(1, bound // max(1, len(parts))))
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else df.limit(0)
+    known = df.filter(F.col(by[0]).isNotNull())
+    sizes = known.groupBy(F.col(by[0]).alias("_class")).agg(F.approx_count_distinct(key).alias("_keys"))
+    quota = max(1, bound // max(1, sizes.count()))
+    # of a large class only about twice the quota's keys, those with the least hashes, are sorted
+    place = rank.cast("double") / 2.0**64 + 0.5
+    near = known.join(F.broadcast(sizes), F.col(by[0]) == F.col("_class")).filter(place * F.col("_keys") <= 2 * quota + 100)
+    order = Window.partitionBy(by[0]).orderBy(rank, key)
+    return near.withColumn("_turn", F.row_number().over(order)).filter(F.col("_turn") <= quota).select(*df.columns)
