@@ -47,6 +47,13 @@ def test_contract_names():
     assert set(sql) <= set(queries) and len(catalogue.queries()) > 150
 
 
+def test_routes_have_no_cost_bound(spark, tmp_path):
+    rows = [(1, 1, 5, 2, 50.0), (1, 2, 6, 3, 50.0), (1, 3, 9, 4, 70.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.end: (r.path, r.minutes) for r in catalogue.queries()["i03_route_back_trace"](spark, str(tmp_path)).collect()}
+    assert got == {5: ("5", 0.0), 6: ("6,5", 0.7), 9: ("9,6,5", 1.5), 12: ("12,9,6,5", 2.5)}
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
 

@@ -520,15 +520,15 @@ def i01(spark, d):
     return routes.adjacency(frame(spark, d, EDGES)).select("eid", "u", "v")
 
 
-def _cheapest(spark, d):
+def _cheapest(spark, d, limit=None):
     arcs = routes.adjacency(frame(spark, d, EDGES)).groupBy("u", "v").agg(F.min(F.struct("length", "eid")).alias("b")).select("u", "v", "b.*")
     start = spark.range(1).select(F.lit(5).cast("long").alias("node"), F.lit(0.0).alias("cost"))
-    return routes.shortest(arcs, start, 60.0)
+    return routes.shortest(arcs, start, limit)
 
 
 @query("i02_shortest_paths", f"WITH RECURSIVE {ARCS}, thin AS (SELECT u, v, min(length) AS length FROM arcs GROUP BY u, v), walk AS (SELECT CAST(5 AS BIGINT) AS node, 0e0 AS cost UNION SELECT v, cost + length FROM walk JOIN thin ON u = node WHERE cost + length <= 60) SELECT node, CAST(min(cost) AS BIGINT) AS cost FROM walk GROUP BY node")
 def i02(spark, d):
-    return _cheapest(spark, d).select("node", F.col("cost").cast("long").alias("cost"))
+    return _cheapest(spark, d, 60.0).select("node", F.col("cost").cast("long").alias("cost"))
 
 
 @query("i03_route_back_trace")
