@@ -327,6 +327,18 @@ def test_quality_learns_and_defines_cases(spark, docs, labels):
     assert quality.accepted(docs.withColumn("score", F.lit("x")), model).columns[-1] == "score"
 
 
+def test_quality_reads_texts_without_spaces():
+    """Documents that differ only beyond the first 64 bytes of one long word."""
+    rng = np.random.default_rng(14)
+    sets = (list("风雨山河"), list("花鸟鱼虫"))
+    texts = ["同" * 24 + "".join(rng.choice(sets[i % 2], 200)) for i in range(200)]
+    assert b"".join(quality.pieces(texts[0])) == texts[0].encode() and quality.pieces("a bc") == [b"a", b"bc"]
+    found = list(quality.Features().of_batch(texts))
+    weights = quality.train([(*f, i % 2) for i, f in enumerate(found[:150])])
+    assert np.mean([(quality.score(weights, *f) >= 0.5) == i % 2 for i, f in enumerate(found[150:])]) > 0.95
+    assert quality.shape(b"a-1" * 20) != quality.shape(b"a-1" * 19)
+
+
 def test_language_learns_and_defines_cases(spark, docs):
     rng = np.random.default_rng(8)
     parts = {"aa": ["tion", "ing", "the"], "bb": ["eau", "oux", "ette"]}

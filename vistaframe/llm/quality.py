@@ -5,7 +5,8 @@ of a pair also says whether the words are equal. A document is the sparse vector
 its features' relative frequencies (square-rooted and of length one). Weights are
 trained one document at a time with follow-the-regularised-leader updates (per-weight
 rates, L1 and L2), and a score is the logistic of a sparse dot product. Whole texts
-are read, in training and in scoring.
+are read, in training and in scoring; a word of more than LONG bytes (text without
+spaces) counts as its pieces of PIECE bytes, which are words of their own.
 
 The fit reads at most SAMPLE labelled documents of the training folds (a documented
 bound, spread by a hash of the id); everything else covers all rows. The weights are
@@ -35,6 +36,7 @@ from .common import crc_fold, kept_rows, mix, sample_ids, small_batches, table,
 BITS = 18
 SAMPLE = 4000
 EPOCHS = 4
+LONG, PIECE = 64, 6
 _KEPT = 80_000
 _SHAPE = re.compile(rb"([A-Z]+|[a-z\x80-\xff]+|[0-9]+)|([^A-Za-z0-9\x80-\xff])\2*")
 
@@ -42,7 +44,7 @@ _SHAPE = re.compile(rb"([A-Z]+|[a-z\x80-\xff]+|[0-9]+)|([^A-Za-z0-9\x80-\xff])\2
 def shape(word: bytes) -> bytes:
     """Runs of letters and digits to one mark each; the first of other repeated marks stays."""
     out = []
-    for m in _SHAPE.finditer(word[:64]):
+    for m in _SHAPE.finditer(word):
         run = m.group()
         c = run[:1]
         if c.isupper():
@@ -53,7 +55,15 @@ def shape(word: bytes) -> bytes:
             out.append(b"a")
         else:
             out.append(c if len(run) == 1 else c + c)
-    return b"".join(out)[:12]
+    return b"".join(out)
+
+
+def pieces(text: str | None) -> list[bytes]:
+    """The words of a text, long ones in pieces."""
+    ws = utf8(text).split()
+    if max(map(len, ws), default=0) <= LONG:
+        return ws
+    return [p for w in ws for p in ([w] if len(w) <= LONG else [w[i : i + PIECE] for i in range(0, len(w), PIECE)])]
 
 
 class _Seen(dict):
@@ -83,7 +93,7 @@ class Features:
         if len(self.seen) >= _KEPT:
             self.seen = _Seen()
         find = self.seen.__getitem__
-        lists = [np.fromiter(map(find, ws), np.int64, len(ws)) for ws in (utf8(t).split() for t in texts)]
+        lists = [np.fromiter(map(find, ws), np.int64, len(ws)) for ws in map(pieces, texts)]
         words, forms = np.array(self.seen.word, np.uint64), np.array(self.seen.form, np.uint64)
         for at in lists:
             yield self._of(words[at], forms[at]) if len(at) else (np.empty(0, np.int64), np.empty(0))
