@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 METRES_PER_MINUTE = 66.67
 
 
@@ -23,11 +25,7 @@ def adjacency(edges: DataFrame) -> DataFrame:
 def _kept(df: DataFrame) -> DataFrame:
     """df written to the session's shared folder and read again: a cut lineage."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "/tmp/checkpoints/vistaframe"
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/routes-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/routes-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

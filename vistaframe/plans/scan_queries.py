@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, tags
 from ..operators import sight
+from ..session import shared_folder
 from ..sources import contexts, grids
 from .base import frame, micro, micro_sql, query
 from .rank_queries import CANDS, SAME, spots
@@ -53,8 +54,7 @@ def s16(spark, d):
 
 
 def _folder(spark) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/vistaframe"
-    return f"{root.rstrip('/')}/sink-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/sink-{uuid.uuid4().hex}"
 
 
 @query("k01_exclusive_sink", f"WITH {grids.SYNTHETIC_SQL} SELECT row, col, occupancy FROM grid")

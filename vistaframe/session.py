@@ -30,6 +30,24 @@ def ship(spark: SparkSession) -> None:
     context._vistaframe_shipped = True
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share for scratch tables: spark.checkpoint.dir.
+
+    A session on one machine that names none (a test) gets a folder of its own, set as its
+    checkpoint folder; on a cluster the setting is needed.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = context.getCheckpointDir()
+        if not root:
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="vistaframe-"))
+            root = context.getCheckpointDir()
+    return root.rstrip("/")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table; read through Spark so that any file system works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

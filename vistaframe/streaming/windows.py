@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 LATE = "2 hours"
 
 
@@ -48,8 +50,7 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 def drained(result: DataFrame, mode: str = "complete") -> DataFrame:
     """Run a stream over what is there and return its rows (for batch callers and tests)."""
     spark = result.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/vistaframe"
     name = f"s{uuid.uuid4().hex}"
-    run = result.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{root.rstrip('/')}/{name}").trigger(availableNow=True).start()
+    run = result.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{shared_folder(spark)}/{name}").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.table(name)
