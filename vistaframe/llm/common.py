@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 
 import numpy as np
+import regex
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import shared_folder, ship
 
-#: Rows in an Arrow batch of documents; keeps a batch to a few MB of typical text.
-DOC_BATCH = 256
+#: Rows and bytes that a kernel takes of an Arrow batch at once (the batches themselves are
+#: bounded by Spark, at 64 MB); one longer text is a piece of its own.
+DOC_BATCH, DOC_BYTES = 256, 8 << 20
 _CACHE_WORDS = 80_000
 
 
@@ -21,22 +22,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the rows that a Python worker holds at once, and let workers import us."""
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(DOC_BATCH))
+def pieces_of(batch, rows: int = DOC_BATCH, size: int = DOC_BYTES):
+    """A batch in pieces of at most so many rows and (beyond one row) bytes."""
+    at = 0
+    while at < batch.num_rows:
+        n = min(rows, batch.num_rows - at)
+        while n > 1 and batch.slice(at, n).nbytes > size:
+            n = (n + 1) // 2
+        yield batch.slice(at, n)
+        at += n
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir, which all executors share.
-
-    Only a session that names no such folder (a local test) gets one of its own.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "/tmp/checkpoints/vistaframe"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/vistaframe-{uuid.uuid4().hex}"
+    """A fresh folder below the session's shared one (session.shared_folder)."""
+    return f"{shared_folder(spark)}/vistaframe-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str = "t") -> DataFrame:
@@ -64,13 +63,14 @@ KEPT: dict[str, object] = {}
 
 
 def tidy(run, keeps: str = ""):
-    """A kernel that leaves a reused worker process small: what other kernels kept goes
-    first, and freed memory returns to the system at the end of the task."""
+    """A kernel that sees batches in bounded pieces and leaves a reused worker process small:
+    what other kernels kept goes first, and freed memory returns to the system at the end
+    of the task."""
 
     def wrapped(batches):
         for name in [k for k in KEPT if k != keeps]:
             del KEPT[name]
-        yield from run(batches)
+        yield from run(piece for batch in batches for piece in pieces_of(batch))
         release()
 
     return wrapped
@@ -131,6 +131,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """df without columns that a result's columns of these names are to replace."""
+    taken = {n.lower() for n in names}
+    return df.select(*[df[c] for c in df.columns if c.lower() not in taken])
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether the text has a character of the Unicode categories L* (numerals are none)."""
+    return text is not None and LETTER.search(text) is not None
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df does not have."""
     taken = {c.lower() for c in df.columns}
@@ -144,7 +155,7 @@ def kept_rows(docs: DataFrame, text: str, make_test) -> DataFrame:
     the worker, a function from a list of texts to a list of booleans."""
     import pyarrow as pa
 
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
 
     def run(batches):
         test = make_test()
@@ -156,7 +167,7 @@ def kept_rows(docs: DataFrame, text: str, make_test) -> DataFrame:
 
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def sample_ids(df: DataFrame, key: str, bound: int, by: list[str] | None = None) -> DataFrame:

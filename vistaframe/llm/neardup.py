@@ -39,7 +39,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCodes, fresh, mix, small_batches, table, tidy, word_codes, written
+from ..session import ship
+from .common import WordCodes, fresh, mix, table, tidy, word_codes, written
 
 POSITIONS, CHUNKS, ERRORS = 48, 12, 1
 WIDTH = POSITIONS // CHUNKS
@@ -291,7 +292,7 @@ class NearDuplicates:
 
     def __init__(self, docs: DataFrame, width: int = 5):
         self.spark, self.width = docs.sparkSession, width
-        small_batches(self.spark)
+        ship(self.spark)
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         coded = self.docs.withColumn("text_code", F.xxhash64("text"))
         self.described = written(coded.mapInArrow(tidy(_describe(width)), "doc_id long, text_code long, n_shingles long, node long, sig binary"), "described")

@@ -16,7 +16,8 @@ Defined cases: a null or empty text has only the bias, so its score is the bias'
 labels that are null or whose document is absent are not learned from; repeated label
 rows of an id count once each; without any usable label, or with one class only, the
 score is the share of that class (0.5 without labels); an empty table gives an empty
-result; ties need no rule; further columns are ignored.
+result; ties need no rule; further columns are kept, but for one named score, which
+the score replaces.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, kept_rows, mix, sample_ids, small_batches, table, tidy, utf8
+from ..session import ship
+from .common import crc_fold, kept_rows, mix, sample_ids, table, tidy, utf8, without
 
 BITS = 18
 SAMPLE = 4000
@@ -161,6 +163,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, parts: int,
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", parts: int = 5, bound: int = SAMPLE) -> bytes:
     """Weights as bytes: learned from labels of documents whose fold is not 0."""
+    ship(docs.sparkSession)
     rows = labelled_sample(docs, labels, column, parts, bound).mapInArrow(tidy(_extract), "label int, index binary, value binary").collect()
     rows.sort(key=lambda r: (bytes(r["index"]), bytes(r["value"]), r["label"]))
     data = [(np.frombuffer(r["index"], np.int32).astype(np.int64), np.frombuffer(r["value"], np.float32).astype(float), r["label"]) for r in rows]
@@ -176,11 +179,13 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", parts: int
 
 
 def scored(docs: DataFrame, model: bytes) -> DataFrame:
-    """The columns of docs and score, the probability of label 1."""
+    """The columns of docs and score, the probability of label 1 (a column score of docs
+    gives way to it)."""
     from pyspark.sql.types import DoubleType, StructType
 
     spark = docs.sparkSession
-    small_batches(spark)
+    ship(spark)
+    docs = without(docs, "score")
     sent = spark.sparkContext.broadcast(model)
     names = docs.columns
     schema = StructType(list(docs.schema.fields)).add("score", DoubleType())

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 SHARD_ROWS = 8192
 BLOCK_ROWS = 32
 PACKET_QUERIES = 1024
@@ -178,7 +180,7 @@ def sharded_search(vectors: DataFrame, kernel, found: str, shard_rows: int = SHA
     vectors: vec_id, vector, is_query. Shards have a bounded number of rows; the
     number of shards follows the table.
     """
-    spark = vectors.sparkSession
+    ship(vectors.sparkSession)
     shards = max(1, -(-vectors.count() // shard_rows))
     dealt = vectors.withColumn("shard", F.pmod(F.xxhash64(F.lit(5), "vec_id"), F.lit(shards)).cast("int"))
     candidates = (
@@ -190,7 +192,6 @@ def sharded_search(vectors: DataFrame, kernel, found: str, shard_rows: int = SHA
     asked = vectors.filter("is_query").mapInArrow(_only_queries, PACKET)
     asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select("shard", *[c.split()[0] for c in PACKET.split(", ")])
     both = candidates.unionByName(asked)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
     return both.repartition(shards, "shard").sortWithinPartitions("shard", "width", "is_query").mapInArrow(kernel, found)
 
 

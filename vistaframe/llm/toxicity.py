@@ -22,7 +22,8 @@ Scoring reads whole texts. The model has a fixed size and is sent as a broadcast
 Defined cases: a null or empty text has no token and scores as no evidence; null
 labels are not learned from; with one class or none learned, every score is the share
 of toxic labels (0 without labels); repeated rows repeat; an empty table gives an
-empty result; further columns are kept as the caller selects.
+empty result; further columns are kept, but for those named score and spans, which the
+results replace.
 """
 
 from __future__ import annotations
@@ -37,7 +38,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, small_batches, table, tidy, utf8
+from ..session import ship
+from .common import crc_fold, table, tidy, utf8, without
 from .quality import labelled_sample
 
 BITS = 17
@@ -310,10 +312,12 @@ def offsets(text: str, marginal: np.ndarray, least: float = 0.5) -> list[dict]:
 
 
 def tagged(docs: DataFrame, model: bytes, spans: bool = True) -> DataFrame:
-    """The columns of docs, score, and with spans the offending offsets."""
+    """The columns of docs, score, and with spans the offending offsets (columns of docs so
+    named give way)."""
     from pyspark.sql.types import StructType
 
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
+    docs = without(docs, "score", *["spans"] * spans)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     added = "score double" + (", spans array<struct<start:int,stop:int,marginal:double>>" if spans else "")
     schema = StructType(list(docs.schema.fields) + list(StructType.fromDDL(added).fields))
