@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTER, crc_fold, kept_rows, sample_ids, small_batches, table, tidy
+from ..session import ship
+from .common import crc_fold, has_letter, kept_rows, sample_ids, table, tidy, without
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 12, 8
 SAMPLE, WINDOWS = 2400, 4
@@ -151,7 +152,7 @@ class Scorer:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        who = [i for i, t in enumerate(texts) if t is not None and LETTER.search(t)]
+        who = [i for i, t in enumerate(texts) if has_letter(t)]
         if not self.net.languages:
             return names, scores
         for start in range(0, len(who), 64):
@@ -172,7 +173,7 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs, out = [], []
         for lang, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            if text is not None and LETTER.search(text):
+            if has_letter(text):
                 w = windows(text)
                 langs.append(lang)
                 out.append(w[np.unique(np.linspace(0, len(w) - 1, WINDOWS).astype(int))].tobytes())
@@ -181,6 +182,7 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, parts: int = 3, held: int = 1, bound: int = SAMPLE) -> bytes:
     """A network learned from documents whose fold is not held."""
+    ship(docs.sparkSession)
     known = docs.select(F.col("doc_id").cast("long").alias("pick"), F.col("lang").cast("string").alias("label")).filter("pick IS NOT NULL AND label IS NOT NULL")
     picked = sample_ids(known.filter(crc_fold("pick", parts) != held), "pick", bound, ["label"])
     rows = docs.join(F.broadcast(picked), F.col("doc_id").cast("long") == F.col("pick")).select(F.col("text").cast("string").alias("text"), "label").mapInArrow(tidy(_spread), "label string, body binary").collect()
@@ -195,10 +197,11 @@ def fit(docs: DataFrame, parts: int = 3, held: int = 1, bound: int = SAMPLE) ->
 
 
 def identified(docs: DataFrame, model: bytes) -> DataFrame:
-    """The columns of docs, lang_pred and score."""
+    """The columns of docs, lang_pred and score (columns of docs so named give way)."""
     from pyspark.sql.types import DoubleType, StringType, StructType
 
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
+    docs = without(docs, "lang_pred", "score")
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = StructType(list(docs.schema.fields)).add("lang_pred", StringType()).add("score", DoubleType())
     names = docs.columns
