@@ -26,14 +26,22 @@ def test_edge_texts(pair):
 
 
 def test_every_code_point(pair):
-    points = [chr(c) for c in range(0x3100) if not 0xD800 <= c < 0xE000] + [chr(c) for c in range(0x1F300, 0x1F700)]
-    points.remove(chr(0x1C89))  # a capital that Python does not lower yet
-    texts = [f"a{c}b {c}" for c in points]
     lib, own = pair
-    bad = [hex(ord(c)) for c, g, e in zip(points, own.encode(texts), lib.encode_batch(texts, add_special_tokens=False), strict=True) if g[1] != " ".join(map(str, e.ids))]
+    points = [chr(c) for c in (*range(0xD800), *range(0xE000, 0x34000), *range(0x3D000, 0x40000), *range(0xE0000, 0xE1000))]
+    bad = []
+    for at in range(0, len(points), 20_000):
+        some = points[at : at + 20_000]
+        texts = [f"a{c}b {c}" for c in some]
+        bad += [hex(ord(c)) for c, g, e in zip(some, own.encode(texts), lib.encode_batch(texts, add_special_tokens=False), strict=True) if g[1] != " ".join(map(str, e.ids))]
     assert len(bad) == 0, bad[:50]
 
 
+def test_long_words(pair):
+    """Words beyond LONG go by the heap, with the same ids."""
+    rng = random.Random(8)
+    same(pair, ["".join(rng.choice("abcdeilnorst") for _ in range(n)) for n in (bpe.LONG, bpe.LONG + 1, 5000, 20_000)] + ["ab" * 4000 + " a b", "a" * 30_001])
+
+
 def test_random_words(pair):
     rng = random.Random(3)
     alphabet = "aaabcdehilnorst   'éß1.!"
@@ -47,7 +55,9 @@ def test_restore(pair):
 
 
 def test_query_frame(spark):
-    df = spark.createDataFrame([(1, "a b", "x"), (2, None, None), (2, None, None), (None, "", "y")], "doc_id long, text string, n_tokens2 string")
-    rows = bpe.encode(df, digests=True).collect()
+    df = spark.createDataFrame([(1, "a b", "x"), (2, None, None), (2, None, None), (None, "", "y")], "doc_id long, text string, n_tokens string")
+    out = bpe.encode(df, digests=True)
+    assert out.columns == ["doc_id", "n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256"]
+    rows = out.collect()
     assert len(rows) == 4 and sorted(r.n_tokens for r in rows) == [0, 0, 0, 2]
     assert bpe.encode(df.limit(0)).count() == 0

@@ -9,13 +9,16 @@ driver and sent as a broadcast of fixed size; executors open no local file.
 
 Defined cases: a null text counts as empty (no ids); special tokens that occur in a
 text become their ids; white space separates words and is dropped, as the vocabulary
-has it; a few historic capitals newer than Python's own tables keep their case; very long texts and words need memory in proportion to themselves only;
-repeated rows give repeated results; an empty table gives an empty result.
+has it; very long texts and words need memory in proportion to themselves only (a word of
+more than LONG bytes is merged by a heap of its pairs instead of by rounds over all of
+it); columns named as the results give way to them; repeated rows give repeated results;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -25,7 +28,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import KEPT, small_batches, table, tidy
+from ..session import ship
+from .common import KEPT, table, tidy, without
 
 END = "</w>"
 # Letters and numbers of Unicode 17, which the vocabulary's cutter (Unicode 16)
@@ -37,6 +41,9 @@ NEWER_LETTERS = (
     "1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E "
     "2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
 )
+# Capitals of Unicode 16 and 17 that Python's tables do not lower yet, as code
+# points or ranges of them, each with the small letter of its first.
+NEWER_CAPITALS = "1C89>1C8A A7CB>264 A7CC>A7CD A7CE>A7CF A7D2>A7D3 A7D4>A7D5 A7DA>A7DB A7DC>19B 10D50-10D65>10D70 16EA0-16EB8>16EBB"
 NEWER_NUMBERS = "11DE0-11DE9 1246F 12475-1247F 12550-12686 16FF4-16FF6"
 
 
@@ -49,6 +56,31 @@ _L, _N = f"[\\p{{L}}--[{_class(NEWER_LETTERS)}]]", f"[\\p{{N}}--[{_class(NEWER_N
 #: Pattern of the vocabulary's word cutter.
 CUTTER = rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{_L}+|{_N}|(?:(?!{_L}|{_N})\S)+"
 _WORDS_KEPT = 80_000
+#: Bytes of a word from which its pairs are merged by a heap.
+LONG = 2048
+
+
+def _lowered() -> dict[int, int]:
+    """Small letters of NEWER_CAPITALS, of those that str.lower() leaves alone."""
+    out = {}
+    for entry in NEWER_CAPITALS.split():
+        capitals, small = entry.split(">")
+        ends = [int(x, 16) for x in capitals.split("-")]
+        for i, c in enumerate(range(ends[0], ends[-1] + 1)):
+            if chr(c).lower() == chr(c):
+                out[c] = int(small, 16) + i
+    return out
+
+
+_LOWERED = _lowered()
+
+
+def _within_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 def byte_letters() -> list[str]:
@@ -85,12 +117,52 @@ class Vocabulary:
         self.inner = np.array([vocab[x] for x in letters], np.int64)
         self.last = np.array([vocab[x + END] for x in letters], np.int64)
 
+    def merged(self, ids: np.ndarray) -> list[int]:
+        """The symbols of one long word, merged: a heap gives the lowest rank, then the leftmost."""
+        symbol = ids.tolist()
+        before, after = list(range(-1, len(symbol) - 1)), [*range(1, len(symbol)), -1]
+
+        def ranked(at: int, a: int, b: int):
+            key = (a << 32) | b
+            k = int(np.searchsorted(self.keys, key))
+            if k < len(self.keys) and self.keys[k] == key:
+                heapq.heappush(heap, (int(self.ranks[k]), at, a, b, int(self.made[k])))
+
+        key = (ids[:-1] << 32) | ids[1:]
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        heap = [(int(self.ranks[k]), i, symbol[i], symbol[i + 1], int(self.made[k])) for i, k in zip(np.flatnonzero(self.keys[at] == key).tolist(), at[self.keys[at] == key].tolist(), strict=True)]
+        heapq.heapify(heap)
+        while heap:
+            _, i, a, b, made = heapq.heappop(heap)
+            j = after[i]
+            if j < 0 or symbol[i] != a or symbol[j] != b:
+                continue  # one of the pair has been merged since
+            symbol[i], symbol[j], after[i] = made, -1, after[j]
+            if after[i] >= 0:
+                before[after[i]] = i
+                ranked(i, made, symbol[after[i]])
+            if before[i] >= 0:
+                ranked(before[i], symbol[before[i]], made)
+        return [x for x in symbol if x >= 0]
+
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each non-empty word."""
+        long = [i for i, w in enumerate(words) if len(w) > LONG]
+        if long:
+            out = self._rounds([b"" if len(w) > LONG else w for w in words])
+            for i in long:
+                raw = np.frombuffer(words[i], np.uint8)
+                ids = self.inner[raw]
+                ids[-1] = self.last[raw[-1]]
+                out[i] = self.merged(ids)
+            return out
+        return self._rounds(words)
+
+    def _rounds(self, words: list[bytes]) -> list[list[int]]:
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         raw = np.frombuffer(b"".join(words), np.uint8)
         ids = self.inner[raw]
-        ends = np.cumsum(lengths)
+        ends = np.cumsum(lengths)[lengths > 0]
         ids[ends - 1] = self.last[raw[ends - 1]]
         owner = np.repeat(np.arange(len(words)), lengths)
         done_ids, done_owner = [], []
@@ -146,8 +218,8 @@ class Encoder:
         return self._plain(text)
 
     def _plain(self, text: str) -> list[str]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        if not text.isascii() and not _within_latin(text):
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").translate(_LOWERED)
         text = text.lower()
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # str.split() would cut there
             return regex.findall(r"[^\p{White_Space}]+", text)
@@ -257,14 +329,14 @@ class _Sent:
 
 def encode(df: DataFrame, text: str = "text", path: str | None = None, ids: bool = True, digests: bool = False, decoded: bool = True) -> DataFrame:
     """The columns of df, and of each text: n_tokens, with ids also ids (and decoded),
-    with digests also ids_sha256 and decoded_sha256. text itself is dropped if it is
-    not among the columns to keep (select it under another name to keep it)."""
-    small_batches(df.sparkSession)
+    with digests also ids_sha256 and decoded_sha256. text itself is dropped (select it
+    under another name to keep it), and so are columns named as those that are added."""
+    ship(df.sparkSession)
     sent = _Sent(df.sparkSession, path or default_path())
-    keep = [c for c in df.columns if c != text]
     added = ["n_tokens long"] + ["ids array<int>"] * ids + ["decoded string"] * (ids and decoded) + ["ids_sha256 string", "decoded_sha256 string"] * digests
     from pyspark.sql.types import StructType
 
+    keep = without(df, text, *[a.split()[0] for a in added]).columns
     schema = StructType([df.schema[c] for c in keep] + list(StructType.fromDDL(", ".join(added)).fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
