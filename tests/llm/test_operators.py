@@ -59,6 +59,73 @@ def test_mixing_targets_and_bounds(spark, docs):
     assert mixing.plan(docs.limit(0)).count() == 0
 
 
+def test_mixed_rows_meet_targets_with_repeated_and_null_ids(spark):
+    """Every source's words come within half a document of its target, however often an id,
+    a text or a whole row is repeated."""
+    rng = np.random.default_rng(21)
+    rows = []
+    for i in range(900):
+        text = " ".join(["w"] * int(rng.integers(1, 30))) + f" t{i % 50}"
+        rows.append((None if i % 3 == 0 else int(i % 7 if i % 3 == 1 else i), text, None, "abc"[i % 3] if i % 10 else None, i))
+    rows += [(5, "one and the same row of seven words", "en", "c", 1)] * 400
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    targets = {r.source: r.target for r in mixing.plan(frame).select("source", "target").distinct().collect()}
+    got, longest = Counter(), 31
+    for r in mixing.mixed(frame).collect():
+        got[r.source] += len(r.text.split())
+    assert set(got) == set(targets) == {"a", "b", "c", None}
+    for source, target in targets.items():
+        assert abs(got[source] - target) <= longest / 2 + 1
+    taken = Counter()
+    for r in mixing.plan(frame).collect():
+        assert 0 <= r.taken <= 2 * r["size"]
+        taken[r.source] += r.taken
+    assert all(abs(taken[s] - t) <= 1 for s, t in targets.items())
+    assert mixing.mixed(frame.limit(0)).count() == 0
+
+
+def test_sharding_spreads_equal_rows(spark):
+    """Equal rows are dealt as independently as others: a chi-square over shards and slots."""
+    rows = [(7, "the same text", "en", "a", 1)] * 4000 + [(i, f"text {i}", "en", "a", 1) for i in range(4000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    mine = [r for r in shard.assign(frame, 8).collect() if r.doc_id == 7]
+    per = Counter((r.shard, r.slot // 250) for r in mine)
+    assert len(per) == 32 and sum((n - 125) ** 2 / 125 for n in per.values()) < 70
+
+
+def test_shards_with_clashing_names(spark, docs, tmp_path):
+    path = f"file://{tmp_path}/shards"
+    named = docs.withColumn("shard", F.lit("x")).withColumn("slot", F.lit("y")).withColumn("at", F.lit(1))
+    shard.write_shards(named, path, 3)
+    back = spark.read.parquet(path)
+    assert "shard_" in back.columns and back.filter("shard = 'x' AND slot = 'y'").count() == 11
+
+
+def test_results_replace_columns_of_their_names(spark, docs, labels):
+    named = docs.withColumn("Score", F.lit("x")).withColumn("lang_pred", F.lit("x")).withColumn("spans", F.lit("x"))
+    out = quality.scored(named, quality.fit(docs, labels))
+    assert out.columns == [*docs.columns, "lang_pred", "spans", "score"] and dict(out.dtypes)["score"] == "double" and out.count() == 11
+    out = langid.identified(named, langid.fit(docs))
+    assert out.columns == [*docs.columns, "spans", "lang_pred", "score"] and out.count() == 11
+    out = toxicity.tagged(named, toxicity.fit(docs, labels))
+    assert out.columns == [*docs.columns, "lang_pred", "score", "spans"] and out.count() == 11
+
+
+def test_numerals_are_no_letters(spark, docs):
+    frame = spark.createDataFrame([(1, "½ ① ²"), (2, "Ⅷ 12"), (3, "ª")], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in langid.identified(frame, langid.fit(docs)).collect()}
+    assert got[1] == got[2] == "und" and got[3] != "und"
+
+
+def test_batches_are_cut_by_bytes():
+    from vistaframe.llm.common import pieces_of
+
+    batch = pa.RecordBatch.from_pydict({"text": ["x" * 1000] * 100 + ["y" * 100_000] + ["z"] * 300})
+    cut = list(pieces_of(batch, 256, 20_000))
+    assert pa.Table.from_batches(cut).equals(pa.Table.from_batches([batch]))
+    assert all(c.num_rows <= 256 and (c.num_rows == 1 or c.nbytes <= 20_000) for c in cut)
+
+
 def test_mixed_rows_keep_columns(spark, clashing):
     out = mixing.mixed(clashing)
     assert out.columns == clashing.columns

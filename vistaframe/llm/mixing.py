@@ -4,19 +4,24 @@ The weighted share of each source is clamped at a maximum number of epochs; what
 clamp cuts off goes to the other sources by weight until none is above its clamp.
 The level is found in one ordered pass over the sources. Every document is then
 taken a whole number of times, and the fraction that is left is sampled without
-replacement in a seeded order of the documents of the source, the last one in part.
-Running sums are two-level (hash block, then within a block), so that no source,
-however large, is ordered in one task.
+replacement: it is a prefix of a seeded order of the documents of the source, whose
+last one is taken in part. Where each prefix ends is searched level by level: sums by
+ever longer beginnings of the order's key, each level only within the group in which the
+level before ends. So no source, however large, is ordered in one task, and a document
+knows its share by comparing its own key with its source's cut. Rows that share the cut's
+key are summed to one row with a count before they are shared out.
 
 Defined cases: a null text has size 0 and is taken 0 times; a null source is a
-source of its own, ordered last; equal rows are interchangeable; a source of size 0
-has target 0; an empty table gives an empty result; further columns are kept or
-dropped as the caller selects.
+source of its own, ordered last; rows of equal id, source and size are interchangeable
+(in the mix as rows: of equal id, source and text, any one of which may stand for the
+others at the cut); a source of size 0 has target 0; an empty table gives an empty
+result; documents without a word are not in the mix; further columns are kept, whatever
+their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD_PATTERN, fresh, table, written
@@ -26,18 +31,33 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 EPOCHS = 2.0
 SEED = "mix-1"
-_ORDER = ("mark", "doc_id", "size")
+#: Beginnings of the order's key by which the cut is searched; the last is the whole key. Of
+#: plan(): 32 digits of the mark, 16 of the size; of mixed(): 16 of the text's hash instead.
+LEVELS, TEXT_LEVELS = (3, 6, 48), (3, 6, 32, 35, 48)
+#: Sources whose cuts are broadcast; those of more are joined by shuffle.
+BROADCAST_SOURCES = 100_000
 
 
-def sized(df: DataFrame) -> DataFrame:
-    """The narrow columns that mixing needs: doc_id, source, size and the seeded order."""
-    pattern = WORD_PATTERN.replace("\\", "\\\\")
-    return df.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("source").cast("string").alias("source"),
-        F.coalesce(F.expr(f"regexp_count(text, '{pattern}')"), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")).alias("mark"),
-    )
+def _size(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
+
+
+def _tag(source: Column) -> Column:
+    """The source as a join key that is never null."""
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
+
+
+def _key(doc_id: Column, then: Column) -> Column:
+    """The seeded order: md5 of the id, then a long."""
+    mark = F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(doc_id.cast("long").cast("string"), F.lit("null"))).cast("binary"))
+    return F.concat(mark, F.lpad(F.hex(then), 16, "0"))
+
+
+def sized(df: DataFrame, by_text: bool = False) -> DataFrame:
+    """The narrow columns that mixing needs: doc_id, source, tag, size and the order's key."""
+    size = _size(df["text"])
+    then = F.xxhash64(df["text"].cast("string")) if by_text else size
+    return df.select(df["doc_id"].cast("long").alias("doc_id"), df["source"].cast("string").alias("source"), _tag(df["source"]).alias("tag"), size.alias("size"), _key(df["doc_id"], then).alias("key"))
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -63,6 +83,31 @@ def targets(sizes: DataFrame) -> DataFrame:
     return level.select("source", "source_size", F.when(F.col("capped"), F.col("cap")).otherwise(share).alias("target"))
 
 
+def _hint(small: DataFrame, sources: int) -> DataFrame:
+    return F.broadcast(small) if sources <= BROADCAST_SOURCES else small
+
+
+def cuts(sizes: DataFrame, levels: tuple[int, ...]) -> DataFrame:
+    """Of each source: tag, source_size, target, whole (full repetitions of every document),
+    cut_key where the prefix taken once more ends, left (words it takes of the rows of that
+    key), and sources (their number)."""
+    goal = targets(sizes).withColumn("words", F.floor(F.col("target") + 0.5).cast("long"))
+    goal = goal.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("words") / F.col("source_size"))).otherwise(0).cast("long"))
+    goal = goal.select(_tag(F.col("source")).alias("tag"), "source_size", "target", "whole", (F.col("words") - F.col("whole") * F.col("source_size")).alias("left"), F.lit("").alias("cut_key"))
+    goal = written(goal, "goal")
+    sources = goal.count()
+    at = goal.select("tag", "left", "cut_key")
+    for n, length in enumerate(levels):
+        side = at.select("tag", F.col("cut_key").alias("begin"))
+        part = sizes.withColumn("begin", F.substring("key", 1, levels[n - 1])).join(_hint(side, sources), ["tag", "begin"]) if n else sizes
+        group = part.groupBy("tag", F.substring("key", 1, length).alias("cut_key")).agg(F.sum("size").alias("words")).filter("words > 0")
+        before = Window.partitionBy("tag").orderBy("cut_key").rowsBetween(Window.unboundedPreceding, -1)
+        group = group.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
+        group = group.join(_hint(at.select("tag", "left"), sources), "tag").filter("before <= left AND left < before + words")
+        at = written(group.select("tag", (F.col("left") - F.col("before")).alias("left"), "cut_key"), "cut")
+    return goal.drop("left", "cut_key").join(at, "tag", "left").withColumn("sources", F.lit(sources))
+
+
 def plan(df: DataFrame) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, whole, rest, cut.
 
@@ -70,24 +115,15 @@ def plan(df: DataFrame) -> DataFrame:
     more; cut: rest is less than the document.
     """
     sizes = written(sized(df), "sizes")
-    goal = targets(sizes).withColumn("words", F.floor(F.col("target") + 0.5).cast("long"))
-    goal = goal.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("words") / F.col("source_size"))).otherwise(0).cast("long"))
-    goal = goal.withColumn("more", F.col("words") - F.col("whole") * F.col("source_size")).withColumn("has", F.col("source").isNotNull()).withColumn("key", F.coalesce("source", F.lit("")))
-    block = F.substring("mark", 1, 3)
-    blocks = sizes.groupBy("source", block.alias("block")).agg(F.sum("size").alias("block_size"))
-    before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(F.col("source").isNotNull().alias("has"), F.coalesce("source", F.lit("")).alias("key"), "block", F.coalesce(F.sum("block_size").over(before), F.lit(0)).alias("blocks_before"))
-    starts = blocks.join(goal.drop("source"), ["has", "key"])
-    within = Window.partitionBy("has", "key", "block").orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, -1)
-    rows = (
-        sizes.withColumn("has", F.col("source").isNotNull())
-        .withColumn("key", F.coalesce("source", F.lit("")))
-        .withColumn("block", block)
-        .withColumn("in_block", F.coalesce(F.sum("size").over(within), F.lit(0)))
-        .join(starts, ["has", "key", "block"])
-        .withColumn("rest", F.least(F.col("size"), F.greatest(F.lit(0), F.col("more") - F.col("blocks_before") - F.col("in_block"))).cast("long"))
-    )
-    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("rest")).cast("long").alias("taken"), "whole", "rest", ((F.col("rest") > 0) & (F.col("rest") < F.col("size"))).alias("cut"))
+    ends = written(cuts(sizes, LEVELS), "cuts")
+    rows = sizes.join(_hint(ends, ends.count()), "tag")
+    at_cut = F.col("key").eqNullSafe(F.col("cut_key"))
+    plain = rows.filter(~at_cut).withColumn("rest", F.when(F.col("key") < F.col("cut_key"), F.col("size")).otherwise(0))
+    keys = ["doc_id", "source", "size", "source_size", "target", "whole", "left"]
+    tied = rows.filter(at_cut).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    tied = tied.withColumn("rest", F.least(F.col("size"), F.greatest(F.lit(0), F.col("left") - F.col("i") * F.col("size"))))
+    out = plain.select(*keys, "rest").unionByName(tied.select(*keys, "rest"))
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("rest")).cast("long").alias("taken"), "whole", "rest", ((F.col("rest") > 0) & (F.col("rest") < F.col("size"))).alias("cut"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
@@ -95,15 +131,26 @@ def mixed(docs: DataFrame) -> DataFrame:
 
     Rows stay whole texts here: the one document of each source that the sample cuts
     is taken once more if at least half of it is, so a source is at most half a
-    document off its target.
+    document off its target. Only a source's cut travels to the rows, not the rows.
     """
-    shares = plan(docs).select("doc_id", "size", (F.col("whole") + F.when(F.col("rest") * 2 >= F.greatest("size", F.lit(1)), 1).otherwise(0)).cast("int").alias("copies"))
-    shares = shares.filter("copies > 0 AND size > 0").groupBy("doc_id").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows_of_id"))
-    share, copy = fresh(docs, "share"), fresh(docs, "copy")
-    every = F.greatest(F.lit(1), F.ceil(F.col("copies") / F.col("rows_of_id"))).cast("int")
-    side = shares.select(F.struct("doc_id", every.alias("times")).alias(share))
-    kept = docs.join(side, docs["doc_id"].cast("long").eqNullSafe(F.col(share)["doc_id"]))
-    return kept.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(share)["times"]))).select(*[docs[c] for c in docs.columns])
+    sizes = written(sized(docs, by_text=True), "sizes")
+    found = cuts(sizes, TEXT_LEVELS)
+    width = sizes.groupBy("tag", F.col("key").alias("cut_key")).agg(F.max("size").alias("size"))
+    found = written(found.join(width, ["tag", "cut_key"], "left"), "cuts")
+    tag, key, end, times = (fresh(docs, n) for n in ("tag", "key", "end", "times"))
+    rows = docs.filter(docs["text"].cast("string").rlike(WORD_PATTERN)).withColumn(tag, _tag(docs["source"])).withColumn(key, _key(docs["doc_id"], F.xxhash64(docs["text"].cast("string"))))
+    ends = found.select(F.col("tag").alias(tag), F.struct("whole", "cut_key", "left", "size").alias(end))
+    rows = rows.join(_hint(ends, found.count()), tag)
+    e = F.col(end)
+    at_cut = F.col(key).eqNullSafe(e["cut_key"])
+    copies = e["whole"] + F.coalesce((F.col(key) < e["cut_key"]).cast("long"), F.lit(0))
+    names = docs.columns
+    plain = rows.filter(~at_cut).withColumn(times, copies).filter(F.col(times) > 0).select(*names, times)
+    # words of the cut left over: whole documents, and one more from a half on
+    more = F.floor(e["left"] / e["size"]) + (2 * (e["left"] % e["size"]) >= e["size"]).cast("long")
+    tied = rows.filter(at_cut).groupBy(tag, key).agg(F.first(F.struct(*names)).alias("row"), F.first(e).alias(end), F.count(F.lit(1)).alias("n"))
+    tied = tied.withColumn(times, F.col("n") * e["whole"] + more).filter(F.col(times) > 0).select("row.*", times)
+    return plain.unionByName(tied).withColumn(key, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
