@@ -287,8 +287,10 @@ def test_hnsw_graph_recall_with_copies():
     assert hits / (20 * len(queries)) >= 0.9
 
 
-def test_language_model_counts_and_base(spark, docs):
-    out = pitman_yor.scored(docs, crc_fold("doc_id", 10) == 0).collect()
+@pytest.mark.parametrize("part_tokens", [pitman_yor.PART_TOKENS, 3000])
+def test_language_model_counts_and_base(spark, docs, part_tokens):
+    named = docs.withColumn("held_out", F.lit("x")).withColumn("score", F.lit("x")).withColumn("part", F.lit("x"))
+    out = pitman_yor.scored(named, crc_fold("doc_id", 10) == 0, part_tokens).collect()
     rows = docs.collect()
     assert len(out) == len(rows)
     tokens = {(r.doc_id, r.text): words(r.text) + [b" end"] for r in rows}
@@ -301,82 +303,143 @@ def test_language_model_counts_and_base(spark, docs):
     assert pitman_yor.scored(docs.limit(0), crc_fold("doc_id", 10) == 0).count() == 0
 
 
-def test_predictive_probabilities_sum_to_one():
-    """Over the words of a vocabulary and the one unseen word, in every restaurant."""
-    rng = np.random.default_rng(6)
-    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.5, 60) % 40) for _ in range(30)]
-    numbers = pitman_yor.Numbers()
-    flat, counts = pitman_yor.tokens(texts, numbers)
-    names = np.array(numbers.codes, np.uint64)
-    leaf = pitman_yor.leaves(flat, counts, names)
-    # every word once in every context as held-out tokens, so that all types exist
-    used, seen = np.unique(leaf), np.unique(flat)
-    word, where = np.repeat(seen, len(used)), np.tile(used, len(seen))
-    index = np.r_[flat, word]
-    doc = np.r_[np.zeros(len(flat)), np.ones(len(word))].astype(np.uint16)
-    order = np.argsort(index, kind="stable")
-    ids, many = np.unique(index, return_counts=True)
-    one = pitman_yor.Part([[names[ids], many.astype(np.int32), np.r_[leaf, where][order].astype(np.uint16), doc[order], np.array([0, 1], np.uint8)]], np.empty(0, np.uint64))
-    assert one.count.sum() == len(flat)
-    for state in one.sweeps(np.random.default_rng(1), 1):
-        assert (state[0] <= one.c).all() and ((state[0] > 0) == (one.c > 0)).all()
-        p = one.probabilities(state, one.totals(*state), 1 / (len(seen) + 1))
-        sums = np.bincount(one.leaf, p)[used]
-        assert (sums < 1).all() and (sums > 0.9).all()
-
-
-def _language_parts(parts, frequent):
-    """The counted partitions of a small corpus."""
-    rng = np.random.default_rng(12)
-    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, 200) % 500) for _ in range(150)]
-    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(150)), "text": texts, "held_out": [False] * 150})
-    rows = [r for b in pitman_yor._chunks(parts, frequent)(iter([batch])) for r in b.to_pylist()]
-    return [pitman_yor.Part([pitman_yor._unpack(r["body"])], frequent) for r in rows if r["part"] >= 0]
-
-
-def _language_totals(every):
-    def summed(known):
-        got = [one.totals(*one.seating(i, known)).arrays() for i, one in enumerate(every)]
-        return pitman_yor.Totals.of([sum(a) for a in zip(*got, strict=True)])
-
-    return pitman_yor.settled(summed)
-
-
 @pytest.fixture()
 def no_task(monkeypatch):
     task = SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0))
     monkeypatch.setattr(pitman_yor, "TaskContext", task)
 
 
-def test_language_model_seats_with_all_partitions(no_task):
-    """The root's probabilities sum to one in every sweep, and partitions change no count of tables."""
-    frequent = np.sort(np.array([pitman_yor.xxhash.xxh3_64_intdigest(f"w{i}".encode()) for i in range(1, 9)], np.uint64))
-    every, alone = _language_parts(16, frequent), _language_parts(1, frequent)
-    assert len(every) == 16 and len(alone) == 1
-    known, whole = _language_totals(every), _language_totals(alone)
-    for k, totals in enumerate(known):
-        base, root = 1 / (totals.vocabulary + 1), {}
-        for i, one in enumerate(every):
-            root |= dict(zip(one.words.tolist(), one.upper(one.seating(i, known[:k]), totals, base)[0].tolist(), strict=True))
-        assert len(root) == totals.vocabulary
-        assert abs(sum(root.values()) + base * (pitman_yor.STRENGTH[2] + pitman_yor.DISCOUNT[2] * totals.root[1]) / (pitman_yor.STRENGTH[2] + totals.root[0]) - 1) < 1e-9
-    assert known[0].leaf_t.sum() == whole[0].leaf_t.sum()
-    for a, b in zip(known, whole, strict=True):
-        assert abs(a.leaf_t.sum() / b.leaf_t.sum() - 1) < 0.02 and abs(a.root[0] / b.root[0] - 1) < 0.02
-
-
-def test_language_model_seats_frequent_words_at_the_root(no_task):
-    """Tables of frequent words follow the seating, as they do for words that are not split."""
-    frequent = np.sort(np.array([pitman_yor.xxhash.xxh3_64_intdigest(f"w{i}".encode()) for i in range(1, 9)], np.uint64))
-    split = _language_totals(_language_parts(16, frequent))
-    plain = _language_parts(1, np.empty(0, np.uint64))
-    known = _language_totals(plain)
-    tables = plain[0].seating(0, known[:-1])[2][np.searchsorted(plain[0].words, frequent)]
-    assert (split[-1].often[2] >= 1).all() and (split[-1].often[2] <= split[-1].often[1]).all()
-    assert abs(split[-1].often[2].sum() / tables.sum() - 1) < 0.2
-    assert abs(split[-1].root[1] / known[-1].root[1] - 1) < 0.05
-    other = sum(one.seating(i, split[:-1])[2][~one.often].sum() for i, one in enumerate(_language_parts(16, frequent)))
-    assert split[-1].root[1] == other + split[-1].often[2].sum()
+def _language_corpus():
+    rng = np.random.default_rng(12)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, 120) % 300) for _ in range(120)]
+    return texts, [i % 6 == 0 for i in range(120)]
+
+
+def _language_model(parts, room):
+    """The model of a small corpus in this process: parts, roots after each sweep, kept states."""
+    texts, held = _language_corpus()
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts, "held_out": held})
+    size = sum(len(t.split()) + 1 for t in texts)
+    keys = {}
+    for r in (r for b in pitman_yor._counting(room / size)(iter([batch])) for r in b.to_pylist()):
+        if r["kind"] >= 0 and r["n"] > room / 2:
+            keys.setdefault(r["kind"], []).append((r["key"], r["n"]))
+    busy = pitman_yor.Busy(keys, room)
+    rows = [r for b in pitman_yor._chunks(parts, busy)(iter([batch])) for r in b.to_pylist() if r["part"] >= 0]
+    every = [(r["part"], pitman_yor.Part([pitman_yor._unpack(r["body"])], 3)) for r in rows]
+    roots, answers, held_state = [], [[] for _ in every], [None] * 3
+    for sweep in range(pitman_yor.BURN_IN + pitman_yor.SAMPLES + 1):
+        states = [list(one.states(n, a))[-1] for (n, one), a in zip(every, answers, strict=True)]
+        left, sums = [[] for _ in every], np.zeros(3)
+        for b in range(3):
+            sent = []
+            for (_, one), state in zip(every, states, strict=True):
+                cut = slice(one.edges[b], one.edges[b + 1])
+                sent.append([one.words[cut], one.root_customers(state)[cut].astype(np.int32), one.count[cut].astype(np.int64)])
+            held_state[b], got, more = pitman_yor.seated_root(b, sweep, sent, held_state[b], roots[-1] if roots else None)
+            for mine, g in zip(left, got, strict=True):
+                mine.append(g[0])
+            sums += more
+        roots.append(pitman_yor.Root(sums[0], sums[1], roots[0].vocabulary if roots else int(sums[2])))
+        for a, mine in zip(answers, left, strict=True):
+            a.append(roots[-1].probabilities(np.concatenate(mine)))
+    return busy, every, roots, answers, held_state
+
+
+@pytest.mark.parametrize(("parts", "room"), [(1, 1e9), (8, 1e9), (8, 150.0)])
+def test_language_model_probabilities(no_task, parts, room):
+    """Every restaurant's probabilities sum to one and equal the recursion written out, with
+    one partition, several, and restaurants opened as rooms."""
+    busy, every, roots, answers, buckets = _language_model(parts, room)
+    assert len(every) == parts and (len(busy.keys[0]) > 0) == (len(busy.keys[1]) > 0) == (room < 1e9)
+    texts, held = _language_corpus()
+    train = Counter(w for t, h in zip(texts, held, strict=True) if not h for w in [*t.split(), None])
+    assert roots[0].vocabulary == len(train) and sum(one.c.sum() for _, one in every) == sum(train.values())
+    base, end = roots[-1].base, roots[-1]
+    (dl, dm, dr), (sl, sm, sr) = pitman_yor.DISCOUNT, pitman_yor.STRENGTH
+    root, spare = {}, (sr + dr * end.tables) / (sr + end.customers)
+    for codes, customers, tables in buckets:
+        for w, c, t in zip(codes.tolist(), customers.tolist(), tables.tolist(), strict=True):
+            root[w] = ((c - dr * t) if c else 0) / (sr + end.customers) + spare * base
+    known = sum(p for w, p in root.items() if w in {x for codes, c, _ in buckets for x in codes[c > 0].tolist()})
+    assert abs(known + spare * base - 1) < 1e-9
+    for (n, one), roots_seen in zip(every, answers, strict=True):
+        state = list(one.states(n, roots_seen[:-1]))[-1]
+        assert np.allclose(roots_seen[-1], [root[w] for w in one.words.tolist()])
+        got, mid = one.probabilities(state, roots_seen[-1]), one.in_middle(state, roots_seen[-1])
+        t, tm = state
+        assert ((t > 0) == (one.c > 0)).all() and (t <= np.maximum(one.c, 0)).all()
+        # a middle restaurant's customers are the tables of its leaves
+        leaf_groups, mid_groups = {}, {}
+        for i in range(len(one.w)):
+            leaf_groups.setdefault(int(one.leaf[i]), {})[int(one.w[i])] = (one.c[i], t[i])
+            c, _ = mid_groups.setdefault(int(one.leaf_mid[one.leaf[i]]), {}).get(int(one.w[i]), (0, 0))
+            mid_groups[int(one.leaf_mid[one.leaf[i]])][int(one.w[i])] = (c + t[i], tm[one.pair_of[i]])
+
+        def predict(groups, d, s, w, parent):
+            c, k = groups.get(w, (0, 0))
+            return ((c - d * k) + (s + d * sum(x for _, x in groups.values())) * parent) / (s + sum(x for x, _ in groups.values()))
+
+        plain = lambda w: root[int(one.words[w])]
+        for i in range(0, len(one.w), 37):
+            m = mid_groups[int(one.leaf_mid[one.leaf[i]])]
+            pm = predict(m, dm, sm, int(one.w[i]), plain(int(one.w[i])))
+            assert abs(pm - mid[one.pair_of[i]]) < 1e-12
+            leaf = leaf_groups[int(one.leaf[i])]
+            assert abs(predict(leaf, dl, sl, int(one.w[i]), pm) - got[i]) < 1e-12
+            spread = (sl + dl * sum(x for _, x in leaf.values())) / (sl + sum(x for x, _ in leaf.values()))
+            there = sum(predict(leaf, dl, sl, w, predict(m, dm, sm, w, plain(w))) for w in leaf)
+            rest = 1 - sum(predict(m, dm, sm, w, plain(w)) for w in leaf)
+            assert abs(there + spread * rest - 1) < 1e-9
+
+
+def test_partitions_change_no_sums(no_task):
+    """The root's sums are those of one partition, up to the draws."""
+    one, many = _language_model(1, 1e9)[2], _language_model(8, 1e9)[2]
+    assert one[0].customers == many[0].customers and one[0].tables == many[0].tables
+    for a, b in zip(one, many, strict=True):
+        assert abs(a.customers / b.customers - 1) < 0.03 and abs(a.tables / b.tables - 1) < 0.05
+
+
+def test_tables_are_drawn_from_their_conditional_distribution():
+    """Against all seatings of five customers, enumerated; and large groups against a long chain."""
+    d, s, others, parent = pitman_yor.DISCOUNT[0], pitman_yor.STRENGTH[0], 3.0, 0.05
+    mass = Counter()
+
+    def sit(sizes, left, weight):
+        if not left:
+            mass[len(sizes)] += weight
+            return
+        for k in range(len(sizes)):
+            sit([n + (j == k) for j, n in enumerate(sizes)], left - 1, weight * (sizes[k] - d))
+        sit([*sizes, 1], left - 1, weight * (s + d * (others + len(sizes))) * parent)
+
+    sit([1], 4, (s + d * others) * parent)
+    want = np.array([mass[t] for t in range(1, 6)]) / sum(mass.values())
+    n = 40_000
+    got = pitman_yor.draw(np.random.default_rng(1), np.full(n, 5.0), np.full(n, others), np.full(n, parent), 0)
+    share = np.bincount(got.astype(int), minlength=6)[1:] / n
+    assert np.abs(share - want).max() < 0.01
+    c = 2 * pitman_yor.STIRLING
+    table = pitman_yor.stirling(d, c)[c, 1:]
+    for others, parent in ((3.0, 0.05), (300.0, 0.01), (3000.0, 0.02), (30_000.0, 0.02)):
+        exact = table + np.cumsum(np.log((s + d * (others + np.arange(c))) * parent))
+        exact = np.exp(exact - exact.max()) / np.exp(exact - exact.max()).sum()
+        t = np.arange(1, c + 1)
+        mean = exact @ t
+        spread = math.sqrt(exact @ t**2 - mean**2)
+        drawn = pitman_yor.draw(np.random.default_rng(2), np.full(n, float(c)), np.full(n, others), np.full(n, parent), 0)
+        assert abs(drawn.mean() - mean) < 0.02 * mean + 0.03 and abs(drawn.std() / spread - 1) < 0.06
+    assert np.allclose(pitman_yor.lgamma(np.array([0.3, 1.0, 7.5, 1e6])), [math.lgamma(x) for x in (0.3, 1.0, 7.5, 1e6)])
+
+
+def test_language_model_learns_contexts(spark):
+    """Held-out perplexity is far below the base's, and texts that occur twice score apart."""
+    d = "/root/testdata/sf0.001"
+    rows = pitman_yor.query(spark, d).collect()
+    held = [r for r in rows if r.held_out]
+    tokens = sum(r.n_tokens for r in held)
+    assert sum(r.score for r in held) / tokens > sum(r.base_score for r in held) / tokens + 0.3
 
 
 def test_quality_learns_and_defines_cases(spark, docs, labels):
