@@ -560,3 +560,96 @@ def test_marginals_equal_enumeration():
                 mass[t, y[t]] += w
         p = (f * b)[i] / (1 + (f * b)[i])
         assert np.allclose(p, mass[:, 1] / mass.sum(axis=1))
+
+
+def test_stretches_link_to_whole_texts():
+    """The odds of texts cut into stretches are those of the uncut chains."""
+    rng = np.random.default_rng(15)
+    a = np.exp(np.array([[0.5, -2.0], [-1.0, 1.5]]))
+    stretches = np.array([1, 4, 2, 7])
+    u = rng.normal(-2, 3, (int(stretches.sum()), 8))
+    f, b = toxicity.linked_odds(u, a, stretches)
+    at = 0
+    for n in stretches:
+        one, two, _ = toxicity.marginal_odds(u[at : at + n].reshape(1, -1), a)
+        assert np.allclose(f[at : at + n].ravel(), one[0]) and np.allclose(b[at : at + n].ravel(), two[0])
+        at += n
+
+
+def test_field_gradient_descends():
+    """One training step moves the weights against the numeric gradient of the log likelihood."""
+    rng = np.random.default_rng(16)
+    u, y, t = rng.normal(size=(4, 6)), rng.integers(0, 2, (4, 6)), rng.normal(size=(2, 2))
+
+    def loss(u, t):
+        a, out = np.exp(t), 0.0
+        for row, tags in zip(u, y, strict=True):
+            mass = [math.exp(sum(row[i] * z[i] for i in range(6))) * math.prod(a[z[i], z[i + 1]] for i in range(5)) for z in itertools.product((0, 1), repeat=6)]
+            own = sum(row[i] * tags[i] for i in range(6)) + sum(t[tags[i], tags[i + 1]] for i in range(5))
+            out += math.log(sum(mass)) - own
+        return out
+
+    f, b, e = toxicity.marginal_odds(u, np.exp(t))
+    p = f * b / (1 + f * b)
+    for i, j in ((0, 0), (2, 3), (3, 5)):
+        step = np.zeros_like(u)
+        step[i, j] = 1e-5
+        assert abs((loss(u + step, t) - loss(u - step, t)) / 2e-5 - (p - y)[i, j]) < 1e-6
+
+
+def test_network_gradients_are_those_of_the_loss():
+    net = langid.Network(["a", "b", "c"], seed=3)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    rng = np.random.default_rng(17)
+    x = rng.integers(97, 123, (6, langid.WINDOW + max(langid.WIDTHS) - 1)).astype(np.uint8)
+    y = np.array([0, 1, 2, 0, 1, 2])
+
+    def loss():
+        e, pooled = net.p["embed"][x], []
+        for k in langid.WIDTHS:
+            pooled.append((sum(e[:, j : j + langid.WINDOW] @ net.p[f"w{k}"][j] for j in range(k)) + net.p[f"b{k}"]).max(axis=1))
+        z = np.maximum(np.concatenate(pooled, axis=1), 0) @ net.p["out"] + net.p["bias"]
+        return float(np.mean(np.log(np.exp(z).sum(axis=1)) - z[np.arange(6), y]))
+
+    got = net.gradients(x, y)
+    for name, where in (("out", (3, 1)), ("bias", (2,)), ("w2", (0, 4, 5)), ("w4", (3, 2, 7)), ("b3", (6,)), ("embed", (int(x[0, 0]), 2))):
+        held, h = net.p[name][where], 1e-6
+        net.p[name][where] = held + h
+        up = loss()
+        net.p[name][where] = held - h
+        down = loss()
+        net.p[name][where] = held
+        assert abs((up - down) / (2 * h) - got[name][where]) < 1e-4
+
+
+def test_ftrl_equals_the_updates_written_out():
+    rng = np.random.default_rng(18)
+    examples = [(np.unique(rng.integers(0, 16, 4)), None, int(rng.integers(2))) for _ in range(30)]
+    examples = [(i, rng.random(len(i)), y) for i, _, y in examples]
+    got = quality.train(examples, bits=4, epochs=2, alpha=0.3, beta=1.0, l1=0.05, l2=0.2, seed=1)
+    z, n = [0.0] * 17, [0.0] * 17
+
+    def weight(i):
+        if abs(z[i]) <= 0.05:
+            return 0.0
+        return -(z[i] - math.copysign(0.05, z[i])) / ((1.0 + math.sqrt(n[i])) / 0.3 + 0.2)
+
+    order = np.random.default_rng(1)
+    for _ in range(2):
+        for k in order.permutation(30):
+            index, value, y = examples[k]
+            parts = [(int(i), float(v)) for i, v in zip(index, value, strict=True)] + [(16, 1.0)]
+            p = 1 / (1 + math.exp(-sum(weight(i) * v for i, v in parts)))
+            for i, v in parts:
+                g = (p - y) * v
+                w = weight(i)
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / 0.3 * w
+                n[i] += g * g
+    assert np.allclose(got, [weight(i) for i in range(17)])
+
+
+def test_vectors_with_further_columns(spark, vectors):
+    """Columns named as the searches' own change nothing."""
+    named = vectors.withColumn("shard", F.lit("x")).withColumn("vector", F.lit("x")).withColumn("is_query", F.lit("x")).withColumn("score", F.lit(1))
+    assert sorted(topk.search(topk.integers(named)).collect()) == sorted(topk.search(topk.integers(vectors)).collect())
+    assert hnsw.usable_vectors(named).columns == hnsw.usable_vectors(vectors).columns

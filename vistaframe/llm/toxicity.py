@@ -6,17 +6,20 @@ and (nearly) never in clean ones, each time the word that explains most toxic
 documents not explained yet; their occurrences in toxic documents are the tagged
 tokens. The field has two states; a token's evidence comes from hashed weights of the
 word and its two neighbours. It is trained with AdaGrad on the exact gradient
-(forward-backward marginals minus tags). Chains are stretches of CHAIN tokens; every
-chain of a sampled document is trained on.
+(forward-backward marginals minus tags) over stretches of CHAIN tokens; every stretch of
+a sampled document is trained on.
 
 With two states the forward and backward messages are odds, and each step is one
-fractional linear map, done for all chains of a batch at once. A document's score is
+fractional linear map, done for all stretches of a batch at once. In scoring a text is one
+chain: the maps of its stretches are composed first, and then give each stretch the
+messages that enter it from both sides. Beyond its end a text counts as clean. A document's score is
 a logistic of its largest marginal, of the sum of its raised marginals and of its
 length, calibrated on the training sample;
 offending offsets are runs of tokens whose marginal reaches one half, as character
 positions in the text.
 
-The fit reads at most SAMPLE labelled documents, evenly by class (a documented bound).
+The fit reads at most SAMPLE labelled documents, evenly by class, and chooses at most CUES
+cues (documented bounds); features as frequent and as one-sided as these join them.
 Scoring reads whole texts. The model has a fixed size and is sent as a broadcast.
 
 Defined cases: a null or empty text has no token and scores as no evidence; null
@@ -89,6 +92,63 @@ def neighbours(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return before, after
 
 
+def _step(e: np.ndarray, f: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """Forward odds at a token with evidence odds e, from those at the token before."""
+    return e * (a[0, 1] + a[1, 1] * f) / (a[0, 0] + a[1, 0] * f)
+
+
+def _back(m: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """Backward odds at a token, from evidence times backward odds at the next."""
+    return (a[1, 0] + a[1, 1] * m) / (a[0, 0] + a[0, 1] * m)
+
+
+def _composed(steps: list[tuple], size: int) -> np.ndarray:
+    """The product of fractional linear maps ((p, q), (r, s)), the last one outermost."""
+    out = np.zeros((2, 2, size))
+    out[0, 0] = out[1, 1] = 1.0
+    for p, q, r, s in steps:
+        out = np.stack([p * out[0] + q * out[1], r * out[0] + s * out[1]])
+        out /= out.max(axis=(0, 1))
+    return out
+
+
+def linked_odds(u: np.ndarray, a: np.ndarray, stretches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward odds of texts whose stretches stand in consecutive rows of u.
+
+    stretches: the number of rows of each text. The same as marginal_odds of whole texts.
+    """
+    e = np.exp(np.clip(u, -30, 30)).T.copy()
+    size, first = e.shape[1], np.cumsum(np.r_[0, stretches[:-1]])
+    enter, leave = np.ones(size), np.ones(size)
+    if (stretches > 1).any():
+        ahead = _composed([(a[1, 1] * e[t], a[0, 1] * e[t], a[1, 0], a[0, 0]) for t in range(len(e))], size)
+        behind = _composed([(a[1, 1] * e[t], a[1, 0], a[0, 1] * e[t], a[0, 0]) for t in range(len(e) - 1, 0, -1)], size)
+        apply = lambda m, i, x: (m[0, 0, i] * x + m[0, 1, i]) / (m[1, 0, i] * x + m[1, 1, i])
+        # the first token of a text has no step before it: its odds are the evidence alone
+        out = e[0].copy()
+        inner = _composed([(a[1, 1] * e[t], a[0, 1] * e[t], a[1, 0], a[0, 0]) for t in range(1, len(e))], size)
+        last_out = np.empty(size)
+        for k in range(int(stretches.max())):
+            at = first[stretches > k] + k
+            if k:
+                enter[at] = last_out[at - 1]
+                last_out[at] = apply(ahead, at, enter[at])
+            else:
+                last_out[at] = apply(inner, at, out[at])
+        for k in range(int(stretches.max()) - 1, 0, -1):
+            at = first[stretches > k] + k
+            leave[at - 1] = _back(e[0, at] * apply(behind, at, leave[at]), a)
+    f, b = np.empty_like(e), np.empty_like(e)
+    f[0] = _step(e[0], enter, a)
+    f[0, first] = e[0, first]
+    for t in range(1, len(e)):
+        f[t] = _step(e[t], f[t - 1], a)
+    b[-1] = leave
+    for t in range(len(e) - 2, -1, -1):
+        b[t] = _back(e[t + 1] * b[t + 1], a)
+    return f.T, b.T
+
+
 def marginal_odds(u: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Odds of state 1 for chains in rows: forward, backward, and evidence odds.
 
@@ -98,11 +158,10 @@ def marginal_odds(u: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     f, b = np.empty_like(e), np.empty_like(e)
     f[0] = e[0]
     for t in range(1, len(e)):
-        f[t] = e[t] * (a[0, 1] + a[1, 1] * f[t - 1]) / (a[0, 0] + a[1, 0] * f[t - 1])
+        f[t] = _step(e[t], f[t - 1], a)
     b[-1] = 1.0
     for t in range(len(e) - 2, -1, -1):
-        m = e[t + 1] * b[t + 1]
-        b[t] = (a[1, 0] + a[1, 1] * m) / (a[0, 0] + a[0, 1] * m)
+        b[t] = _back(e[t + 1] * b[t + 1], a)
     return f.T, b.T, e.T
 
 
@@ -182,7 +241,7 @@ class Field:
                 part[1:] += as_before[at[:-1]]
                 part[:-1] += as_after[at[1:]]
                 u[start : start + len(at)] = part
-        f, b, _ = marginal_odds(u.reshape(-1, CHAIN), np.exp(self.trans))
+        f, b = linked_odds(u.reshape(-1, CHAIN), np.exp(self.trans), chains[chains > 0])
         odds = (f * b).ravel()
         p = odds / (1 + odds)
         return [p[s : s + n] for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
