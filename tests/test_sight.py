@@ -122,6 +122,36 @@ def test_unknown_cell_is_unknown_and_spreads_along_rays(spark, open_ground):
     assert got.filter("row = 40 AND col = 44").first().state == 3 and got.filter("row = 40 AND col = 48").first().state == 3
 
 
+@pytest.mark.parametrize("curvature", [0.0, 6 / 7])
+@pytest.mark.parametrize("whole", [64, 5])
+def test_octants_and_curvature_equal_the_relational_form(spark, monkeypatch, whole, curvature):
+    """The same states whether a window is one group or eight, with and without curvature."""
+    from vistaframe.operators import block_view
+
+    monkeypatch.setattr(block_view, "WHOLE", whole)
+    cells = grids.synthetic(spark)
+    targets = spark.createDataFrame([(1, 30, 33, 40.0), (2, 5, 60, 25.0)], "target_id long, trow int, tcol int, tz double")
+    one = sight.viewshed(cells, targets, 140.0, 5.0, rows=4096, curvature=curvature)
+    two = block_view.viewshed(cells, targets, 140.0, 5.0, curvature=curvature)
+    assert one.count() == two.count() and one.exceptAll(two).count() == 0
+    three = block_view.viewshed_counts(block_view.tiled(cells, 16), targets, 140.0, 5.0, curvature=curvature, tiles=16)
+    want = {(r.target_id, r.state): r["count"] for r in one.groupBy("target_id", "state").count().collect()}
+    for r in three.collect():
+        assert [r.blocked, r.visible, r.excluded, r.unknown] == [want.get((r.target_id, s), 0) for s in range(4)]
+
+
+def test_curvature_hides_far_ground_only_if_asked(spark):
+    """Flat ground over the former switch of sizes: all visible without curvature."""
+    from vistaframe.operators import block_view
+
+    flat = grids.synthetic(spark, 161).select("row", "col", F.lit(0.0).alias("dtm"), F.lit(0.0).alias("surface"), F.lit(0).alias("occupancy"), F.lit(3).alias("quality"), F.lit(1).alias("out_mask"))
+    one = spark.createDataFrame([(1, 80, 80, 0.0)], "target_id long, trow int, tcol int, tz double")
+    for radius in (300.0, 390.0):
+        got = block_view.viewshed_counts(flat, one, radius, 5.0, eye=0.0, curvature=0.0).first()
+        assert got.blocked == 0 and got.visible > 10_000
+        assert block_view.viewshed_counts(flat, one, radius, 5.0, eye=0.0, curvature=300.0).first().blocked > 2000
+
+
 @pytest.mark.parametrize("radius", [12.0, 60.0, 150.0])
 def test_block_kernel_equals_the_relational_form(spark, radius):
     from vistaframe.operators import block_view

@@ -121,7 +121,7 @@ def horizon(bearings: DataFrame, surface: DataFrame, res: float, key: list[str],
     )
 
 
-def viewshed(cells: DataFrame, targets: DataFrame, radius: float, res: float, eye: float = 1.7, rows: int | None = None) -> DataFrame:
+def viewshed(cells: DataFrame, targets: DataFrame, radius: float, res: float, eye: float = 1.7, rows: int | None = None, curvature: float = 6 / 7) -> DataFrame:
     """State of every cell in a window around each target: target_id, row, col, state.
 
     targets: target_id, trow, tcol, tz (absolute). Cells outside the disk, occupied or
@@ -143,6 +143,6 @@ def viewshed(cells: DataFrame, targets: DataFrame, radius: float, res: float, ey
         (F.col("col") + 0.5).alias("c1"), (F.col("row") + 0.5).alias("r1"), (F.col("dtm") + eye).alias("z1"),
     ).withColumnRenamed("row", "orow").withColumnRenamed("col", "ocol")
     blockers = cells.withColumn("surface", F.when((F.col("quality").bitwiseAND(3) == 3) & (F.col("quality").bitwiseAND(248) == 0), F.col("surface")))
-    lit = sight_lines(rays, blockers, res, ["target_id", "orow", "ocol"], rows).select("target_id", F.col("orow").alias("row"), F.col("ocol").alias("col"), F.col("state").alias("ray_state"))
+    lit = sight_lines(rays, blockers, res, ["target_id", "orow", "ocol"], rows, curvature).select("target_id", F.col("orow").alias("row"), F.col("ocol").alias("col"), F.col("state").alias("ray_state"))
     state = F.when(~F.col("open"), EXCLUDED).when(~F.col("known"), UNKNOWN).otherwise(F.col("ray_state"))
     return placed.join(lit, ["target_id", "row", "col"], "left").select("target_id", "row", "col", state.cast("int").alias("state"))

@@ -146,8 +146,35 @@ def dense(spark, sf_dir):
 
 @query("g02_dense_summary", f"{DENSE} SELECT target_id, count(*) FILTER (state = 1) AS visible, count(*) FILTER (state = 0) AS blocked, count(*) FILTER (state = 2) AS excluded, count(*) FILTER (state = 3) AS unknown FROM dense GROUP BY target_id")
 def dense_summary(spark, sf_dir):
-    n = lambda s: F.count_if(F.col("state") == s)
-    return _dense(spark, sf_dir).groupBy("target_id").agg(n(1).alias("visible"), n(0).alias("blocked"), n(2).alias("excluded"), n(3).alias("unknown"))
+    return block_view.viewshed_counts(grids.synthetic(spark), frame(spark, sf_dir, TARGETS), RADIUS, RES, rows=4096)
+
+
+#: A target of the region table in a large generated grid, its window of one kilometre.
+WIDE, FAR = 4801, 1000.0
+FAR_TARGETS = "SELECT CAST(r_regionkey AS BIGINT) AS target_id, CAST(2300 + 37 * r_regionkey AS INTEGER) AS trow, CAST(2350 - 41 * r_regionkey AS INTEGER) AS tcol, CAST(45 + 9 * r_regionkey AS DOUBLE) AS tz FROM {region}"
+_H = int(FAR // RES) + 1
+_TOP = lambda r, c: f"CASE WHEN ({r} * {WIDE} + {c}) % 997 = 13 THEN NULL WHEN {r} % 9 IN (3, 4) AND {c} % 7 IN (2, 3) THEN (3 * {r} + 5 * {c}) % 23 + 12 + (19 * ({c} // 7) + 31 * ({r} // 9)) % 17 ELSE (3 * {r} + 5 * {c}) % 23 END"
+_LOW = lambda t: f"tz + ({t}) * dz - q * ({t}) * (1 - ({t}))"
+#: Rays as slabs along their longer axis, and in each slab the cells of the shorter one that the closed ray meets.
+FAR_SQL = f"""WITH targets AS ({FAR_TARGETS}),
+cells AS (SELECT *, r - trow AS dr, c - tcol AS dc, {_TOP('r', 'c')} AS top, CAST((3 * r + 5 * c) % 23 AS DOUBLE) AS dtm FROM (
+  SELECT t.*, CAST(trow + i AS BIGINT) AS r, CAST(tcol + j AS BIGINT) AS c FROM targets t, range({-_H}, {_H + 1}) a(i), range({-_H}, {_H + 1}) b(j))),
+judged AS (SELECT *, (dr * dr + dc * dc) * {RES * RES} <= {FAR * FAR} + 1e-9 AND NOT (r % 9 IN (3, 4) AND c % 7 IN (2, 3)) AND c >= 4 AND r < {WIDE - 4} AS open, top IS NOT NULL AND NOT (r = 50 AND c = 50) AS known FROM cells),
+rays AS (SELECT target_id, r, c, trow, tcol, tz, abs(dr) > abs(dc) AS by_row, greatest(abs(dr), abs(dc)) AS n, least(abs(dr), abs(dc)) AS m, sign(dr) AS sr, sign(dc) AS sc,
+  dtm + 1.7::DOUBLE - tz AS dz, (6.0::DOUBLE / 7) * (dr * dr + dc * dc) * {RES * RES} / {EARTH_DIAMETER_M} AS q FROM judged WHERE open AND known AND (dr <> 0 OR dc <> 0)),
+slabs AS (SELECT *, greatest(0, (k - 0.5::DOUBLE) / n) AS ta, least(1, (k + 0.5::DOUBLE) / n) AS tb FROM (SELECT *, unnest(range(0, n + 1)) AS k FROM rays)),
+met AS (SELECT *, unnest(range(CAST(ceil(m * ta - 0.5 - 1e-9) AS BIGINT), CAST(floor(m * tb + 0.5 + 1e-9) AS BIGINT) + 1)) AS j FROM slabs),
+pieces AS (SELECT target_id, r, c, tz, dz, q,
+  CASE WHEN m = 0 THEN ta ELSE least(tb, greatest(ta, (j - 0.5::DOUBLE) / m)) END AS t1, CASE WHEN m = 0 THEN tb ELSE greatest(ta, least(tb, (j + 0.5::DOUBLE) / m)) END AS t2,
+  CAST(trow + sr * CASE WHEN by_row THEN k ELSE j END AS BIGINT) AS pr, CAST(tcol + sc * CASE WHEN by_row THEN j ELSE k END AS BIGINT) AS pc FROM met),
+least_ AS (SELECT target_id, r, c, {_TOP('pr', 'pc')} AS s, CASE WHEN q > 0 THEN greatest(t1, least(t2, (q - dz) / (2 * q))) ELSE t2 END AS t, tz, dz, q FROM pieces),
+lit AS (SELECT target_id, r, c, CASE WHEN bool_or(s IS NULL) THEN 3 WHEN min({_LOW('t')} - s) < -1e-6 THEN 0 ELSE 1 END AS state FROM least_ GROUP BY 1, 2, 3),
+far AS (SELECT j.target_id, CASE WHEN NOT open THEN 2 WHEN NOT known THEN 3 WHEN dr = 0 AND dc = 0 THEN CASE WHEN least(tz, dtm + 1.7) - top < -1e-6 THEN 0 ELSE 1 END ELSE lit.state END AS state FROM judged j LEFT JOIN lit USING (target_id, r, c))"""
+
+
+@query("g02_dense_summary_1km", f"{FAR_SQL} SELECT target_id, count(*) FILTER (state = 1) AS visible, count(*) FILTER (state = 0) AS blocked, count(*) FILTER (state = 2) AS excluded, count(*) FILTER (state = 3) AS unknown FROM far GROUP BY target_id")
+def dense_summary_far(spark, sf_dir):
+    return block_view.viewshed_counts(grids.synthetic(spark, WIDE), frame(spark, sf_dir, FAR_TARGETS), FAR, RES)
 
 
 BEARINGS = """
