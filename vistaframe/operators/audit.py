@@ -49,3 +49,52 @@ def disagreement(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
         F.count_if((F.col("one") == 0) & (F.col("two") == 1)).alias("false_blocked"),
         F.count_if(F.col("one").isNull() | F.col("two").isNull()).alias("missing"),
     )
+
+
+def ledger(calls: DataFrame, day: Column, limit: int, most_calls: int, most_images: int) -> DataFrame:
+    """day, used, calls, images of admitted and refused calls, and what is over its cap.
+
+    calls: micro_usd, is_image.
+    """
+    per = calls.groupBy(day.alias("day")).agg(F.sum("micro_usd").cast("long").alias("used"), F.count(F.lit(1)).alias("calls"), F.count_if("is_image").alias("images"))
+    over = F.when(F.col("used") > limit, "daily_spending_exhausted").when((F.col("calls") > most_calls) | (F.col("images") > most_images), "daily_request_cap_exhausted")
+    return per.withColumn("over", over)
+
+
+def sampled_mismatches(source: DataFrame, stored: DataFrame, key: str, fields: list[str], rows: int = 64, seed: str = "m:") -> DataFrame:
+    """key, problem (missing, changed) of a seeded sample of source rows against the stored ones."""
+    mark = F.md5(F.concat(F.lit(seed), F.col(key).cast("string")).cast("binary"))
+    sample = source.orderBy(mark, key).limit(rows).select(key, F.struct(*fields).alias("want"))
+    both = sample.join(stored.select(key, F.struct(*fields).alias("have"), F.lit(1).alias("hit")), key, "left")
+    same = F.lit(True)
+    for f in fields:
+        same = same & F.col(f"want.{f}").eqNullSafe(F.col(f"have.{f}"))
+    return both.select(key, F.when(F.col("hit").isNull(), "missing").when(~same, "changed").alias("problem"))
+
+
+def subset_changes(before: DataFrame, after: DataFrame, key: str, z: str, vertices: str) -> DataFrame:
+    """Checks of a subset against the table it was cut from: rows, those not in the table,
+    changed elevations, vertices lost, and the range of elevations."""
+    was = before.select(key, F.col(z).alias("z0"), F.col(vertices).alias("v0"), F.lit(1).alias("hit"))
+    both = after.join(was, key, "left")
+    return both.agg(
+        F.count(F.lit(1)).alias("kept"),
+        F.count_if(F.col("hit").isNull()).alias("foreign"),
+        F.count_if(F.col("hit").isNotNull() & ~F.col(z).eqNullSafe(F.col("z0"))).alias("changed"),
+        F.coalesce(F.sum(F.col("v0") - F.col(vertices)), F.lit(0)).cast("long").alias("vertices_lost"),
+        F.min(z).alias("low"),
+        F.max(z).alias("high"),
+    )
+
+
+def overlap(products: DataFrame, tile: str, value: str, limits: list[float]) -> DataFrame:
+    """one, other, shared, missing and exceedances of the differences between the tiles' own
+    products where their halos overlap, of every ordered pair of tiles.
+
+    products: tile, row, col, value; a cell stands once in every tile that made it.
+    """
+    a = products.select(F.col(tile).alias("one"), "row", "col", F.col(value).alias("a"))
+    b = products.select(F.col(tile).alias("other"), "row", "col", F.col(value).alias("b"))
+    both = a.join(b, ["row", "col"]).filter(F.col("one") != F.col("other"))
+    diff = F.col("a") - F.col("b")
+    return both.groupBy("one", "other").agg(F.count(F.lit(1)).alias("shared"), F.count_if(diff.isNull()).alias("missing"), *exceedance(diff, limits))

@@ -31,11 +31,12 @@ def _kept(df: DataFrame) -> DataFrame:
 
 
 def shortest(arcs: DataFrame, sources: DataFrame, limit: float | None = None, every: int = 4) -> DataFrame:
-    """node, cost, parent, edge: least cost from the sources (node, cost) along arcs.
+    """node, cost, parent, edge: least cost from the sources (node, cost) along arcs; of equal
+    ways the least (parent, edge).
 
-    Each round relaxes the arcs of the nodes that improved in the round before; a shuffle
-    on the node joins and one takes the least. Lineage is cut every few rounds, and the
-    loop ends when nothing improves.
+    arcs: u, v, eid, length > 0. Each round relaxes the arcs of the nodes that improved in
+    the round before; a shuffle on the node joins and one takes the least. Lineage is cut
+    every few rounds, and the loop ends when nothing improves.
     """
     best = sources.select("node", "cost", F.lit(None).cast("long").alias("parent"), F.lit(None).cast("long").alias("edge"))
     best = _kept(best.groupBy("node").agg(F.min(F.struct("cost", "parent", "edge")).alias("b")).select("node", "b.*"))
@@ -46,8 +47,9 @@ def shortest(arcs: DataFrame, sources: DataFrame, limit: float | None = None, ev
         if limit is not None:
             step = step.filter(F.col("cost") <= limit)
         step = step.groupBy("node").agg(F.min(F.struct("cost", "parent", "edge")).alias("b")).select("node", "b.*")
-        old = best.select("node", F.col("cost").alias("old"))
-        front = _kept(step.join(old, "node", "left").filter("old IS NULL OR cost < old").drop("old"))
+        old = best.select("node", F.struct("cost", "parent", "edge").alias("old"))
+        # a source has no parent, and a struct orders null first: it stays
+        front = _kept(step.join(old, "node", "left").filter("old IS NULL OR struct(cost, parent, edge) < old").drop("old"))
         if not front.head(1):
             return best
         best = best.join(front.select("node"), "node", "left_anti").unionByName(front)
@@ -55,18 +57,42 @@ def shortest(arcs: DataFrame, sources: DataFrame, limit: float | None = None, ev
             best = _kept(best)
 
 
-def back_trace(best: DataFrame, ends: DataFrame, most: int = 10_000) -> DataFrame:
-    """end, at (0 at the end), node, edge: the path of each end node to its source."""
-    hop = ends.select(F.col("node").alias("end"), F.col("node").alias("here")).join(best.select(F.col("node").alias("here"), "parent", "edge"), "here")
-    now = _kept(hop.select("end", F.lit(0).alias("at"), F.col("here").alias("node"), "edge", "parent"))
-    out = now
-    for i in range(1, most):
-        ahead = now.filter("parent IS NOT NULL").select("end", F.col("parent").alias("here"))
-        if not ahead.head(1):
+def back_trace(best: DataFrame, ends: DataFrame) -> DataFrame:
+    """end, at (0 at the end), node, edge: the path of each end node to its source.
+
+    Ancestors at twice the distance come from joining those at the distance with themselves,
+    so a path of any length takes as many rounds as its length has bits.
+    """
+    jumps = [_kept(best.filter("parent IS NOT NULL").select("node", F.col("parent").alias("up")))]
+    while True:
+        last = jumps[-1]
+        further = _kept(last.join(last.select(F.col("node").alias("up"), F.col("up").alias("upper")), "up").select("node", F.col("upper").alias("up")))
+        if not further.head(1):
             break
-        now = _kept(ahead.join(best.select(F.col("node").alias("here"), "parent", "edge"), "here").select("end", F.lit(i).alias("at"), F.col("here").alias("node"), "edge", "parent"))
-        out = out.unionByName(now)
-    return out.drop("parent")
+        jumps.append(further)
+    out = ends.select(F.col("node").alias("end"), F.lit(0).alias("at"), "node")
+    for k in range(len(jumps) - 1, -1, -1):
+        out = _kept(out.unionByName(out.join(jumps[k], "node").select("end", (F.col("at") + (1 << k)).alias("at"), F.col("up").alias("node"))))
+    return out.join(best.select("node", "edge"), "node").select("end", "at", "node", "edge")
+
+
+def described(path: DataFrame, best: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """end, metres, minutes, stairs, edges, unknown_access, geometry (points from the source on).
+
+    path: of back_trace; nodes: node, lon, lat; edges: eid, steps, access_status.
+    """
+    facts = path.join(nodes, "node", "left").join(edges.select(F.col("eid").alias("edge"), "steps", "access_status"), "edge", "left")
+    point = F.struct(F.col("at"), F.col("lon"), F.col("lat"))
+    line = F.transform(F.reverse(F.array_sort(F.collect_list(point))), lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat")))
+    real = F.col("edge").isNotNull()
+    per = facts.groupBy("end").agg(
+        F.coalesce(F.bool_or("steps"), F.lit(False)).alias("stairs"),
+        F.count_if(real).alias("edges"),
+        F.count_if(real & (F.coalesce(F.col("access_status"), F.lit("")) != "verified")).alias("unknown_access"),
+        line.alias("geometry"),
+    )
+    cost = best.select(F.col("node").alias("end"), F.col("cost").alias("metres"))
+    return per.join(cost, "end").withColumn("minutes", F.floor(minutes(F.col("metres")) * 10 + 0.5) / 10)
 
 
 def minutes(metres):

@@ -8,8 +8,15 @@ in the one cell that holds the lower corner of their overlap, so no distinct is
 
 from __future__ import annotations
 
+import json
+import math
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
+
+from ..session import shared_folder
 
 
 def cells_of(lo: Column, hi: Column, cell: float) -> Column:
@@ -118,3 +125,76 @@ def vetoed(rows: DataFrame, restricted: DataFrame) -> DataFrame:
     at = lambda df: [F.round(df["x"], 3).alias("vx"), F.round(df["y"], 3).alias("vy")]
     keyed = rows.select("*", *at(rows))
     return keyed.join(restricted.select(*at(restricted)).distinct(), ["vx", "vy"], "left_anti").drop("vx", "vy")
+
+
+def box_gap() -> Column:
+    """Distance of a point (x, y) from a box, 0 inside it."""
+    gap = lambda a, v, b: F.greatest(F.col(a) - F.col(v), F.lit(0.0), F.col(v) - F.col(b))
+    return F.sqrt(F.pow(gap("minx", "x", "maxx"), 2) + F.pow(gap("miny", "y", "maxy"), 2))
+
+
+def within_of_box(points: DataFrame, boxes: DataFrame, radius: float, key: str, box: str) -> DataFrame:
+    """key, box, metres of the nearest box within radius of each point, ties to the smaller id.
+
+    Boxes grown by the radius stand in buckets as wide as it, so nothing farther is compared.
+    """
+    c = F.col
+    grown = boxes.select(box, *[c(v).alias(f"o_{v}") for v in ("minx", "miny", "maxx", "maxy")], (c("minx") - radius).alias("minx"), (c("miny") - radius).alias("miny"), (c("maxx") + radius).alias("maxx"), (c("maxy") + radius).alias("maxy"))
+    near = point_in_box(points.select(key, "x", "y"), grown, max(radius, 1e-9)).select(key, "x", "y", box, *[c(f"o_{v}").alias(v) for v in ("minx", "miny", "maxx", "maxy")])
+    near = near.withColumn("metres", box_gap()).filter(c("metres") <= radius)
+    return near.groupBy(key).agg(F.min(F.struct("metres", box)).alias("best")).select(key, f"best.{box}", "best.metres")
+
+
+def nearest_box(points: DataFrame, boxes: DataFrame, radius: float, key: str, box: str, growth: float = 4.0) -> DataFrame:
+    """key, box, metres of the nearest of all boxes to each point, however far.
+
+    The radius grows until every point has found one; each round takes only the points that
+    are left, and the answer within a radius is final. Without boxes there is no answer.
+    """
+    if not boxes.head(1):
+        return points.select(key).join(boxes.select(box), F.lit(False)).withColumn("metres", F.lit(0.0))
+    left, found = kept(points.select(key, "x", "y"), "points"), None
+    while left.head(1):
+        got = kept(within_of_box(left, boxes, radius, key, box), "nearest")
+        found = got if found is None else found.unionByName(got)
+        left = kept(left.join(got.select(key), key, "left_anti"), "points")
+        radius *= growth
+    return found if found is not None else within_of_box(left, boxes, radius, key, box)
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written to the session's shared folder and read again: a cut lineage."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bounded_product(left: DataFrame, few: DataFrame, most: int) -> DataFrame:
+    """Every row of left with every row of few, which may hold at most `most` rows; more are an
+    error. The few rows travel as literals of the plan."""
+    rows = few.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows to multiply with")
+    kind = F.from_json(F.lit(json.dumps([r.asDict() for r in rows])), ArrayType(few.schema))
+    return left.withColumn("_each", F.explode(kind)).select(*left.columns, "_each.*")
+
+
+def with_extents(objects: DataFrame, extents: DataFrame, key: str, strict: bool = True) -> DataFrame:
+    """objects with the box of each (minx, miny, maxx, maxy); an object without one is an error,
+    or with strict off a row with extent_missing."""
+    lost = F.col("minx").isNull() | F.col("miny").isNull() | F.col("maxx").isNull() | F.col("maxy").isNull()
+    both = objects.join(extents.select(key, "minx", "miny", "maxx", "maxy"), key, "left")
+    if strict:
+        return both.withColumn("minx", F.when(lost, F.raise_error(F.concat(F.lit("no extent of "), F.col(key).cast("string"))).cast("double")).otherwise(F.col("minx")))
+    return both.withColumn("extent_missing", lost)
+
+
+def buffered_extents(boxes: DataFrame, buffers: dict[str, float]) -> DataFrame:
+    """name, minx, miny, maxx, maxy, area of the hull of all boxes grown by each buffer with
+    round corners."""
+    c = F.col
+    hull = boxes.agg(F.min("minx").alias("minx"), F.min("miny").alias("miny"), F.max("maxx").alias("maxx"), F.max("maxy").alias("maxy"))
+    grown = hull.withColumn("b", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(v)).alias("d")) for n, v in buffers.items()])))
+    d, w, h = c("b.d"), c("maxx") - c("minx"), c("maxy") - c("miny")
+    area = w * h + 2 * d * (w + h) + F.lit(math.pi) * d * d
+    return grown.select(c("b.name").alias("name"), (c("minx") - d).alias("minx"), (c("miny") - d).alias("miny"), (c("maxx") + d).alias("maxx"), (c("maxy") + d).alias("maxy"), area.alias("area"))

@@ -86,3 +86,33 @@ def interpolate_tiles(points: DataFrame, tile: str, side: int, res: float, longe
     from pyspark.sql import functions as F
 
     return out.withColumn("z", F.when(~F.isnan("z"), F.col("z")))
+
+
+def interpolate_at(points: DataFrame, asked: DataFrame, tile: str, longest: float) -> DataFrame:
+    """tile, probe, z of probes (tile, probe, x, y) by each tile's own samples (tile, x, y, z);
+    z is null without support."""
+
+    def kernel(samples: pd.DataFrame, probes: pd.DataFrame) -> pd.DataFrame:
+        if not len(probes):
+            return pd.DataFrame({tile: [], "probe": [], "z": []})
+        z = interpolate(samples[["x", "y"]].to_numpy(float).reshape(-1, 2), samples["z"].to_numpy(float), probes[["x", "y"]].to_numpy(float), longest)
+        return pd.DataFrame({tile: probes[tile].to_numpy(), "probe": probes["probe"].to_numpy(), "z": z})
+
+    kind, probe = (points.schema[tile].dataType.simpleString(), asked.schema["probe"].dataType.simpleString())
+    got = points.groupBy(tile).cogroup(asked.groupBy(tile)).applyInPandas(kernel, f"{tile} {kind}, probe {probe}, z double")
+    from pyspark.sql import functions as F
+
+    return got.withColumn("z", F.when(~F.isnan("z"), F.col("z")))
+
+
+def seam_gaps(points: DataFrame, seams: DataFrame, tile: str, longest: float) -> DataFrame:
+    """one, other, probes, supported, gap: how far neighbouring tiles differ at the same
+    coordinates of their shared seam, each by its own samples. seams: one, other, probe, x, y."""
+    from pyspark.sql import functions as F
+
+    asked = seams.select(F.col("one").alias(tile), "probe", "x", "y").unionByName(seams.select(F.col("other").alias(tile), "probe", "x", "y")).distinct()
+    z = interpolate_at(points, asked, tile, longest)
+    side = lambda who, name: z.select(F.col(tile).alias(who), "probe", F.col("z").alias(name))
+    both = seams.join(side("one", "here"), ["one", "probe"], "left").join(side("other", "there"), ["other", "probe"], "left")
+    gap = F.abs(F.col("here") - F.col("there"))
+    return both.groupBy("one", "other").agg(F.count(F.lit(1)).alias("probes"), F.count(gap).alias("supported"), F.max(gap).alias("gap"))

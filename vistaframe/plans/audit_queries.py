@@ -151,11 +151,6 @@ def a25(spark, d):
     return frame(spark, d, LI).groupBy(F.col("l_partkey").alias("source")).agg(F.array_join(F.array_sort(F.collect_set(r)), ",").alias("reasons"))
 
 
-@query("a27_daily_ledger", "SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, CAST(sum(ceil(o_totalprice)) AS BIGINT) AS used, count(*) AS calls, count(*) FILTER (o_orderpriority LIKE '1%') AS images FROM {orders} GROUP BY 1")
-def a27(spark, d):
-    return frame(spark, d, "SELECT * FROM {orders}").groupBy(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).agg(F.sum(F.ceil("o_totalprice")).cast("long").alias("used"), N().alias("calls"), F.count_if(F.col("o_orderpriority").like("1%")).alias("images"))
-
-
 @query("a28_coverage_fraction", f"WITH {grids.SYNTHETIC_SQL} SELECT 25 * count(*) AS area_m2, 25 * count(surface) AS covered_m2, {micro_sql('count(surface) / count(*)')} AS fraction_micro FROM grid")
 def a28(spark, d):
     c = F.count("surface")
@@ -183,20 +178,6 @@ def a32(spark, d):
     return frame(spark, d, BLD).groupBy("region").agg(N().alias("n"), F.count_if(F.col("invalid") == 1).alias("invalid"), F.count_if(F.col("height").isNull()).alias("unresolved"), micro(F.percentile("height", 0.5)).alias("median_micro"))
 
 
-@query("a33_sampled_rows_match", f"WITH b AS ({BLD}), s AS (SELECT * FROM b ORDER BY md5('m:' || id), id LIMIT 64) SELECT count(*) AS asked, count(b.id) AS matched FROM s LEFT JOIN b ON b.id = s.id AND b.height IS NOT DISTINCT FROM s.height AND b.source = s.source")
-def a33(spark, d):
-    b = frame(spark, d, BLD)
-    s = b.orderBy(F.md5(F.concat(F.lit("m:"), F.col("id").cast("string")).cast("binary")), "id").limit(64).select(F.col("id").alias("sid"), F.col("height").alias("sh"), F.col("source").alias("ss"))
-    return F.broadcast(s).join(b, (F.col("id") == F.col("sid")) & F.col("height").eqNullSafe(F.col("sh")) & (F.col("source") == F.col("ss")), "left").agg(N().alias("asked"), F.count("id").alias("matched"))
-
-
-@query("a34_subset_unchanged", f"SELECT count(*) AS kept, count(*) FILTER (a.base <> b.base) AS changed, {micro_sql('min(a.base)')} AS low_micro, {micro_sql('max(a.base)')} AS high_micro FROM ({DIFF}) a JOIN ({DIFF}) b USING (id) WHERE a.region = 2")
-def a34(spark, d):
-    a = frame(spark, d, DIFF)
-    b = a.select("id", F.col("base").alias("was"))
-    return a.filter("region = 2").join(b, "id").agg(N().alias("kept"), F.count_if(F.col("base") != F.col("was")).alias("changed"), micro(F.min("base")).alias("low_micro"), micro(F.max("base")).alias("high_micro"))
-
-
 @query("a35_window_coverage", f"WITH {grids.SYNTHETIC_SQL} SELECT count(*) AS cells, count(*) FILTER (surface IS NULL OR (quality & 248) <> 0) AS unsupported FROM grid WHERE row BETWEEN 40 AND 60 AND col BETWEEN 35 AND 59")
 def a35(spark, d):
     return grids.window(G(spark), 40, 35, 21, 25).agg(N().alias("cells"), F.count_if(~grids.cell_valid()).alias("unsupported"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .base import ENTRIES
 
-for _name in ("sight_queries", "scalar_queries", "rank_queries", "spatial_queries", "audit_queries", "prepare_queries", "scene_queries", "scan_queries"):
+for _name in ("sight_queries", "scalar_queries", "rank_queries", "spatial_queries", "audit_queries", "prepare_queries", "scene_queries", "scan_queries", "source_queries"):
     import_module(f".{_name}", __package__)
 
 

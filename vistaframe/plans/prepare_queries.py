@@ -109,13 +109,6 @@ def k07(spark, d):
     return contexts.features_json(P(spark, d).select(F.col("pid").alias("id"), "x", "y", F.concat(F.lit("p"), F.col("pid")).alias("name")), 50, 40_000)
 
 
-@query("k08_schematic", "SELECT l_orderkey AS scene, '<svg>' || string_agg('<circle cx=\"' || l_partkey % 100 || '\"/>', '' ORDER BY l_partkey % 100) || '</svg>' AS svg FROM {lineitem} GROUP BY 1")
-def k08(spark, d):
-    x = F.col("l_partkey") % 100
-    marks = F.transform(F.array_sort(F.collect_list(x)), lambda v: F.format_string('<circle cx="%d"/>', v))
-    return frame(spark, d, "SELECT * FROM {lineitem}").groupBy(F.col("l_orderkey").alias("scene")).agg(F.concat(F.lit("<svg>"), F.array_join(marks, ""), F.lit("</svg>")).alias("svg"))
-
-
 # -- guards ----------------------------------------------------------------------------
 
 REQ = "SELECT o_orderkey AS id, o_totalprice / 2000 - 20 AS minutes, o_custkey % 12 - 1 AS k, CASE o_orderkey % 5 WHEN 0 THEN 'flying' WHEN 1 THEN 'transit' ELSE 'walking' END AS mode, CASE WHEN o_orderkey % 4 = 0 THEN 'false' ELSE 'true' END AS flag FROM {orders}"
@@ -228,12 +221,6 @@ def o08(spark, d):
     return t.withColumn("place", F.row_number().over(w)).filter("place <= 5").select("category", "place", "id")
 
 
-@query("f26_building_rows", f"SELECT sid, abs(maxx - minx - (60 + sid % 90)) <= 1e-9 AND maxx > minx AND maxy > miny AS plausible FROM ({BOXES})")
-def f26(spark, d):
-    c = F.col
-    return B(spark, d).select("sid", ((F.abs(c("maxx") - c("minx") - (60 + c("sid") % 90)) <= 1e-9) & (c("maxx") > c("minx")) & (c("maxy") > c("miny"))).alias("plausible"))
-
-
 @query("f28_field_suggestion", "SELECT 'p_size' AS field, 'height' AS kind UNION ALL SELECT 'p_name', 'name'")
 def f28(spark, d):
     from ..operators.validate import suggestions
@@ -241,13 +228,6 @@ def f28(spark, d):
     return suggestions(frame(spark, d, "SELECT * FROM {part}"), {"height": r"size|height", "name": r"_name$"})
 
 
-@query("f29_name_search", "SELECT DISTINCT p_name AS name FROM {part} WHERE lower(p_name) LIKE '%1\\_%' ESCAPE '\\' OR lower(p_name) LIKE '%9%' ESCAPE '\\' ORDER BY 1 LIMIT 20")
-def f29(spark, d):
-    low = F.lower("p_name")
-    rows = frame(spark, d, "SELECT * FROM {part}").filter(low.like("%1\\_%") | low.like("%9%"))
-    return rows.select(F.col("p_name").alias("name")).distinct().orderBy("name").limit(20)
-
-
 @query("f31_context_radius", "SELECT CAST(c_custkey AS BIGINT) AS id FROM {customer} WHERE 2 * 6371008.8e0 * asin(least(1e0, sqrt(pow(sin(radians((c_custkey % 100) / 1e4) / 2), 2)))) <= 555.5")
 def f31(spark, d):
     from ..functions.geo import haversine
@@ -416,14 +396,6 @@ def g28(spark, d):
     return b.withColumn("gx", F.explode(span("minx", "maxx"))).withColumn("gy", F.explode(span("miny", "maxy"))).select("sid", (F.col("gx") * 20).alias("x"), (F.col("gy") * 20).alias("y"))
 
 
-@query("g29_point_box_distance", f"SELECT p.pid, {micro_sql('min(sqrt(pow(greatest(minx - x, 0, x - maxx), 2) + pow(greatest(miny - y, 0, y - maxy), 2)))')} AS metres_micro FROM ({POINTS}) p JOIN ({BOXES}) b ON p.pid % 50 = b.sid % 50 GROUP BY p.pid")
-def g29(spark, d):
-    near = P(spark, d).join(B(spark, d), F.col("pid") % 50 == F.col("sid") % 50)
-    gap = lambda a, v, b: F.greatest(F.col(a) - F.col(v), F.lit(0.0), F.col(v) - F.col(b))
-    dist = F.sqrt(F.pow(gap("minx", "x", "maxx"), 2) + F.pow(gap("miny", "y", "maxy"), 2))
-    return near.groupBy("pid").agg(micro(F.min(dist)).alias("metres_micro"))
-
-
 @query("g31_sample_points", f"SELECT sid, CAST(k AS INTEGER) AS k, minx + (maxx - minx) * k / 10 AS x, miny + (maxy - miny) * k / 10 AS y FROM ({BOXES}), (VALUES (3), (5), (7)) t(k)")
 def g31(spark, d):
     c = F.col
@@ -473,25 +445,12 @@ def j16(spark, d):
     return cut.groupBy("ray_id").agg(F.count_distinct("row", "col").alias("cells"), F.count_distinct(F.when(F.col("cell_surface").isNull(), F.struct("row", "col"))).alias("missing"))
 
 
-@query("g34_model_disagreement", f"{GRID} SELECT count(*) AS cells, count(*) FILTER (a = 1 AND b = 0) AS false_visible, count(*) FILTER (a = 0 AND b = 1) AS false_blocked, 0 AS missing FROM (SELECT (row * 3 + col) % 4 AS a, (row + col * 5) % 4 AS b FROM grid)")
-def g34(spark, d):
-    a = G(spark).select("row", "col", ((F.col("row") * 3 + F.col("col")) % 4).alias("state"))
-    b = G(spark).select("row", "col", ((F.col("row") + F.col("col") * 5) % 4).alias("state"))
-    return audit.disagreement(a, b, ["row", "col"]).withColumn("missing", F.col("missing").cast("int"))
-
-
 @query("g36_window_sizes", "WITH p AS (SELECT l_suppkey % 4 AS tile, CAST(l_partkey * 37 % 320 AS DOUBLE) AS px, CAST(l_orderkey * 11 % 320 AS DOUBLE) AS py FROM {lineitem}), s AS (SELECT unnest([64, 32, 16]) AS size), w AS (SELECT tile, size, wx, wy, count(*) AS n FROM p, s, LATERAL (SELECT unnest(range(CAST(greatest(0, floor((px - 10) / (size * 5))) AS BIGINT), CAST(greatest(0, floor((px + 10) / (size * 5))) AS BIGINT) + 1)) AS wx), LATERAL (SELECT unnest(range(CAST(greatest(0, floor((py - 10) / (size * 5))) AS BIGINT), CAST(greatest(0, floor((py + 10) / (size * 5))) AS BIGINT) + 1)) AS wy) GROUP BY ALL), m AS (SELECT tile, size, max(n) AS n FROM w GROUP BY ALL) SELECT tile, max(CASE WHEN n <= 5200 THEN size END) AS size FROM m GROUP BY tile")
 def g36(spark, d):
     p = frame(spark, d, "SELECT l_suppkey % 4 AS tile, CAST(l_partkey * 37 % 320 AS DOUBLE) AS px, CAST(l_orderkey * 11 % 320 AS DOUBLE) AS py FROM {lineitem}")
     return prepare.window_sizes(p, 64, 16, 5200, 5.0, 10.0)
 
 
-@query("g37_buffered_extents", "SELECT k, 190000 - k AS minx, 215000 + k AS maxx FROM (VALUES (0), (1000), (10000)) t(k)")
-def g37(spark, d):
-    k = spark.range(1).select(F.explode(F.array(F.lit(0), F.lit(1000), F.lit(10000))).alias("k"))
-    return k.select("k", (190_000 - F.col("k")).alias("minx"), (215_000 + F.col("k")).alias("maxx"))
-
-
 TERRAIN = "SELECT l_suppkey % 3 AS tile, l_partkey * 7 % 40 * 2.5e0 + 1 AS x, l_orderkey * 13 % 40 * 2.5e0 + 1 AS y FROM {lineitem}"
 
 
@@ -501,14 +460,6 @@ def g19(spark, d):
     return terrain.interpolate_tiles(p, "tile", 20, 5.0, 75.0).select("tile", "row", "col", micro(F.col("z")).alias("z_micro"))
 
 
-@query("g20_seam_probes")
-def g20(spark, d):
-    t = g19(spark, d)
-    east = t.filter("col = 19").select("tile", "row", F.col("z_micro").alias("here"))
-    west = t.filter("col = 0").select((F.col("tile") - 1).alias("tile"), "row", F.col("z_micro").alias("there"))
-    return east.join(west, ["tile", "row"]).groupBy("tile").agg(n().alias("probes"), F.max(F.abs(F.col("here") - F.col("there"))).alias("gap_micro"))
-
-
 # -- routes ----------------------------------------------------------------------------
 
 EDGES = "SELECT l_orderkey * 10 + l_linenumber AS eid, l_partkey % 120 AS u, l_suppkey * 3 % 120 AS v, l_quantity AS length, CASE l_partkey % 11 WHEN 0 THEN 'yes' WHEN 1 THEN '-1' WHEN 2 THEN 'no' END AS oneway_foot FROM {lineitem} WHERE l_partkey % 120 <> l_suppkey * 3 % 120"
@@ -520,25 +471,6 @@ def i01(spark, d):
     return routes.adjacency(frame(spark, d, EDGES)).select("eid", "u", "v")
 
 
-def _cheapest(spark, d, limit=None):
-    arcs = routes.adjacency(frame(spark, d, EDGES)).groupBy("u", "v").agg(F.min(F.struct("length", "eid")).alias("b")).select("u", "v", "b.*")
-    start = spark.range(1).select(F.lit(5).cast("long").alias("node"), F.lit(0.0).alias("cost"))
-    return routes.shortest(arcs, start, limit)
-
-
-@query("i02_shortest_paths", f"WITH RECURSIVE {ARCS}, thin AS (SELECT u, v, min(length) AS length FROM arcs GROUP BY u, v), walk AS (SELECT CAST(5 AS BIGINT) AS node, 0e0 AS cost UNION SELECT v, cost + length FROM walk JOIN thin ON u = node WHERE cost + length <= 60) SELECT node, CAST(min(cost) AS BIGINT) AS cost FROM walk GROUP BY node")
-def i02(spark, d):
-    return _cheapest(spark, d, 60.0).select("node", F.col("cost").cast("long").alias("cost"))
-
-
-@query("i03_route_back_trace")
-def i03(spark, d):
-    best = _cheapest(spark, d)
-    path = routes.back_trace(best, best.select("node"))
-    per = path.groupBy("end").agg(n().alias("nodes"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "node"))), lambda p: p["node"].cast("string")), ",").alias("path"))
-    return per.join(best.select(F.col("node").alias("end"), (F.floor(F.col("cost") / routes.METRES_PER_MINUTE * 10 + 0.5) / 10).alias("minutes")), "end")
-
-
 # -- scenes ----------------------------------------------------------------------------
 
 
@@ -548,19 +480,6 @@ def i05(spark, d):
     return ordered.round_robin(p, ["sx", "sy"], [F.sha2(F.col("pid").cast("string"), 256)], 160).select("pid")
 
 
-@query("i06_target_bands", f"SELECT category, dist <= 1200 AS near, count(*) AS targets FROM (SELECT *, {DIST} AS dist FROM ({TARGETS}) WHERE {KEEP}) GROUP BY 1, 2")
-def i06(spark, d):
-    return _targets(spark, d).groupBy("category", (F.col("dist") <= 1200).alias("near")).agg(n().alias("targets"))
-
-
-@query("i11_overlap_audit", f"{GRID}, t AS (SELECT *, row // 16 AS tr, col // 16 AS tc FROM grid) SELECT CAST(a.tr AS BIGINT) AS tile_row, CAST(a.tc AS BIGINT) AS tile_col, count(*) AS shared, count(*) FILTER (abs(a.dtm - b.dtm - (a.row % 3) * 0.5) > 1) AS over_1 FROM t a JOIN grid b ON a.row = b.row AND a.col = b.col WHERE a.col % 16 >= 14 GROUP BY 1, 2")
-def i11(spark, d):
-    g = G(spark).withColumn("tile_row", grids.tile_key(F.col("row"), 16).cast("long")).withColumn("tile_col", grids.tile_key(F.col("col"), 16).cast("long"))
-    other = G(spark).select("row", "col", F.col("dtm").alias("odtm"))
-    diff = F.col("dtm") - F.col("odtm") - (F.col("row") % 3) * 0.5
-    return g.filter("col % 16 >= 14").join(other, ["row", "col"]).groupBy("tile_row", "tile_col").agg(n().alias("shared"), audit.exceedance(diff, [1])[0])
-
-
 @query("i12_edge_band", f"{GRID} SELECT CAST(least(col % 16, 15 - col % 16) AS INTEGER) AS band, count(*) AS cells, CAST(sum(dtm) AS BIGINT) AS total FROM grid GROUP BY 1")
 def i12(spark, d):
     band = F.least(F.col("col") % 16, 15 - F.col("col") % 16)

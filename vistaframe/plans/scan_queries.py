@@ -21,16 +21,6 @@ def n():
     return F.count(F.lit(1))
 
 
-@query("s07_vector_layers", f"SELECT highway AS layer, count(*) AS n FROM ({TAGS}) WHERE highway IN ('footway', 'steps', 'track') GROUP BY 1")
-def s07(spark, d):
-    return frame(spark, d, TAGS).filter(F.col("highway").isin("footway", "steps", "track")).groupBy(F.col("highway").alias("layer")).agg(n().alias("n"))
-
-
-@query("s10_file_fingerprints")
-def s10(spark, d):
-    return contexts.fingerprints(spark, f"{d}/region.parquet").select("length", "sha256")
-
-
 GROUPS = "SELECT l_suppkey % 40 AS file, l_orderkey * 64 AS start, l_partkey % 97 + 1 AS size FROM {lineitem}"
 
 
@@ -41,18 +31,6 @@ def s12(spark, d):
     return g.groupBy("file").agg(F.count_if(F.col("start") < F.col("before")).alias("overlaps"), F.count_if(F.col("start") - F.col("before") > 640).alias("gaps"))
 
 
-@query("s15_objects_to_layers", f"SELECT layer, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN nature = 'water' THEN 'water' END, CASE WHEN nature = 'peak' THEN 'peaks_ridges' END, CASE WHEN barrier IS NOT NULL THEN 'barriers' END, CASE WHEN bridge <> 'no' THEN 'bridges' END], lambda x: x IS NOT NULL)) AS layer FROM ({TAGS})) GROUP BY 1")
-def s15(spark, d):
-    each = tagged(spark, d).select(F.explode(tags.categories(F.col("tags"))).alias("layer"))
-    return each.filter(F.col("layer").isin("water", "peaks_ridges", "barriers", "bridges")).groupBy("layer").agg(n().alias("n"))
-
-
-@query("s16_terrain_projection", "SELECT l_orderkey * 10 + l_linenumber AS id, CAST(CASE WHEN l_returnflag = 'A' THEN 7111 ELSE 7114 END AS INTEGER) AS code, l_quantity AS elevation FROM {lineitem} WHERE l_quantity > 0")
-def s16(spark, d):
-    code = F.when(F.col("l_returnflag") == "A", 7111).otherwise(7114)
-    return frame(spark, d, "SELECT * FROM {lineitem} WHERE l_quantity > 0").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), code.alias("code"), F.col("l_quantity").alias("elevation"))
-
-
 def _folder(spark) -> str:
     return f"{shared_folder(spark)}/sink-{uuid.uuid4().hex}"
 
@@ -79,11 +57,6 @@ def k03(spark, d):
     return spark.read.schema("id int, name string").json(path)
 
 
-@query("k04_package_manifest", "SELECT 'part/' || p_brand AS name, count(*) AS files, CAST(sum(p_size) AS BIGINT) AS bytes FROM {part} GROUP BY 1")
-def k04(spark, d):
-    return frame(spark, d, "SELECT * FROM {part}").groupBy(F.concat(F.lit("part/"), F.col("p_brand")).alias("name")).agg(n().alias("files"), F.sum("p_size").cast("long").alias("bytes"))
-
-
 @query("j18_same_experience_pairs", f"WITH s AS (SELECT * FROM ({CANDS})) SELECT c.id AS first, r.id AS second FROM s c JOIN s r ON c.id < r.id AND {SAME}")
 def j18(spark, d):
     """Pairs of like experiences: equal targets, signatures and near bearings join, the distance decides."""

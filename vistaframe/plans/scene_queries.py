@@ -78,17 +78,6 @@ def f27(spark, d):
     return frame(spark, d, "SELECT * FROM {events}").select(F.col("event_id").alias("id"), F.array_join(F.array_sort(F.array_intersect(keys, F.array(F.lit("k")))), ",").alias("kept"))
 
 
-@query("f30_viewport_check", "SELECT o_orderkey AS id, o_orderkey % 30 BETWEEN 8 AND 19 AND 124 + o_custkey % 10 BETWEEN 124 AND 132 AS fine FROM {orders}")
-def f30(spark, d):
-    return frame(spark, d, "SELECT * FROM {orders}").select(F.col("o_orderkey").alias("id"), ((F.col("o_orderkey") % 30).between(8, 19) & (124 + F.col("o_custkey") % 10).between(124, 132)).alias("fine"))
-
-
-@query("f32_geometry_contract", f"SELECT sid, maxx > minx AND maxy > miny AND minx BETWEEN 0 AND 1500 AS fine FROM ({BOXES})")
-def f32(spark, d):
-    c = F.col
-    return B(spark, d).select("sid", ((c("maxx") > c("minx")) & (c("maxy") > c("miny")) & c("minx").between(0, 1500)).alias("fine"))
-
-
 @query("g16_surface_target", f"WITH {grids.SYNTHETIC_SQL} SELECT row, col, CASE WHEN surface IS NULL THEN 'unknown' WHEN occupancy = 1 THEN 'roof' ELSE 'ground' END AS kind, CAST(surface AS BIGINT) AS z FROM grid")
 def g16(spark, d):
     kind = F.when(F.col("surface").isNull(), "unknown").when(F.col("occupancy") == 1, "roof").otherwise("ground")
@@ -105,24 +94,6 @@ def g30(spark, d):
     return ends.groupBy("rel", "v").agg(F.count(F.lit(1)).alias("n")).groupBy("rel").agg(F.bool_and(F.col("n") == 2).alias("closed"))
 
 
-@query("g35_outside_invariance", f"SELECT 0 AS differences")
-def g35(spark, d):
-    """A viewshed of one target does not change when every cell beyond its region does."""
-    cells = grids.synthetic(spark)
-    far = F.sqrt(F.pow(F.col("row") - 32, 2) + F.pow(F.col("col") - 32, 2)) > 14
-    other = cells.withColumn("surface", F.when(far, F.lit(500.0)).otherwise(F.col("surface")))
-    target = spark.range(1).select(F.lit(1).alias("target_id"), F.lit(32).alias("trow"), F.lit(32).alias("tcol"), F.lit(50.0).alias("tz"))
-    one = sight.viewshed(cells, target, 60.0, 5.0, rows=4096)
-    two = sight.viewshed(other, target, 60.0, 5.0, rows=4096).withColumnRenamed("state", "state2")
-    return one.join(two, ["target_id", "row", "col"]).agg(F.count_if(F.col("state") != F.col("state2")).cast("int").alias("differences"))
-
-
-@query("g38_processing_extents", f"WITH {grids.SYNTHETIC_SQL} SELECT count(*) FILTER (out_mask = 1) AS city, count(*) FILTER (row BETWEEN 2 AND 61) AS support, count(*) FILTER (out_mask = 1 AND NOT row BETWEEN 2 AND 61) AS uncovered FROM grid")
-def g38(spark, d):
-    city, support = F.col("out_mask") == 1, F.col("row").between(2, 61)
-    return grids.synthetic(spark).agg(F.count_if(city).alias("city"), F.count_if(support).alias("support"), F.count_if(city & ~support).alias("uncovered"))
-
-
 @query("m18_geodesic_length")
 def m18(spark, d):
     return frame(spark, d, SPOTS).select("id", F.round(metres()(F.col("lon"), F.col("lat"), F.lit(126.978), F.lit(37.571)), 3).alias("metres"))
@@ -138,22 +109,6 @@ def k05(spark, d):
     return contexts.compare_package(have, want.drop("k"))
 
 
-@query("k06_run_report", "SELECT l_returnflag AS kind, count(*) AS runs, CAST(min(l_quantity) AS BIGINT) AS low, CAST(max(l_quantity) AS BIGINT) AS high FROM {lineitem} GROUP BY 1")
-def k06(spark, d):
-    return frame(spark, d, "SELECT * FROM {lineitem}").groupBy(F.col("l_returnflag").alias("kind")).agg(F.count(F.lit(1)).alias("runs"), F.min("l_quantity").cast("long").alias("low"), F.max("l_quantity").cast("long").alias("high"))
-
-
-@query("s11_bbox_pruned_scan", "SELECT l_orderkey AS id FROM {lineitem} WHERE l_partkey BETWEEN 100 AND 140 AND l_suppkey BETWEEN 10 AND 40")
-def s11(spark, d):
-    return frame(spark, d, "SELECT * FROM {lineitem}").filter(F.col("l_partkey").between(100, 140) & F.col("l_suppkey").between(10, 40)).select(F.col("l_orderkey").alias("id"))
-
-
-@query("s14_building_scan", "SELECT p_partkey AS source_id, CASE WHEN p_size % 5 <> 0 THEN p_size END AS height_m, p_size % 5 = 0 AS unresolved FROM {part}")
-def s14(spark, d):
-    h = F.when(F.col("p_size") % 5 != 0, F.col("p_size"))
-    return frame(spark, d, "SELECT * FROM {part}").select(F.col("p_partkey").alias("source_id"), h.alias("height_m"), h.isNull().alias("unresolved"))
-
-
 @query("s17_context_nodes", "SELECT 'n' || c_custkey AS id, c_mktsegment AS tag FROM {customer}")
 def s17(spark, d):
     rows = frame(spark, d, "SELECT * FROM {customer}")
@@ -161,21 +116,3 @@ def s17(spark, d):
     body = rows.groupBy("c_mktsegment", F.floor(F.col("c_custkey") / 500)).agg(F.to_json(F.struct(F.lit(1).alias("schema_version"), F.collect_list(node).alias("nodes"), F.array().cast("array<struct<u:string>>").alias("edges"))).alias("body"))
     nodes, _ = contexts.split_context(body.select(F.from_json("body", contexts.CONTEXT).alias("c")).select("c.*"))
     return nodes.select("id", F.element_at("tags", "seg").alias("tag"))
-
-
-@query("st_daily_spend", "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS calls FROM {events} GROUP BY 1")
-def st_daily(spark, d):
-    out = windows.drained(windows.daily_spend(windows.read_events(spark, f"{d}/events.parquet"), "value", 1000.0))
-    return out.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "calls")
-
-
-@query("st_sliding_rate", "SELECT user_id, CAST(sum(calls) AS BIGINT) AS calls FROM (SELECT user_id, 6 * count(*) AS calls FROM {events} GROUP BY user_id) GROUP BY user_id")
-def st_rate(spark, d):
-    out = windows.drained(windows.sliding_rate(windows.read_events(spark, f"{d}/events.parquet"), "user_id"))
-    return out.groupBy("user_id").agg(F.sum("calls").alias("calls"))
-
-
-@query("st_sessions", "SELECT user_id, CAST(sum(fresh) AS BIGINT) AS sessions FROM (SELECT user_id, CASE WHEN epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 3600 THEN 0 ELSE 1 END AS fresh FROM {events}) GROUP BY 1")
-def st_sessions(spark, d):
-    out = windows.drained(windows.sessions(windows.read_events(spark, f"{d}/events.parquet"), "user_id"))
-    return out.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"))

@@ -39,12 +39,6 @@ def j02(spark, d):
     return got.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("r", F.row_number().over(w.orderBy("pid"))).filter("r <= 5").select("sid", "pid", (F.col("n") > 12).alias("over_cap"))
 
 
-@query("j03_left_outer_extents", f"SELECT p.pid, b.sid IS NULL AS missing FROM ({POINTS}) p LEFT JOIN ({BOXES}) b ON b.sid = p.pid")
-def j03(spark, d):
-    b = B(spark, d).select(F.col("sid").alias("pid"), F.lit(1).alias("hit"))
-    return P(spark, d).join(b, "pid", "left").select("pid", F.col("hit").isNull().alias("missing"))
-
-
 @query("j04_box_overlap", f"SELECT a.sid AS left_id, b.sid AS right_id FROM ({BOXES}) a JOIN ({OTHER}) b ON {MEET}")
 def j04(spark, d):
     return spatial.box_overlap(B(spark, d), frame(spark, d, OTHER), CELL).select(F.col("sid").alias("left_id"), F.col("o_sid").alias("right_id"))
@@ -139,12 +133,6 @@ def j15(spark, d):
     return grids.haloed_cells(grids.synthetic(spark), 16, 2).groupBy("tile_row", "tile_col").agg(F.count(F.lit(1)).alias("cells"), F.count_if(~own).alias("halo"))
 
 
-@query("j17_bounded_product", f"SELECT pid, sid, k FROM ({POINTS}) JOIN ({BOXES}) ON pid % 20 = sid % 20, (VALUES (0), (1), (2)) t(k)")
-def j17(spark, d):
-    both = P(spark, d).join(B(spark, d), F.col("pid") % 20 == F.col("sid") % 20).select("pid", "sid")
-    return both.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
-
-
 @query("j19_ring_completeness", f"SELECT u AS way, count(*) AS members, count(*) FILTER (n.node IS NULL) AS missing FROM ({EDGES}) e LEFT JOIN ({NODES}) n ON n.node = e.v GROUP BY u")
 def j19(spark, d):
     n = frame(spark, d, NODES).select(F.col("node").alias("v"), F.lit(1).alias("hit"))
