@@ -320,30 +320,31 @@ def _language_model(parts, room):
     texts, held = _language_corpus()
     batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts, "held_out": held})
     size = sum(len(t.split()) + 1 for t in texts)
-    keys = {}
+    keys, common = {}, []
     for r in (r for b in pitman_yor._counting(room / size)(iter([batch])) for r in b.to_pylist()):
+        if r["kind"] == 0 and len(common) < 50:
+            common.append(r["key"])
         if r["kind"] >= 0 and r["n"] > room / 2:
             keys.setdefault(r["kind"], []).append((r["key"], r["n"]))
-    busy = pitman_yor.Busy(keys, room)
-    rows = [r for b in pitman_yor._chunks(parts, busy)(iter([batch])) for r in b.to_pylist() if r["part"] >= 0]
-    every = [(r["part"], pitman_yor.Part([pitman_yor._unpack(r["body"])], 3)) for r in rows]
-    roots, answers, held_state = [], [[] for _ in every], [None] * 3
+    busy, common = pitman_yor.Busy(keys, room), np.sort(np.array(common, np.int64).astype(np.uint64))
+    rows = [r for b in pitman_yor._chunks(parts, busy, common)(iter([batch])) for r in b.to_pylist() if r["part"] >= 0]
+    every = [(r["part"], pitman_yor.Part([pitman_yor._unpack(r["body"])], 3, common)) for r in rows]
+    roots, got, held_state = [], [[] for _ in every], [None] * 3
     for sweep in range(pitman_yor.BURN_IN + pitman_yor.SAMPLES + 1):
-        states = [list(one.states(n, a))[-1] for (n, one), a in zip(every, answers, strict=True)]
-        left, sums = [[] for _ in every], np.zeros(3)
-        for b in range(3):
-            sent = []
-            for (_, one), state in zip(every, states, strict=True):
-                cut = slice(one.edges[b], one.edges[b + 1])
-                sent.append([one.words[cut], one.root_customers(state)[cut].astype(np.int32), one.count[cut].astype(np.int64)])
-            held_state[b], got, more = pitman_yor.seated_root(b, sweep, sent, held_state[b], roots[-1] if roots else None)
-            for mine, g in zip(left, got, strict=True):
-                mine.append(g[0])
+        sums, boxes = np.zeros(3), [[] for _ in range(3)]
+        for i, (n, one) in enumerate(every):
+            seen, counts = pitman_yor.told(got[i], roots)
+            state = list(one.states(n, seen))[-1]
+            got[i].append([])
+            for b, message in one.messages(state, counts):
+                boxes[b].append((i, message))
+        for b, box in enumerate(boxes):
+            held_state[b], back, more = pitman_yor.seated_root(b, sweep, [m for _, m in box], held_state[b], roots[-1] if roots else None)
+            for (i, _), g in zip(box, back, strict=True):
+                got[i][sweep].append(g)
             sums += more
         roots.append(pitman_yor.Root(sums[0], sums[1], roots[0].vocabulary if roots else int(sums[2])))
-        for a, mine in zip(answers, left, strict=True):
-            a.append(roots[-1].probabilities(np.concatenate(mine)))
-    return busy, every, roots, answers, held_state
+    return busy, every, roots, [pitman_yor.told(g, roots)[0] for g in got], held_state
 
 
 @pytest.mark.parametrize(("parts", "room"), [(1, 1e9), (8, 1e9), (8, 150.0)])
@@ -358,10 +359,18 @@ def test_language_model_probabilities(no_task, parts, room):
     base, end = roots[-1].base, roots[-1]
     (dl, dm, dr), (sl, sm, sr) = pitman_yor.DISCOUNT, pitman_yor.STRENGTH
     root, spare = {}, (sr + dr * end.tables) / (sr + end.customers)
-    for codes, customers, tables in buckets:
+    for codes, customers, tables, _ in buckets:
         for w, c, t in zip(codes.tolist(), customers.tolist(), tables.tolist(), strict=True):
             root[w] = ((c - dr * t) if c else 0) / (sr + end.customers) + spare * base
-    known = sum(p for w, p in root.items() if w in {x for codes, c, _ in buckets for x in codes[c > 0].tolist()})
+    code = lambda w: pitman_yor.END if w is None else pitman_yor.xxhash.xxh3_64_intdigest(w.encode())
+    for w, c in train.items():
+        if c == 1:  # settled: one customer at one table
+            root[code(w)] = (1 - dr) / (sr + end.customers) + spare * base
+    assert len(root) == len(train)
+    known = sum(root.values())
+    for t in texts:
+        for w in t.split():
+            root.setdefault(code(w), spare * base)
     assert abs(known + spare * base - 1) < 1e-9
     for (n, one), roots_seen in zip(every, answers, strict=True):
         state = list(one.states(n, roots_seen[:-1]))[-1]
