@@ -328,10 +328,10 @@ def _language_model(parts, room):
             keys.setdefault(r["kind"], []).append((r["key"], r["n"]))
     busy, common = pitman_yor.Busy(keys, room), np.sort(np.array(common, np.int64).astype(np.uint64))
     rows = [r for b in pitman_yor._chunks(parts, busy, common)(iter([batch])) for r in b.to_pylist() if r["part"] >= 0]
-    every = [(r["part"], pitman_yor.Part([pitman_yor._unpack(r["body"])], 3, common)) for r in rows]
+    every = [(r["part"], pitman_yor.Part.load(pitman_yor.Part.of([pitman_yor._unpack(r["body"])], [0], 3, common).save())) for r in rows]
     roots, got, held_state = [], [[] for _ in every], [None] * 3
-    for sweep in range(pitman_yor.BURN_IN + pitman_yor.SAMPLES + 1):
-        sums, boxes = np.zeros(3), [[] for _ in range(3)]
+    for sweep in range(pitman_yor.BURN_IN + pitman_yor.SAMPLES):
+        sums, boxes = np.zeros(4), [[] for _ in range(3)]
         for i, (n, one) in enumerate(every):
             seen, counts = pitman_yor.told(got[i], roots)
             state = list(one.states(n, seen))[-1]
