@@ -187,6 +187,12 @@ def _looked(cells: DataFrame, targets: DataFrame, half: int, rows: int | None, t
         around = around.withColumn("sector", F.lit(-1))
     else:
         around = around.withColumn("sector", F.explode(F.array(*[F.lit(i) for i in range(len(OCTANTS))]))).filter(_meets(tile))
+    if not tiles:
+        need = around.select("tile_row", "tile_col").distinct()
+        box = need.agg(*[f(c).alias(f"{n}_{c}") for n, f in (("low", F.min), ("high", F.max)) for c in ("tile_row", "tile_col")]).first()
+        if box["low_tile_row"] is not None:  # a range filter that reaches the scan
+            for c in ("row", "col"):
+                cells = cells.filter(F.col(c).between(box[f"low_tile_{c}"] * tile, (box[f"high_tile_{c}"] + 1) * tile - 1))
     side = cells if tiles else tiled(cells, tile)
     return around.join(F.broadcast(side) if rows is not None and rows <= sight.SMALL_SURFACE else side, ["tile_row", "tile_col"])
 

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .spatial import kept
+
+#: Rows of a range when a whole table is put in order.
+RANGE_ROWS = 500_000
+
 
 def merge_intervals(df: DataFrame, key: list[str], start: str, stop: str) -> DataFrame:
     """Union of intervals for each key; touching ones join (gaps and islands)."""
@@ -71,3 +76,22 @@ def resample(df: DataFrame, key: list[str], order: str, spacing: float) -> DataF
     out = seg.withColumn("at", F.explode(F.concat(steps, ends)))
     t = (F.col("at") - F.col("start")) / F.col("len")
     return out.select(*key, "at", (F.col("x") + t * (F.col("next_x") - F.col("x"))).alias("px"), (F.col("y") + t * (F.col("next_y") - F.col("y"))).alias("py"))
+
+
+def in_ranges(df: DataFrame, order: list[Column], ranges: int | None = None) -> DataFrame:
+    """df written as ranges of the order, with its range's number (_range, rising)."""
+    ranges = ranges or max(1, -(-df.count() // RANGE_ROWS))
+    return kept(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+
+
+def ranked(df: DataFrame, order: list[Column], name: str = "place", ranges: int | None = None) -> DataFrame:
+    """df with the place (from 1) of each row in the order of the whole table.
+
+    Ranges are numbered on their own after the rows before them are counted, so no task holds
+    the table. The order must have no ties, or tied rows take either place.
+    """
+    rows = in_ranges(df, order, ranges)
+    sizes = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("_range", F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return rows.withColumn("_own", own).join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_own")).drop("_range", "_own", "_before")

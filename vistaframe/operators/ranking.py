@@ -179,6 +179,40 @@ def greedy(rows: DataFrame, group: list[str], row: Column, order: Column, redund
     return kept.select(*group, F.posexplode("kept").alias("n", "v")).select(*group, (F.col("n") + 1).alias("place"), "v.*")
 
 
+def greedy_top(rows: DataFrame, row: Column, order: Column, redundant, k: int) -> DataFrame:
+    """place and the first k rows of greedy() over the whole table, without a fold over it:
+    k times the best row that is left is taken, and those like it are filtered out."""
+    left = rows.select(row.alias("v"), order.alias("o"))
+    kind, found = left.schema["v"].dataType, []
+    for _ in range(k):
+        best = left.orderBy("o").limit(1).select(F.to_json("v", {"ignoreNullFields": "false"}).alias("j")).collect()
+        if not best:
+            break
+        found.append(best[0]["j"])
+        taken = F.from_json(F.lit(best[0]["j"]), kind)
+        left = left.filter(~F.coalesce(redundant(F.col("v"), taken), F.lit(False)) & ~F.col("v").eqNullSafe(taken))
+    made = rows.sparkSession.range(1).select(F.explode(F.array(*[F.struct(F.lit(i + 1).alias("place"), F.from_json(F.lit(j), kind).alias("v")) for i, j in enumerate(found)])).alias("r")) if found else None
+    return made.select("r.place", "r.v.*") if made is not None else left.limit(0).select(F.lit(1).alias("place"), "v.*")
+
+
+def representatives(rows: DataFrame, row: Column, order: list[Column], key: list[str]) -> DataFrame:
+    """place and row of the spots that stand for like ones, best first.
+
+    Only spots of equal targets and signature (key) can be like each other, so each such
+    group is a fold of its own; spots without either stand for themselves. The kept ones are
+    then put in one order.
+    """
+    from .ordered import ranked
+
+    names = [f"o{i}" for i in range(len(order))]
+    whole = F.struct(row.alias("r"), *[c.alias(n) for c, n in zip(order, names, strict=True)])
+    like = lambda a, b: same_experience(a["r"], b["r"])
+    alone = F.coalesce((F.size("targets") <= 0) | (F.col("signature") == ""), F.lit(True))
+    kept = greedy(rows.filter(~alone), key, whole, F.struct(*[c.alias(n) for c, n in zip(order, names, strict=True)]), like)
+    every = kept.select("r", *names).unionByName(rows.filter(alone).select(whole.alias("w")).select("w.*"))
+    return ranked(every, [F.col(n) for n in names]).select("place", "r.*")
+
+
 def top_k(rows: DataFrame, k: int) -> DataFrame:
     """The k best by score (unknown last), coverage and id, with the shortfall."""
     best = rows.orderBy(F.col("score").desc_nulls_last(), F.col("coverage").desc(), F.col("id")).limit(k)

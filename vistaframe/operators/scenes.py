@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, scores
 from .ordered import separated
-from .ranking import greedy
+from .ranking import greedy_top
 
 
 def sample_reason(category: Column, endpoint: Column, observer: Column, target: Column, state: Column) -> Column:
@@ -65,6 +65,5 @@ def diverse(scenes: DataFrame, k: int = 3) -> DataFrame:
         overlap = F.size(F.array_intersect(a["targets"], b["targets"])) / F.greatest(F.lit(1), F.size(F.array_union(a["targets"], b["targets"])))
         return ((d < 180) & (geo.angle_gap(a["head"], b["head"]) < 40)) | ((overlap > 0.75) & (d < 500))
 
-    rows = scenes.withColumn("one", F.lit(1))
     order = F.struct((-F.floor(F.col("score") * 100 + 0.5)).alias("s"), F.col("spot").alias("p"), F.col("head").alias("h"))
-    return greedy(rows, ["one"], F.struct("spot", "x", "y", "head", "targets", "score"), order, redundant, k).drop("one")
+    return greedy_top(scenes, F.struct("spot", "x", "y", "head", "targets", "score"), order, redundant, k)

@@ -101,19 +101,25 @@ def nearest_in_time(left: DataFrame, right: DataFrame, tolerance: int, key: str,
     """The row of right nearest in seconds to each row of left, within tolerance; ties to
     the earlier, then to the smaller id.
 
-    One pass over both sides in order of time, in slots as wide as the tolerance (rows of
-    right also stand in the slots beside theirs): the last one before and the first one
-    after are the only candidates, so no pairs are made.
+    One pass over both sides in order of time, cut into ranges of about equal size whatever
+    the times are: the last one before and the first one after are the only candidates, and
+    what lies beyond a range's edges is carried in from the other ranges, so no pairs are made.
     """
+    from .ordered import in_ranges
+
     times = right.groupBy(F.col(other_at).alias("t")).agg(F.min(other).alias("hit"))
-    beside = F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("t") / tolerance) + d)
     kind = left.schema[key].dataType
-    given = times.select(F.explode(beside).alias("slot"), "t", F.lit(0).alias("asks"), F.lit(None).cast(kind).alias(key), F.struct("t", "hit").alias("one"))
-    asked = left.select(F.floor(F.col(at) / tolerance).alias("slot"), F.col(at).cast(times.schema["t"].dataType).alias("t"), F.lit(1).alias("asks"), key, F.lit(None).cast(given.schema["one"].dataType).alias("one"))
-    order = Window.partitionBy("slot").orderBy("t", "asks")
+    given = times.select("t", F.lit(0).alias("asks"), F.lit(None).cast(kind).alias(key), F.struct("t", "hit").alias("one"))
+    asked = left.select(F.col(at).cast(times.schema["t"].dataType).alias("t"), F.lit(1).alias("asks"), key, F.lit(None).cast(given.schema["one"].dataType).alias("one"))
+    rows = in_ranges(given.unionByName(asked), [F.col("t"), F.col("asks"), F.col(key)])
+    edges = rows.groupBy("_range").agg(F.max("one").alias("last"), F.min("one").alias("first"))
+    w = Window.orderBy("_range")
+    edges = edges.select("_range", F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("came"), F.min("first").over(w.rowsBetween(1, Window.unboundedFollowing)).alias("comes"))
+    order = Window.partitionBy("_range").orderBy("t", "asks")
     back = F.last("one", True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     ahead = F.first("one", True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    seen = given.unionByName(asked).withColumn("back", back).withColumn("ahead", ahead).filter("asks = 1")
+    seen = rows.withColumn("back", back).withColumn("ahead", ahead).filter("asks = 1").join(F.broadcast(edges), "_range")
+    seen = seen.withColumn("back", F.coalesce("back", "came")).withColumn("ahead", F.coalesce("ahead", "comes"))
     before, after = F.col("t") - F.col("back.t"), F.col("ahead.t") - F.col("t")
     late = F.coalesce(after < before, F.col("back").isNull())
     best = seen.select(key, F.when(late, F.col("ahead.hit")).otherwise(F.col("back.hit")).alias(other), F.when(late, after).otherwise(before).alias("gap"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import ranking
+from ..operators import ordered, ranking
 from ..operators.ranking import Request
 from .base import frame, micro, micro_sql, query
 from .scalar_queries import HAV, MOD, SCENE_SCORE, SCENES, scene_score
@@ -170,10 +170,8 @@ def o01(spark, d):
 
 @query("o02_score_order", f"{ALL} SELECT id, CAST(row_number() OVER (ORDER BY CAST(floor(score * 1e6 + 0.5e0) AS BIGINT) DESC NULLS LAST, coverage DESC, id) AS INTEGER) AS place FROM scored")
 def o02(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.orderBy(micro(F.col("score")).desc_nulls_last(), F.col("coverage").desc(), "id")
-    return scored(spark, d).select("id", F.row_number().over(w).alias("place"))
+    rows = scored(spark, d).select("id", micro(F.col("score")).alias("s"), "coverage")
+    return ordered.ranked(rows, [F.col("s").desc_nulls_last(), F.col("coverage").desc(), F.col("id")]).select("id", F.col("place").cast("int").alias("place"))
 
 
 SAME = f"abs({MOD('r.bearing - c.bearing + 180', '360e0')} - 180) <= 20 AND ({HAV('r.lon', 'r.lat', 'c.lon', 'c.lat')}) <= 120 AND r.target = c.target AND r.look = c.look"
@@ -189,10 +187,10 @@ SELECT CAST(unnest(range(1, len(kept))) AS INTEGER) AS place, unnest(list_transf
 
 @query("o07_diverse_representatives", GREEDY)
 def o07(spark, d):
-    rows = scored(spark, d).filter("status <> 'failed'").withColumn("one", F.lit(1))
+    rows = scored(spark, d).filter("status <> 'failed'")
     row = F.struct("id", "lon", "lat", "bearing", "targets", "signature")
-    order = F.struct((-F.coalesce(micro(F.col("score")), F.lit(-1))).alias("s"), (-F.col("coverage")).alias("c"), F.col("id").alias("i"))
-    kept = ranking.greedy(rows, ["one"], row, order, ranking.same_experience)
+    order = [-F.coalesce(micro(F.col("score")), F.lit(-1)), -F.col("coverage"), F.col("id")]
+    kept = ranking.representatives(rows, row, order, ["targets", "signature"])
     return kept.select(F.col("place").cast("int").alias("place"), "id")
 
 
