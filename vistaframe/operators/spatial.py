@@ -115,9 +115,9 @@ def nearest_in_time(left: DataFrame, right: DataFrame, tolerance: int, key: str,
     edges = rows.groupBy("_range").agg(F.max("one").alias("last"), F.min("one").alias("first"))
     w = Window.orderBy("_range")
     edges = edges.select("_range", F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("came"), F.min("first").over(w.rowsBetween(1, Window.unboundedFollowing)).alias("comes"))
-    order = Window.partitionBy("_range").orderBy("t", "asks")
-    back = F.last("one", True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("one", True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    # both look back, one against the order: a frame that looks ahead is worked out anew for each row
+    order, against = Window.partitionBy("_range").orderBy("t", "asks"), Window.partitionBy("_range").orderBy(F.col("t").desc(), F.col("asks").desc())
+    back, ahead = (F.last("one", True).over(w.rowsBetween(Window.unboundedPreceding, 0)) for w in (order, against))
     seen = rows.withColumn("back", back).withColumn("ahead", ahead).filter("asks = 1").join(F.broadcast(edges), "_range")
     seen = seen.withColumn("back", F.coalesce("back", "came")).withColumn("ahead", F.coalesce("ahead", "comes"))
     before, after = F.col("t") - F.col("back.t"), F.col("ahead.t") - F.col("t")
