@@ -165,6 +165,15 @@ def test_stream_joins_only_current_observations(spark, tmp_path):
     assert out.count() == 1
 
 
+def test_a_drained_stream_stays_out_of_the_driver(spark, tmp_path):
+    spark.sql("SELECT timestamp'2024-01-01 10:00:00' ts, 1 k UNION ALL SELECT timestamp'2024-01-01 10:30:00', 1 UNION ALL SELECT timestamp'2024-01-01 12:30:00', 1").write.parquet(str(tmp_path / "e.parquet"))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    out = windows.drained(windows.sessions(windows.read_events(spark, str(tmp_path / "e.parquet")), "k"))
+    assert sorted(r.views for r in out.collect()) == [1, 2]
+    assert out.inputFiles()  # rows of the memory sink, which the driver holds, have no files
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) == before
+
+
 def test_scene_needs_two_places(spark):
     rows = [(1, 0.0, 0.0, 7, "city", 1, 1, 10.0, 1), (1, 0.0, 0.0, 8, "city", 1, 2, 12.0, 1), (2, 0.0, 0.0, 7, "city", 1, 1, 10.0, 1), (2, 0.0, 0.0, 7, "city", 1, 1, 11.0, 1)]
     df = spark.createDataFrame(rows, "spot long, x double, y double, target long, category string, px long, py long, bearing double, state int")

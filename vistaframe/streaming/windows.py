@@ -47,10 +47,34 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+#: State of a drained stream: on the executors' disks.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
+
+
 def drained(result: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a stream over what is there and return its rows (for batch callers and tests)."""
+    """Run a stream over what is there and return its rows (for batch callers and tests).
+
+    Batches are written to the shared folder, so no row passes through the driver: of a
+    complete result the last batch holds, else all of them together.
+    """
     spark = result.sparkSession
-    name = f"s{uuid.uuid4().hex}"
-    run = result.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{shared_folder(spark)}/{name}").trigger(availableNow=True).start()
+    folder, written = f"{shared_folder(spark)}/s{uuid.uuid4().hex}", []
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        path = f"{folder}/rows-{batch}"
+        rows.write.mode("overwrite").parquet(path)
+        written.append(path)
+
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    try:
+        for k, v in STATE.items():
+            spark.conf.set(k, v)
+        run = result.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/run").trigger(availableNow=True).start()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     run.awaitTermination()
-    return spark.table(name)
+    paths = sorted(set(written)) if mode != "complete" else written[-1:]
+    return spark.read.schema(result.schema).parquet(*paths) if paths else spark.createDataFrame([], result.schema)
