@@ -174,6 +174,14 @@ def test_a_drained_stream_stays_out_of_the_driver(spark, tmp_path):
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) == before
 
 
+def test_sliding_windows_from_steps(spark):
+    """The rates of steps give the windows that one count per window over a call gave."""
+    rows = spark.sql("SELECT timestamp'2024-01-01 10:00:00' + make_dt_interval(0, 0, 0, s) AS ts, k FROM VALUES (0, 1), (9, 1), (10, 1), (59, 1), (60, 1), (61, 2), (9, null) t(s, k)")
+    got = windows.slid(windows.sliding_rate(rows, "k", "10 seconds", "10 seconds"), "k")
+    want = windows.sliding_rate(rows, "k")
+    assert got.count() == want.count() > 20 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
 def test_scene_needs_two_places(spark):
     rows = [(1, 0.0, 0.0, 7, "city", 1, 1, 10.0, 1), (1, 0.0, 0.0, 8, "city", 1, 2, 12.0, 1), (2, 0.0, 0.0, 7, "city", 1, 1, 10.0, 1), (2, 0.0, 0.0, 7, "city", 1, 1, 11.0, 1)]
     df = spark.createDataFrame(rows, "spot long, x double, y double, target long, category string, px long, py long, bearing double, state int")

@@ -412,7 +412,8 @@ def st_daily(spark, d):
 
 @query("st_sliding_rate", "SELECT user_id, CAST(floor(epoch(ts) / 10) AS BIGINT) * 10 - 10 * k AS start, count(*) AS calls FROM {events}, range(6) t(k) GROUP BY 1, 2")
 def st_rate(spark, d):
-    out = windows.drained(windows.sliding_rate(_events(spark, d), "user_id"))
+    steps = windows.drained(windows.sliding_rate(_events(spark, d), "user_id", "10 seconds", "10 seconds"))
+    out = windows.slid(steps, "user_id")
     return out.select("user_id", F.unix_seconds("start").alias("start"), "calls")
 
 

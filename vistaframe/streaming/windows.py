@@ -18,6 +18,13 @@ def sliding_rate(events: DataFrame, key: str, width: str = "60 seconds", step: s
     return w.agg(F.count(F.lit(1)).alias("calls")).select(F.col("w.start").alias("start"), key, "calls")
 
 
+def slid(steps: DataFrame, key: str, width: int = 60, step: int = 10) -> DataFrame:
+    """Sliding windows (in seconds, width a multiple of step) from the drained rates of single
+    steps, so that a stream keeps one count of a step, not one of each window over it."""
+    starts = F.sequence(F.col("start") - F.make_dt_interval(secs=F.lit(width - step)), F.col("start"), F.make_dt_interval(secs=F.lit(step)))
+    return steps.select(F.explode(starts).alias("start"), key, "calls").groupBy("start", key).agg(F.sum("calls").alias("calls"))
+
+
 def sessions(events: DataFrame, key: str, gap: str = "3600 seconds") -> DataFrame:
     """Sessions of a key that end after a silent gap."""
     w = events.withWatermark("ts", LATE).groupBy(F.session_window("ts", gap).alias("w"), key)
