@@ -1,6 +1,7 @@
 """Rules, joins, routes, terrain and streams on small fixtures; SQL of every query."""
 
 import os
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -182,6 +183,39 @@ def test_sliding_windows_from_steps(spark):
     assert got.count() == want.count() > 20 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
 
 
+def test_product_and_sum_are_rounded_once(spark):
+    rng = np.random.default_rng(5)
+    rows = [tuple(map(float, r)) for r in rng.normal(size=(3000, 3)) * 10.0 ** rng.integers(-6, 6, (3000, 3))]
+    rows += [(a, b, -a * b) for a, b, _ in rows[:500]]
+    exact = [float(Fraction(a) * Fraction(b) + Fraction(c)) for a, b, c in rows]
+    got = spark.createDataFrame(rows, "a double, b double, c double").select(ordered.fused(F.col("a"), F.col("b"), F.col("c"))).collect()
+    assert [r[0] for r in got] == exact and any(a * b + c != x for (a, b, c), x in zip(rows, exact, strict=True))
+
+
+def test_quantiles_equal_duckdb(spark, duck):
+    """Also where a tie of half a millionth depends on the last bit, on nulls and lone values."""
+    rng = np.random.default_rng(7)
+    rows = [(k, float(v) / 1000) for k in range(300) for v in np.round(rng.random(int(rng.integers(2, 60))) * 1e5, 2)]
+    rows += [(1000, 1.5), (1001, None), (1002, None), (1002, 2.0), (1002, 3.0), (None, 4.0), (None, 9.0), (1003, float("inf")), (1003, 1.0), (1003, float("nan"))]
+    df = spark.createDataFrame(rows, "k long, v double")
+    got = ordered.quantiles(df, "k", "v", {"a": 0.5, "b": 0.95}).collect()
+    duck.execute("CREATE OR REPLACE TEMP TABLE q AS SELECT unnest(?::STRUCT(k BIGINT, v DOUBLE)[], recursive := true)", [[{"k": k, "v": v} for k, v in rows]])
+    want = duck.execute("SELECT k, count(*), quantile_cont(v, 0.5), quantile_cont(v, 0.95) FROM q GROUP BY k").fetchall()
+    assert sorted(tuple(map(_cell, r)) for r in got) == sorted(tuple(map(_cell, r)) for r in want)
+
+
+def test_latency_statistics_at_ties(spark, duck, tmp_path):
+    rng = np.random.default_rng(9)
+    rows = [(f"{k}", 1, 1, 1, float(p)) for k in range(300) for p in np.round(rng.random(int(rng.integers(2, 60))) * 1e5, 2)]
+    spark.createDataFrame(rows, "l_returnflag string, l_orderkey long, l_linenumber int, l_suppkey long, l_extendedprice double").withColumn("l_quantity", F.lit(1.0)).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    name = "a11_latency_statistics"
+    sql = catalogue.oracle_sql()[name].replace("FROM lineitem", f"FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = duck.execute(sql)
+    names = [c[0] for c in want.description]
+    got = catalogue.queries()[name](spark, str(tmp_path)).select(*names).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
+
+
 def test_scene_needs_two_places(spark):
     rows = [(1, 0.0, 0.0, 7, "city", 1, 1, 10.0, 1), (1, 0.0, 0.0, 8, "city", 1, 2, 12.0, 1), (2, 0.0, 0.0, 7, "city", 1, 1, 10.0, 1), (2, 0.0, 0.0, 7, "city", 1, 1, 11.0, 1)]
     df = spark.createDataFrame(rows, "spot long, x double, y double, target long, category string, px long, py long, bearing double, state int")

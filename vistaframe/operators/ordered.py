@@ -78,6 +78,48 @@ def resample(df: DataFrame, key: list[str], order: str, spacing: float) -> DataF
     return out.select(*key, "at", (F.col("x") + t * (F.col("next_x") - F.col("x"))).alias("px"), (F.col("y") + t * (F.col("next_y") - F.col("y"))).alias("py"))
 
 
+def fused(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c of doubles rounded once, as a fused multiply-add does; the product is split
+    into its rounded value and what rounding left, as is the sum."""
+
+    def halves(x: Column) -> tuple[Column, Column]:
+        big = x * F.lit(134217729.0)
+        high = big - (big - x)
+        return high, x - high
+
+    (ah, al), (bh, bl) = halves(a), halves(b)
+    product = a * b
+    left = ((ah * bh - product) + ah * bl + al * bh) + al * bl
+    total = product + c
+    part = total - product
+    exact = total + (((product - (total - part)) + (c - part)) + left)
+    return F.when(F.isnan(exact), total).otherwise(exact)
+
+
+def quantiles(df: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """key, n (rows) and a column for each share: the value at that share of the way through a
+    key's values, between two of them low * (1 - d) + high * d with the last product and the
+    sum rounded once, as DuckDB's quantile_cont computes it. Nulls are counted in n only.
+
+    Values are counted before they are put in order, so a key's order holds distinct values.
+    """
+    c = F.col
+    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count(value).alias("_valued")).withColumnRenamed(key, "_key")
+    each = df.filter(c(value).isNotNull()).groupBy(key, c(value).alias("_v")).agg(F.count(F.lit(1)).alias("_many"))
+    upto = F.sum("_many").over(Window.partitionBy(key).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = sizes.join(each.withColumn("_upto", upto), c("_key").eqNullSafe(c(key)), "left")
+    at = {name: (c("_valued") - 1) * F.lit(share) for name, share in shares.items()}
+    held = lambda place: F.max(F.when((place < c("_upto")) & (place >= c("_upto") - c("_many")), c("_v")))
+    ends = [held(g(a)).alias(f"_{side}_{name}") for name, a in at.items() for side, g in (("low", F.floor), ("high", F.ceil))]
+    found = placed.groupBy("_key", "n", "_valued").agg(*ends)
+
+    def between(name: str) -> Column:
+        low, high, d = c(f"_low_{name}").cast("double"), c(f"_high_{name}").cast("double"), at[name] - F.floor(at[name])
+        return F.when(d == 0, low).otherwise(fused(low, F.lit(1.0) - d, high * d))
+
+    return found.select(c("_key").alias(key), "n", *[between(name).alias(name) for name in shares])
+
+
 def in_ranges(df: DataFrame, order: list[Column], ranges: int | None = None) -> DataFrame:
     """df written as ranges of the order, with its range's number (_range, rising)."""
     ranges = ranges or max(1, -(-df.count() // RANGE_ROWS))
