@@ -216,6 +216,25 @@ def test_latency_statistics_at_ties(spark, duck, tmp_path):
     assert sorted(map(tuple, got)) == sorted(want.fetchall())
 
 
+def test_a_place_meets_few_regions(spark, monkeypatch):
+    """Copies of a place are looked up once, and once found not against regions of larger ids."""
+    seen = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(spatial, "in_ring", lambda x, y, ring: F.udf(lambda a, b: seen.add(1) or True, "boolean")(x, ring))
+    points = spark.range(500).select("id", (F.col("id") % 2 + 10.0).alias("x"), F.lit(10.0).alias("y"))
+    regions = spark.range(100).select(F.col("id").alias("sid"), *[F.lit(v).alias(n) for n, v in (("minx", 0.0), ("miny", 0.0), ("maxx", 50.0), ("maxy", 50.0))], F.array().alias("ring"))
+    got = spatial.assign_smallest(points, regions, 100.0, "id", "sid").collect()
+    assert len(got) == 500 and {r.sid for r in got} == {0} and seen.value <= 2 * spatial.FIRST_REGIONS
+
+
+def test_a_place_is_looked_up_to_the_last_region(spark):
+    v = lambda x, y: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"))
+    small, large = (F.array(v(0.0, 0.0), v(w, 0.0), v(w, w), v(0.0, w)) for w in (1.0, 50.0))
+    regions = spark.range(90).select(F.col("id").alias("sid"), *[F.lit(x).alias(n) for n, x in (("minx", 0.0), ("miny", 0.0), ("maxx", 50.0), ("maxy", 50.0))], F.when(F.col("id") >= 80, large).otherwise(small).alias("ring"))
+    points = spark.createDataFrame([(1, 10.0, 10.0), (1, 0.5, 0.5), (2, 10.0, 10.0), (3, 70.0, 10.0), (4, None, 1.0), (None, 10.0, 10.0)], "id long, x double, y double")
+    got = spatial.assign_smallest(points, regions, 100.0, "id", "sid").collect()
+    assert sorted((r.id or 0, r.x or 0.0, -1 if r.sid is None else r.sid) for r in got) == [(0, 10.0, -1), (1, 0.5, 0), (1, 10.0, 0), (2, 10.0, 80), (3, 70.0, -1), (4, 0.0, -1)]
+
+
 def test_scene_needs_two_places(spark):
     rows = [(1, 0.0, 0.0, 7, "city", 1, 1, 10.0, 1), (1, 0.0, 0.0, 8, "city", 1, 2, 12.0, 1), (2, 0.0, 0.0, 7, "city", 1, 1, 10.0, 1), (2, 0.0, 0.0, 7, "city", 1, 1, 11.0, 1)]
     df = spark.createDataFrame(rows, "spot long, x double, y double, target long, category string, px long, py long, bearing double, state int")

@@ -76,10 +76,31 @@ def in_ring(x: Column, y: Column, ring: Column) -> Column:
     return F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), crosses), F.lit(0), lambda s, v: s + v) % 2 == 1
 
 
+#: Regions of a cell, by their ids, that every point is compared with; the others only meet
+#: points which none of these holds.
+FIRST_REGIONS = 32
+
+
 def assign_smallest(points: DataFrame, regions: DataFrame, cell: float, key: str, region: str) -> DataFrame:
-    """Each point with the smallest id of the regions (box and ring) that hold it, or null."""
-    held = point_in_box(points, regions, cell).filter(in_ring(F.col("x"), F.col("y"), F.col("ring")))
-    best = held.groupBy(key).agg(F.min(region).alias(region))
+    """Each point with the smallest id of the regions (box and ring) that hold it, or null.
+
+    A place is looked up once, however many points stand there. A cell's regions come in the
+    order of their ids, so where one of its first holds a place, the rest cannot hold a smaller.
+    """
+    places = points.select("x", "y").distinct()
+    placed = places.withColumn("gx", F.floor(F.col("x") / cell).cast("long")).withColumn("gy", F.floor(F.col("y") / cell).cast("long"))
+    turn = F.row_number().over(Window.partitionBy("gx", "gy").orderBy(region))
+    wide = covering(regions.filter(F.col(region).isNotNull()), cell).select("gx", "gy", region, "minx", "miny", "maxx", "maxy", "ring", turn.alias("_turn"))
+    inside = (F.col("x") >= F.col("minx")) & (F.col("x") <= F.col("maxx")) & (F.col("y") >= F.col("miny")) & (F.col("y") <= F.col("maxy"))
+
+    def smallest(asked: DataFrame, among: DataFrame) -> DataFrame:
+        held = asked.join(among, ["gx", "gy"]).filter(inside).filter(in_ring(F.col("x"), F.col("y"), F.col("ring")))
+        return held.groupBy("x", "y").agg(F.min(region).alias(region))
+
+    first = smallest(placed, wide.filter(F.col("_turn") <= FIRST_REGIONS))
+    left = placed.join(first, ["x", "y"], "left_anti")
+    found = first.unionByName(smallest(left, wide.filter(F.col("_turn") > FIRST_REGIONS)))
+    best = points.select(key, "x", "y").join(found, ["x", "y"]).groupBy(key).agg(F.min(region).alias(region))
     return points.join(best, key, "left")
 
 
