@@ -221,9 +221,9 @@ def test_a_place_meets_few_regions(spark, monkeypatch):
     seen = spark.sparkContext.accumulator(0)
     monkeypatch.setattr(spatial, "in_ring", lambda x, y, ring: F.udf(lambda a, b: seen.add(1) or True, "boolean")(x, ring))
     points = spark.range(500).select("id", (F.col("id") % 2 + 10.0).alias("x"), F.lit(10.0).alias("y"))
-    regions = spark.range(100).select(F.col("id").alias("sid"), *[F.lit(v).alias(n) for n, v in (("minx", 0.0), ("miny", 0.0), ("maxx", 50.0), ("maxy", 50.0))], F.array().alias("ring"))
+    regions = spark.range(100).select(F.col("id").alias("sid"), *[F.lit(v).alias(n) for n, v in (("minx", 0.0), ("miny", 0.0), ("maxx", 50.0), ("maxy", 50.0))], F.array("id").alias("ring"))
     got = spatial.assign_smallest(points, regions, 100.0, "id", "sid").collect()
-    assert len(got) == 500 and {r.sid for r in got} == {0} and seen.value <= 2 * spatial.FIRST_REGIONS
+    assert len(got) == 500 and {r.sid for r in got} == {0} and seen.value <= 4 * spatial.FIRST_REGIONS
 
 
 def test_a_place_is_looked_up_to_the_last_region(spark):
@@ -235,6 +235,21 @@ def test_a_place_is_looked_up_to_the_last_region(spark):
     assert sorted((r.id or 0, r.x or 0.0, -1 if r.sid is None else r.sid) for r in got) == [(0, 10.0, -1), (1, 0.5, 0), (1, 10.0, 0), (2, 10.0, 80), (3, 70.0, -1), (4, 0.0, -1)]
 
 
+def test_equal_spots_are_compared_once(spark, monkeypatch):
+    """All pairs come, of copies too, though the experiences are compared by what differs."""
+    seen = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(ranking, "TOGETHER", 7)
+    real = ranking.same_experience
+    monkeypatch.setattr(ranking, "same_experience", lambda a, b: F.udf(lambda p, q: seen.add(1) or True, "boolean")(a["lon"], b["lon"]) & real(a, b))
+    rows = [(i, 126.97 + (i % 3) * 0.0005, 37.57, float(i % 2 * 15 + 350) % 360, 1, 2) for i in range(60)] + [(7, 126.97, 37.57, 5.0, 1, 2), (None, 126.97, 37.57, 5.0, 1, 2), (90, 126.97, 37.57, None, 1, 2)]
+    df = spark.createDataFrame(rows, "id long, lon double, lat double, bearing double, target int, look int").withColumn("targets", F.array(F.lit("t"))).withColumn("signature", F.lit("s"))
+    got = sorted(map(tuple, ranking.same_pairs(df, ["target", "look"]).collect()))
+    a, b = df.alias("a"), df.alias("b")
+    want = a.join(b, F.col("a.id") < F.col("b.id")).filter(real(F.struct("b.*"), F.struct("a.*"))).select("a.id", "b.id")
+    assert got == sorted(map(tuple, want.collect())) and len(got) > 800
+    assert seen.value < len(got) / 2
+
+
 def test_scene_needs_two_places(spark):
     rows = [(1, 0.0, 0.0, 7, "city", 1, 1, 10.0, 1), (1, 0.0, 0.0, 8, "city", 1, 2, 12.0, 1), (2, 0.0, 0.0, 7, "city", 1, 1, 10.0, 1), (2, 0.0, 0.0, 7, "city", 1, 1, 11.0, 1)]
     df = spark.createDataFrame(rows, "spot long, x double, y double, target long, category string, px long, py long, bearing double, state int")

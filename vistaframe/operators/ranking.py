@@ -160,6 +160,30 @@ def same_experience(a: Column, b: Column) -> Column:
     return F.coalesce(gap & near & targets & (a["signature"] != "") & (a["signature"] == b["signature"]), F.lit(False))
 
 
+#: Ids of equal spots that are paired with others in one row.
+TOGETHER = 256
+
+
+def same_pairs(spots: DataFrame, keys: list[str]) -> DataFrame:
+    """first, second: ids, the smaller first, of all spots of the same experience. Spots must
+    agree in keys, which targets and signature follow from.
+
+    Spots that differ in the id alone are compared once, in both directions; what holds for them
+    holds for all of their ids, which are then paired in rows of at most TOGETHER from each side.
+    """
+    like = F.struct("lon", "lat", "bearing", "targets", "signature").alias("v")
+    each = spots.filter(F.col("id").isNotNull()).select(*keys, F.floor(F.col("bearing") / 20).cast("int").alias("sector"), like, "id")
+    turn = F.row_number().over(Window.partitionBy(*keys, "sector", "v").orderBy("id"))
+    each = each.withColumn("batch", F.floor((turn - 1) / TOGETHER))
+    some = each.groupBy(*keys, "sector", "v", "batch").agg(F.collect_list("id").alias("ids"), F.min("id").alias("low"), F.max("id").alias("high"))
+    around = F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda x: F.pmod(F.col("sector") + x, F.lit(18)))
+    wide = some.select(*keys, F.explode(around).alias("sector"), F.col("v").alias("w"), F.col("ids").alias("others"), F.col("high").alias("most"), F.col("batch").alias("other"))
+    both = some.join(wide, [*keys, "sector"]).filter(F.col("low") < F.col("most")).filter(same_experience(F.col("w"), F.col("v")))
+    context = spots.sparkSession.sparkContext
+    both = both.select("ids", "others", "low", "most").repartition(16 * context.defaultParallelism, "low", "most")
+    return both.select(F.explode("ids").alias("first"), "others").select("first", F.explode("others").alias("second")).filter(F.col("first") < F.col("second"))
+
+
 def greedy(rows: DataFrame, group: list[str], row: Column, order: Column, redundant, k: int | None = None) -> DataFrame:
     """The rows of each group that are kept when taken in order and dropped if redundant
     with one kept before; at most k. row: a struct; order: a sortable column.

@@ -60,14 +60,9 @@ def k03(spark, d):
 @query("j18_same_experience_pairs", f"WITH s AS (SELECT * FROM ({CANDS})) SELECT c.id AS first, r.id AS second FROM s c JOIN s r ON c.id < r.id AND {SAME}")
 def j18(spark, d):
     """Pairs of like experiences: equal targets, signatures and near bearings join, the distance decides."""
-    from ..operators.ranking import same_experience
-
-    sector = F.floor(F.col("bearing") / 20).cast("int")
-    s = spots(spark, d).select("target", "look", sector.alias("sector"), F.struct("id", "lon", "lat", "bearing", "targets", "signature").alias("v"))
-    around = F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda x: F.pmod(F.col("sector") + x, F.lit(18)))
-    wide = s.withColumn("sector", F.explode(around)).withColumnRenamed("v", "w")
-    both = s.join(wide, ["target", "look", "sector"]).filter(F.col("v.id") < F.col("w.id"))
-    return both.filter(same_experience(F.col("w"), F.col("v"))).select(F.col("v.id").alias("first"), F.col("w.id").alias("second"))
+    from ..operators.ranking import same_pairs
+
+    return same_pairs(spots(spark, d), ["target", "look"]).select("first", "second")
 
 
 @query("w12_running_horizon", f"""WITH {grids.SYNTHETIC_SQL}, rays AS ({BEARINGS_T}), {PIECES},
