@@ -662,3 +662,10 @@ def test_vectors_with_further_columns(spark, vectors):
     named = vectors.withColumn("shard", F.lit("x")).withColumn("vector", F.lit("x")).withColumn("is_query", F.lit("x")).withColumn("score", F.lit(1))
     assert sorted(topk.search(topk.integers(named)).collect()) == sorted(topk.search(topk.integers(vectors)).collect())
     assert hnsw.usable_vectors(named).columns == hnsw.usable_vectors(vectors).columns
+
+
+def test_keys_and_places_sorted_as_one_number():
+    """The stable order, also of keys too large to carry their places."""
+    rng = np.random.default_rng(3)
+    for keys in (np.empty(0, np.int64), np.zeros(1, np.int64), rng.integers(0, 9, 1000), rng.integers(0, 1 << 38, 1000), rng.integers(0, 3, 1000) << 61):
+        assert (pitman_yor._rising(keys) == np.argsort(keys, kind="stable")).all()

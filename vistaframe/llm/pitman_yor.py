@@ -102,6 +102,14 @@ def _steps(ascending: np.ndarray) -> np.ndarray:
     return np.diff(ascending, prepend=np.uint64(0)) if len(ascending) else ascending
 
 
+def _rising(keys: np.ndarray) -> np.ndarray:
+    """The stable order of keys from 0; key and place are sorted as one number where they fit."""
+    bits = max(1, (len(keys) - 1).bit_length())
+    if not len(keys) or int(keys.max()) >> (63 - bits):
+        return np.argsort(keys, kind="stable")
+    return np.sort((keys.astype(np.int64) << bits) | np.arange(len(keys))) & ((1 << bits) - 1)
+
+
 class Numbers(dict):
     """Dense numbers of words, with their 64-bit codes; 0 is the end, 1 the beginning."""
 
@@ -123,7 +131,10 @@ def tokens(texts: list[str | None], numbers: Numbers) -> tuple[np.ndarray, np.nd
     flat = np.zeros(size, np.int32)
     inner = np.ones(size, bool)
     inner[np.cumsum(counts) - 1] = False
-    flat[inner] = np.fromiter(map(numbers.__getitem__, chain.from_iterable(lists)), np.int32, size - len(lists))
+    # each different word is looked up once, in the order in which they come
+    coded = pa.array(list(chain.from_iterable(lists)), pa.large_binary()).dictionary_encode()
+    own = np.fromiter(map(numbers.__getitem__, coded.dictionary.to_pylist()), np.int32, len(coded.dictionary))
+    flat[inner] = own[coded.indices.to_numpy()]
     return flat, counts
 
 
@@ -263,9 +274,9 @@ def _chunks(parts: int, busy: Busy, common: np.ndarray):
         opened = np.flatnonzero(room)
         if len(opened):
             plain = np.flatnonzero(room == 0)
-            order = np.r_[plain[np.argsort(key[plain], kind="stable")], opened[np.lexsort((leaf[opened], room[opened], place[before[opened]]))]]
+            order = np.r_[plain[_rising(key[plain])], opened[np.lexsort((leaf[opened], room[opened], place[before[opened]]))]]
         else:
-            order = np.argsort(key, kind="stable")
+            order = _rising(key)
         del key
         order = order[np.argsort(part[order], kind="stable")]
         part, flat, before, leaf, room, doc = (a[order] for a in (part, flat, before, leaf, room, doc))
@@ -459,12 +470,13 @@ class Part:
         below = np.concatenate([np.cumsum(m[4], dtype=np.uint32) & np.uint32((1 << LEAF_BITS) - 1) for m in messages])
         leaves, leaf = np.unique((mid << LEAF_BITS) | below, return_inverse=True)
         many = np.concatenate([m[6] for m in messages])
-        key = (np.repeat(leaf, many) << 32) | word
-        order = np.argsort(key, kind="stable")
+        key = (np.repeat(leaf, many) << max(1, len(names).bit_length())) | word
+        order = _rising(key)
         key = key[order]
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
         self.size = np.diff(np.r_[start, len(key)])
-        self.leaf, self.w = key[start] >> 32, key[start] & 0xFFFFFFFF
+        bits = max(1, len(names).bit_length())
+        self.leaf, self.w = key[start] >> bits, key[start] & ((1 << bits) - 1)
         self.leaf_mid = leaves >> LEAF_BITS
         pairs, self.pair_of = np.unique((self.leaf_mid[self.leaf] << 32) | self.w, return_inverse=True)
         self.mid, self.pw = pairs >> 32, pairs & 0xFFFFFFFF
