@@ -451,6 +451,20 @@ def test_language_model_learns_contexts(spark):
     assert sum(r.score for r in held) / tokens > sum(r.base_score for r in held) / tokens + 0.3
 
 
+def test_language_model_does_not_depend_on_partitions(spark, monkeypatch):
+    """Busy restaurants are shared: their tokens may lie in many partitions without another result."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    copies = docs.filter("doc_id < 3").crossJoin(spark.range(40)).select((F.col("doc_id") + 1000 * (F.col("id") + 1)).alias("doc_id"), "text")
+    docs = docs.unionByName(copies).localCheckpoint()
+    seen, plan = [], pitman_yor.busy_contexts
+    monkeypatch.setattr(pitman_yor, "busy_contexts", lambda *a: seen.append(plan(*a)) or seen[-1])
+    one, many = ({r.doc_id: (r.score, r.base_score) for r in pitman_yor.scored(docs, crc_fold("doc_id", 10) == 0, n).collect()} for n in (pitman_yor.PART_TOKENS, 2000))
+    assert [[len(k) > 0 for k in busy.keys] for busy, _, _ in seen] == [[False, False], [True, True]]
+    assert one.keys() == many.keys()
+    for i, (score, base) in one.items():
+        assert abs(score - many[i][0]) < 1e-6 and abs(base - many[i][1]) < 1e-6
+
+
 def test_quality_learns_and_defines_cases(spark, docs, labels):
     good = [(i, f"the quick {i} fox jumps over the lazy dog number {i}", 1) for i in range(100, 220)]
     bad = [(i, f"BUY!! {i} NOW!! CHEAP!! $$$ DEAL!!", 0) for i in range(300, 420)]

@@ -9,20 +9,23 @@ learned are those of the corpus and grow with it.
 
 Distribution. Documents are cut into chunks of tokens. Each chunk sends its tokens, packed
 by context, to partitions of middle restaurants; a middle restaurant lies in one partition
-with all leaves below it, so all of its numbers are local. Only the root is shared: for
-each sweep, partitions send the root's customers of their words to buckets of words, which
-seat them and send back what a word's probability needs. The COMMON most frequent words
-travel as short numbers, by a list that the driver sends out; others as their codes. A middle restaurant with more
-than a room's share of a partition is opened as rooms by the second word before, each a
-middle restaurant of its own, and a pair of words that alone is that frequent (passages
-that many documents share) as rooms by document; a room still holds many customers.
-Partitions therefore keep their size whatever the corpus. Which words and pairs are that
-busy, and which words are common, is planned on one document in PLANNED (by a hash of its
-place): that balances the work and shortens messages, while every token counts once, in one
-restaurant. Per-document sums travel back packed by chunk. The driver sees sums of the root
-and the list of busy words and pairs (at most about sixteen a partition). The partitions lie
-in the shared folder as a bucketed table, which outlives lost executors and is read again
-for each sweep without another shuffle.
+with all leaves below it, so all of its numbers are local. The root is shared: for each
+sweep, partitions send the root's customers of their words to buckets of words, which seat
+them and send back what a word's probability needs. The COMMON most frequent words travel as
+short numbers, by a list that the driver sends out; others as their codes. The tokens of a
+middle restaurant with more than a room's share of a partition are dealt to rooms by leaf, and
+those of a leaf that alone is that frequent (passages that many documents share) by document;
+rooms may lie in different partitions. Such restaurants stay whole: they are shared as the
+root is. The buckets of words sum their groups over the partitions, seat them and send back
+customers and tables; the driver sums customers and tables of each shared restaurant.
+Partitions therefore keep their size whatever the corpus, and which restaurants are shared,
+the number of partitions and that of buckets change no result. Which are shared, and which
+words are common, is planned on one document in PLANNED (by a hash of its place): that
+balances the work and shortens messages, while every token counts once, in one restaurant.
+Per-document sums travel back packed by chunk. The driver sees sums of the root and of shared
+restaurants and their list (at most about sixteen a partition). The partitions lie in the
+shared folder as a bucketed table, which outlives lost executors and is read again for each
+sweep without another shuffle.
 
 Inference. A sweep draws, level by level, the number of tables of every group (the
 customers of one word in one restaurant) from its conditional distribution given the other
@@ -32,8 +35,9 @@ STIRLING customers and carried on by its scaling limit (t against c to the disco
 larger ones. A group's seating itself has no further use, so it is not kept. The groups of
 a level are drawn at the same time, given the parent's probabilities of the sweep before.
 Tables are the customers of the parent. After BURN_IN sweeps SAMPLES seatings are kept,
-and the predictive probabilities averaged over them. Draws follow from seeds and the
-answers of the root, so that later passes repeat them instead of storing states.
+and the predictive probabilities averaged over them. The numbers behind the draws are hashes
+of sweep, restaurant and word. The tables of a partition's groups travel to its next pass
+with the messages.
 
 Everything counted covers all training documents and grows with them.
 
@@ -45,8 +49,9 @@ are read whole; further columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -152,13 +157,24 @@ def contexts(flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 # -- rooms of busy restaurants ---------------------------------------------------------
 
 
-def pair_code(before: np.ndarray, earlier: np.ndarray) -> np.ndarray:
-    return mix(before * np.uint64(0xD1B54A32D192ED03) + earlier)
+def leaf_number(codes: np.ndarray) -> np.ndarray:
+    """What tells the leaves below a middle restaurant apart, from the second word before."""
+    return (mix(codes) >> np.uint64(64 - LEAF_BITS)).astype(np.uint32)
+
+
+def pair_code(before: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+    """Of a leaf, from the code of the word before and the leaf's number, which is its last bits."""
+    return (mix(before) >> np.uint64(LEAF_BITS) << np.uint64(LEAF_BITS)) | leaf.astype(np.uint64)
+
+
+def mid_key(before: np.ndarray) -> np.ndarray:
+    """Of middle restaurants, for the seeds of their draws."""
+    return (mix(before) >> np.uint64(32)).astype(np.uint32)
 
 
 class Busy:
-    """Words, and pairs of words, before which more than a room's tokens stand, with their
-    numbers of rooms."""
+    """Words, and leaves, before which more than a room's tokens stand, with their numbers of
+    rooms: the middle restaurants and leaves that partitions share."""
 
     def __init__(self, keys: dict[int, list[tuple[int, int]]], room: float):
         self.keys, self.rooms = [], []
@@ -166,28 +182,41 @@ class Busy:
             rows = sorted((int(np.int64(k).astype(np.uint64)), n) for k, n in keys.get(kind, []))
             self.keys.append(np.array([k for k, _ in rows], np.uint64))
             self.rooms.append(np.array([2 * int(np.ceil(n / room)) for _, n in rows], np.uint64))
-
-    def of(self, kind: int, code: np.ndarray) -> np.ndarray:
-        """Number of rooms of each code, 0 if it is not busy."""
+        # the middle restaurant above each leaf; a leaf without a busy one stays in its room
+        bits = np.uint64(LEAF_BITS)
+        above = {int(m): i for i, m in enumerate(mix(self.keys[0]) >> bits)}
+        mids = np.array([above.get(int(k), -1) for k in self.keys[1] >> bits], np.int64)
+        self.keys[1], self.rooms[1], self.leaf_mid = self.keys[1][mids >= 0], self.rooms[1][mids >= 0], mids[mids >= 0]
+        self.mid_key = mid_key(self.keys[0])
+        self.leaf_number = (self.keys[1] & np.uint64((1 << LEAF_BITS) - 1)).astype(np.uint32)
+
+    def place(self, kind: int, code: np.ndarray) -> np.ndarray:
+        """Place of each code among the busy ones, -1 if it is none."""
         keys = self.keys[kind]
         if not len(keys):
-            return np.zeros(len(code), np.uint64)
+            return np.full(len(code), -1)
         at = np.minimum(np.searchsorted(keys, code), len(keys) - 1)
-        return np.where(keys[at] == code, self.rooms[kind][at], np.uint64(0))
+        return np.where(keys[at] == code, at, -1)
 
-    def rooms_of(self, before: np.ndarray, earlier: np.ndarray, codes: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    def of(self, kind: int, code: np.ndarray) -> np.ndarray:
+        """Number of rooms of each code, 0 if it is not busy."""
+        at = self.place(kind, code)
+        return np.where(at >= 0, self.rooms[kind][at], np.uint64(0)) if len(self.keys[kind]) else np.zeros(len(code), np.uint64)
+
+    def rooms_of(self, before: np.ndarray, leaf: np.ndarray, codes: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """The room of each token: 0 where the word before is not busy.
 
-        before, earlier: word numbers; codes: of the words; doc: a code of each token's document.
+        before: word numbers; leaf: numbers of leaves; codes: of the words; doc: a code of
+        each token's document.
         """
         out = np.zeros(len(before), np.uint64)
         at = np.flatnonzero(self.of(0, codes)[before])
         if len(at):
-            one, two = codes[before[at]], codes[earlier[at]]
+            one, two = codes[before[at]], leaf[at].astype(np.uint64)
             out[at] = 1 + mix(two) % self.of(0, one)
             many = self.of(1, pair_code(one, two))
             hot = np.flatnonzero(many)
-            out[at[hot]] = mix(two[hot] + mix(doc[at[hot]]) % many[hot] + np.uint64(1)) | np.uint64(1 << 63)
+            out[at[hot]] = mix(mix(two[hot]) + mix(doc[at[hot]]) % many[hot] + np.uint64(1)) | np.uint64(1 << 63)
         return out
 
 
@@ -210,7 +239,7 @@ def _counting(share: float):
         some = np.flatnonzero(often[before])
         pair, m = np.unique((before[some].astype(np.int64) << 32) | earlier[some], return_counts=True)
         pair, m = pair[m > least], m[m > least]
-        key = pair_code(codes[pair >> 32], codes[pair & 0xFFFFFFFF])
+        key = pair_code(codes[pair >> 32], leaf_number(codes)[pair & 0xFFFFFFFF])
         got = [(0, k, c) for k, c in zip(codes[listed].astype(np.int64).tolist(), n[listed].tolist(), strict=True)]
         return out(got + [(1, k, c) for k, c in zip(key.astype(np.int64).tolist(), m.tolist(), strict=True)])
 
@@ -236,15 +265,10 @@ def _counting(share: float):
 
 
 def middle(before: np.ndarray, room: np.ndarray) -> np.ndarray:
-    """Codes of middle restaurants."""
+    """Codes by which middle restaurants and their rooms are dealt to partitions."""
     return mix(before * np.uint64(0x9E3779B97F4A7C15) + room)
 
 
-def leaf_number(codes: np.ndarray) -> np.ndarray:
-    """What tells the leaves below a middle restaurant apart, from the second word before."""
-    return (mix(codes) >> np.uint64(64 - LEAF_BITS)).astype(np.uint32)
-
-
 def _chunks(parts: int, busy: Busy, common: np.ndarray):
     """common: codes of the words that travel as their places in it, the most frequent first."""
     rising = np.argsort(common)
@@ -265,24 +289,17 @@ def _chunks(parts: int, busy: Busy, common: np.ndarray):
         part, room = dealt(codes, np.uint64(0))[before], np.zeros(len(flat), np.uint64)
         if len(busy.keys[0]):
             code = (doc & np.uint16(_HELD - 1)) + np.uint64(name) * np.uint64(CHUNK_DOCS * 2)
-            room = busy.rooms_of(before, earlier, codes, code)
+            room = busy.rooms_of(before, leaf, codes, code)
             opened = np.flatnonzero(room)
             part[opened] = dealt(codes[before[opened]], room[opened])
-        del earlier
-        # by the code of the word before, the leaf, and of opened restaurants the room
-        key = (place[before] << LEAF_BITS) | leaf
-        opened = np.flatnonzero(room)
-        if len(opened):
-            plain = np.flatnonzero(room == 0)
-            order = np.r_[plain[_rising(key[plain])], opened[np.lexsort((leaf[opened], room[opened], place[before[opened]]))]]
-        else:
-            order = _rising(key)
-        del key
+        del earlier, room
+        # by the code of the word before and the leaf
+        order = _rising((place[before] << LEAF_BITS) | leaf)
         order = order[np.argsort(part[order], kind="stable")]
-        part, flat, before, leaf, room, doc = (a[order] for a in (part, flat, before, leaf, room, doc))
+        part, flat, before, leaf, doc = (a[order] for a in (part, flat, before, leaf, doc))
         del order
         other = np.r_[True, (before[1:] != before[:-1]) | (part[1:] != part[:-1])]
-        new = other | np.r_[True, (leaf[1:] != leaf[:-1]) | (room[1:] != room[:-1])]
+        new = other | np.r_[True, leaf[1:] != leaf[:-1]]
         edges = np.searchsorted(part, np.arange(parts + 1))
         to, body = [-1 - int(mix(np.array([name], np.uint64))[0] >> np.uint64(34))], [_pack(np.array([0 if i is None else i for i in ids], np.int64), np.array([i is None for i in ids], np.uint8), counts.astype(np.int32), held.astype(np.uint8))]
         at = np.minimum(np.searchsorted(known, codes), max(0, len(known) - 1))
@@ -296,13 +313,13 @@ def _chunks(parts: int, busy: Busy, common: np.ndarray):
             rare = np.flatnonzero(~listed[flat[a:b]])
             names, index = np.unique(codes[flat[a:b][rare]], return_inverse=True)
             word[rare] = COMMON + index
-            # words before stand in the order of their codes, twice where rooms are open too
+            # words before stand in the order of their codes
             mids = codes[before[a:b][start[first]]]
             to.append(p)
             body.append(
                 _pack(
                     _steps(names), word, np.diff(mids, prepend=np.uint64(0)), np.diff(np.r_[first, len(start)]).astype(np.int32), np.diff(leaf[a:b][start], prepend=np.uint32(0)) & np.uint32((1 << LEAF_BITS) - 1),
-                    room[a:b][start], np.diff(np.r_[start, b - a]).astype(np.int32), doc[a:b], np.array([len(counts)], np.int32),
+                    np.diff(np.r_[start, b - a]).astype(np.int32), doc[a:b], np.array([len(counts)], np.int32),
                 )
             )
         return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([name] * len(to), pa.int64()), pa.array(body, pa.binary())], names=["part", "chunk", "body"])
@@ -377,7 +394,7 @@ def log_weight(t: np.ndarray, customers: np.ndarray, others: np.ndarray, parent:
     return scaled - lgamma(t) - (t - 1) * np.log(d) + t * np.log(d * parent) + lgamma(s / d + others + t) - lgamma(s / d + others)
 
 
-def _draw_large(rng: np.random.Generator, customers: np.ndarray, others: np.ndarray, parent: np.ndarray, level: int) -> np.ndarray:
+def _draw_large(u: np.ndarray, customers: np.ndarray, others: np.ndarray, parent: np.ndarray, level: int) -> np.ndarray:
     """Tables of large groups, from a grid around the peak of their weights."""
     weight = lambda t: log_weight(t, *(x[:, None] for x in (customers, others, parent)), level) if t.ndim > 1 else log_weight(t, customers, others, parent, level)
     low, high = np.ones(len(customers)), customers.copy()
@@ -394,8 +411,8 @@ def _draw_large(rng: np.random.Generator, customers: np.ndarray, others: np.ndar
     t = peak[:, None] + step[:, None] * np.arange(-32, 33)
     log = np.where((t >= 1) & (t <= customers[:, None]), weight(np.maximum(t, 1)), -np.inf)
     mass = np.cumsum(np.exp(log - log.max(axis=1, keepdims=True)), axis=1)
-    pick = (mass < rng.random(len(peak))[:, None] * mass[:, -1:]).sum(axis=1)
-    out = t[np.arange(len(peak)), pick] + np.floor((rng.random(len(peak)) - 0.5) * step + 0.5)
+    pick = (mass < u[:, None] * mass[:, -1:]).sum(axis=1)
+    out = t[np.arange(len(peak)), pick] + np.floor((u * 2**26 % 1 - 0.5) * step + 0.5)
     return np.clip(out, 1, customers)
 
 
@@ -404,6 +421,16 @@ def draw(rng: np.random.Generator, customers: np.ndarray, others: np.ndarray, pa
 
     others: tables of the restaurant's other groups; parent: the parent's probability.
     """
+    return drawn(rng.random(len(customers)), customers, others, parent, level)
+
+
+def uniform(group: np.ndarray, word: np.ndarray, sweep: int, level: int) -> np.ndarray:
+    """A number from 0 to 1 for each word in a restaurant, wherever it is drawn."""
+    return (mix(mix(group) + mix(word + np.uint64(4 * sweep + level))) >> np.uint64(11)) * 2.0**-53
+
+
+def drawn(u: np.ndarray, customers: np.ndarray, others: np.ndarray, parent: np.ndarray, level: int) -> np.ndarray:
+    """As draw, from a uniform number for each group."""
     d, s = DISCOUNT[level], STRENGTH[level]
     out = np.ones(len(customers))
     top = 2
@@ -416,19 +443,21 @@ def draw(rng: np.random.Generator, customers: np.ndarray, others: np.ndarray, pa
             log = np.cumsum(np.log((s + d * (others[i, None] + t)) * parent[i, None]), axis=1)
             log += _log_stirling(d)[customers[i].astype(np.int64), 1 : top + 1]
             mass = np.cumsum(np.exp(log - log.max(axis=1, keepdims=True)), axis=1)
-            out[i] = 1 + (mass < rng.random(len(i))[:, None] * mass[:, -1:]).sum(axis=1)
+            out[i] = 1 + (mass < u[i, None] * mass[:, -1:]).sum(axis=1)
         top *= 2
     large = np.flatnonzero(customers > STIRLING)
     if len(large):
-        out[large] = _draw_large(rng, customers[large], others[large], parent[large], level)
+        out[large] = _draw_large(u[large], customers[large], others[large], parent[large], level)
     return out
 
 
 class Root:
-    """Sums of the root after a sweep: customers, tables and the vocabulary."""
+    """Sums of the root after a sweep: customers, tables and the vocabulary; and of the shared
+    middle restaurants and leaves (rows of totals: their customers and tables)."""
 
-    def __init__(self, customers: float, tables: float, vocabulary: int):
+    def __init__(self, customers: float, tables: float, vocabulary: int, mids: np.ndarray | None = None, leaves: np.ndarray | None = None):
         self.customers, self.tables, self.vocabulary = customers, tables, vocabulary
+        self.mids, self.leaves = (np.zeros((2, 0)) if x is None else x for x in (mids, leaves))
 
     @property
     def base(self) -> float:
@@ -440,16 +469,38 @@ class Root:
         return (own + (STRENGTH[2] + DISCOUNT[2] * self.tables) * self.base) / (STRENGTH[2] + self.customers)
 
 
+def seated(customers: np.ndarray, tables: np.ndarray, every: np.ndarray, all_tables: np.ndarray, parent: np.ndarray, level: int) -> np.ndarray:
+    """Predictive probability of words in leaves or middle restaurants, from the word's and
+    the restaurant's customers and tables."""
+    d, s = DISCOUNT[level], STRENGTH[level]
+    return (np.maximum(0, customers - d * tables) + (s + d * all_tables) * parent) / (s + every)
+
+
+def leaf_group(mid: np.ndarray, number: np.ndarray) -> np.ndarray:
+    return (mid.astype(np.uint64) << np.uint64(LEAF_BITS)) | number
+
+
+class Shared(NamedTuple):
+    """What a partition is told of shared restaurants after a sweep, each customers and tables:
+    of its pairs, its types, and of the whole restaurants."""
+
+    pairs: Sequence[np.ndarray] = ()
+    types: Sequence[np.ndarray] = ()
+    mids: Sequence[np.ndarray] = ()
+    leaves: Sequence[np.ndarray] = ()
+
+
 class Part:
     """The tokens of one partition of middle restaurants, counted.
 
     Words are ordered by their bucket, then by code; types (a word in a leaf) by leaf, then
-    by word; pairs (a word in a middle restaurant) alike; tokens by type.
+    by word; pairs (a word in a middle restaurant) alike; tokens by type. Of a shared
+    restaurant the partition holds a part; its groups are seated in the buckets of words.
     """
 
     @classmethod
-    def of(cls, messages: list[list[np.ndarray]], chunks: list[int], buckets: int, common: np.ndarray) -> Part:
-        """From what _chunks packed for the partition."""
+    def of(cls, messages: list[list[np.ndarray]], chunks: list[int], buckets: int, common: np.ndarray, busy: Busy | None = None) -> Part:
+        """From what _chunks packed for the partition; the restaurants of busy are shared."""
         self = cls()
         rare = [np.cumsum(m[0], dtype=np.uint64) for m in messages]
         used = np.zeros(COMMON, bool)
@@ -465,11 +516,11 @@ class Part:
         numbers = np.zeros(COMMON, np.int64)
         numbers[np.flatnonzero(used)] = find(common[np.flatnonzero(used)])
         word = np.concatenate([np.r_[numbers, find(r)][m[1]] for m, r in zip(messages, rare, strict=True)])
-        mid = np.concatenate([middle(np.repeat(np.cumsum(m[2], dtype=np.uint64), m[3]), m[5]) for m in messages])
+        mid = np.concatenate([np.repeat(np.cumsum(m[2], dtype=np.uint64), m[3]) for m in messages])
         mids, mid = np.unique(mid, return_inverse=True)
         below = np.concatenate([np.cumsum(m[4], dtype=np.uint32) & np.uint32((1 << LEAF_BITS) - 1) for m in messages])
         leaves, leaf = np.unique((mid << LEAF_BITS) | below, return_inverse=True)
-        many = np.concatenate([m[6] for m in messages])
+        many = np.concatenate([m[5] for m in messages])
         key = (np.repeat(leaf, many) << max(1, len(names).bit_length())) | word
         order = _rising(key)
         key = key[order]
@@ -481,28 +532,68 @@ class Part:
         pairs, self.pair_of = np.unique((self.leaf_mid[self.leaf] << 32) | self.w, return_inverse=True)
         self.mid, self.pw = pairs >> 32, pairs & 0xFFFFFFFF
         self.mids = len(mids)
-        self.chunks, self.docs = np.array(chunks, np.int64), np.array([int(m[8][0]) for m in messages], np.int64)
-        self.message = np.repeat(np.arange(len(messages), dtype=np.uint16), [len(m[7]) for m in messages])[order]
-        doc = np.concatenate([m[7] for m in messages])[order]
+        self.chunks, self.docs = np.array(chunks, np.int64), np.array([int(m[7][0]) for m in messages], np.int64)
+        self.message = np.repeat(np.arange(len(messages), dtype=np.uint16), [len(m[6]) for m in messages])[order]
+        doc = np.concatenate([m[6] for m in messages])[order]
         self.doc, trained = doc & np.uint16(_HELD - 1), doc < _HELD
         self.c = np.add.reduceat(trained, start, dtype=np.int64).astype(float) if len(start) else np.empty(0)
+        # the numbers of leaves are needed where groups are drawn
+        self.mid_key = mid_key(mids)
+        below = (leaves & ((1 << LEAF_BITS) - 1)).astype(np.uint32)
+        self.drawn_leaves = below[self._with_draws()]
+        busy = busy or Busy({}, 1.0)
+        to = busy.place(0, mids)
+        self.mid_at = np.flatnonzero(to >= 0)
+        self.mid_to = to[self.mid_at]
+        at = np.flatnonzero(to[self.leaf_mid] >= 0)
+        to = busy.place(1, pair_code(mids[self.leaf_mid[at]], below[at]))
+        self.leaf_at, self.leaf_to = at[to >= 0], to[to >= 0]
+        self._share()
         return self
 
-    _SAVED = ("size", "leaf", "w", "leaf_mid", "pair_of", "mid", "pw", "c")
+    def _with_draws(self) -> np.ndarray:
+        """Leaves in which a word has two customers or more."""
+        return np.flatnonzero(np.bincount(self.leaf, self.c >= 2, len(self.leaf_mid)) > 0)
+
+    def _share(self) -> None:
+        """The pairs and types of shared restaurants, by bucket, place and word."""
+        buckets = len(self.edges) - 1
+        bucket = np.repeat(np.arange(buckets), np.diff(self.edges)).astype(np.uint16 if buckets <= 65536 else np.int64)
+        own = np.ones(self.mids, bool)
+        own[self.mid_at] = False
+        self.own_pair = own[self.mid]
+        at = np.flatnonzero(~self.own_pair)
+        to = np.full(self.mids, -1)
+        to[self.mid_at] = self.mid_to
+        self.pairs = at[np.argsort(bucket[self.pw[at]], kind="stable")]
+        self.pair_to = to[self.mid[self.pairs]]
+        self.pair_edges = np.searchsorted(bucket[self.pw[self.pairs]], np.arange(buckets + 1))
+        to = np.full(len(self.leaf_mid), -1)
+        to[self.leaf_at] = self.leaf_to
+        self.own_type = to[self.leaf] < 0
+        at = np.flatnonzero(~self.own_type)
+        self.types = at[np.lexsort((self.w[at], to[self.leaf[at]], bucket[self.w[at]]))]
+        self.type_to = to[self.leaf[self.types]]
+        self.type_edges = np.searchsorted(bucket[self.w[self.types]], np.arange(buckets + 1))
+
+    _SAVED = ("size", "leaf", "w", "leaf_mid", "pair_of", "mid", "pw", "c", "mid_at", "mid_to", "leaf_at", "leaf_to")
+    _RISING = ("leaf", "leaf_mid", "mid")
 
     def save(self) -> bytes:
-        rising = {"leaf", "leaf_mid", "mid"}
-        kept = [np.diff(v, prepend=0) if n in rising else v for n in self._SAVED for v in (getattr(self, n),)]
-        return _pack(self.words, self.edges.astype(np.int64), self.chunks, self.docs, self.message, self.doc, *[k.astype(np.int32) for k in kept])
+        kept = [np.diff(v, prepend=0) if n in self._RISING else v for n in self._SAVED for v in (getattr(self, n),)]
+        below = np.diff(self.drawn_leaves, prepend=np.uint32(0)) & np.uint32((1 << LEAF_BITS) - 1)
+        return _pack(self.words, self.edges.astype(np.int64), self.chunks, self.docs, self.message, self.doc, self.mid_key, below, *[k.astype(np.int32) for k in kept])
 
     @classmethod
     def load(cls, data: bytes) -> Part:
         self = cls()
-        self.words, self.edges, self.chunks, self.docs, self.message, self.doc, *kept = _unpack(data)
+        self.words, self.edges, self.chunks, self.docs, self.message, self.doc, self.mid_key, below, *kept = _unpack(data)
+        self.drawn_leaves = np.cumsum(below, dtype=np.uint32) & np.uint32((1 << LEAF_BITS) - 1)
         for name, v in zip(cls._SAVED, kept, strict=True):
-            setattr(self, name, np.cumsum(v, dtype=np.int64) if name in ("leaf", "leaf_mid", "mid") else v)
+            setattr(self, name, np.cumsum(v, dtype=np.int64) if name in cls._RISING else v)
         self.c = self.c.astype(float)
-        self.mids = int(self.mid[-1]) + 1 if len(self.mid) else 0
+        self.mids = len(self.mid_key)
+        self._share()
         return self
 
     @property
@@ -524,58 +615,128 @@ class Part:
 
     def first(self) -> tuple[np.ndarray, np.ndarray]:
         """Every group at one table."""
-        t = (self.c > 0).astype(float)
-        return t, (np.bincount(self.pair_of, t, len(self.pw)) > 0).astype(float)
+        t = ((self.c > 0) & self.own_type).astype(float)
+        return t, ((np.bincount(self.pair_of, t, len(self.pw)) > 0) & self.own_pair).astype(float)
 
     def root_customers(self, state) -> np.ndarray:
         return np.bincount(self.pw, state[1], len(self.words))
 
-    def messages(self, state, counts: np.ndarray | None) -> Iterator[tuple[int, list[np.ndarray]]]:
+    def messages(self, state, counts: np.ndarray | None, tokens: np.ndarray | None = None) -> Iterator[tuple[int, list[np.ndarray]]]:
         """bucket and what is sent to it: codes, the root's customers and at first (without
-        counts) the training tokens, later only of words with two training tokens or more."""
+        counts) the training tokens; of shared middle restaurants the pairs, their customers and
+        at first their training tokens; of shared leaves the types and their customers. Later
+        only words and pairs with two training tokens (counts, tokens) or more are sent."""
         customers, first = self.root_customers(state).astype(np.int32), self.count.astype(np.int64)
+        if len(self.pairs):
+            of_pairs = np.bincount(self.pair_of, state[0], len(self.pw))[self.pairs].astype(np.int32)
+            trained = np.bincount(self.pair_of, self.c, len(self.pw))[self.pairs].astype(np.int64)
+            open_pair, open_type = self._open(tokens)
         for bucket in np.flatnonzero(np.diff(self.edges)).tolist():
             at = np.arange(self.edges[bucket], self.edges[bucket + 1])
-            if counts is None:
-                yield bucket, [self.words[at], customers[at], first[at]]
-            elif len(at := at[counts[at] >= 2]):
-                yield bucket, [self.words[at], customers[at]]
-
-    def in_middle(self, state, root: np.ndarray) -> np.ndarray:
+            if counts is not None:
+                at = at[counts[at] >= 2]
+                if not len(at):
+                    continue
+            shared = [np.empty(0, np.int64)] * (5 if counts is None else 4)
+            if len(self.pairs):
+                i, j = (np.arange(e[bucket], e[bucket + 1]) for e in (self.pair_edges, self.type_edges))
+                if counts is not None:
+                    i, j = i[open_pair[i]], j[open_type[j]]
+                key = lambda to, w: to.astype(np.int64) * len(at) + np.searchsorted(at, w)  # noqa: B023, E731
+                shared = [key(self.pair_to[i], self.pw[self.pairs[i]]), of_pairs[i]]
+                shared += [trained[i]] if counts is None else []
+                shared += [key(self.type_to[j], self.w[self.types[j]]), self.c[self.types[j]].astype(np.int64)]
+            yield bucket, [self.words[at], customers[at], *([first[at]] if counts is None else []), *shared]
+
+    def _open(self, tokens: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Shared pairs with two training tokens or more, and the types of such pairs."""
+        if tokens is None:
+            return np.ones(len(self.pairs), bool), np.ones(len(self.types), bool)
+        of_pair = np.zeros(len(self.pw), bool)
+        of_pair[self.pairs] = tokens >= 2
+        return tokens >= 2, of_pair[self.pair_of[self.types]]
+
+    def shared(self, got: list[list[list[np.ndarray]]], known: list[Root]) -> tuple[list[Shared], np.ndarray | None]:
+        """What the answers say of the shared restaurants after each sweep, and the training
+        tokens of the shared pairs."""
+        if not known or not len(self.pairs):
+            return [Shared()] * len(known), None
+        out, now, tokens = [], None, None
+        for root, each in zip(known, got, strict=True):
+            if now is None:
+                now = [np.concatenate([g[j] for g in each]).astype(float) for j in (3, 4, 6, 7)]
+                tokens = np.concatenate([g[5] for g in each])
+                opened = self._open(tokens)
+            else:
+                now = [x.copy() for x in now]
+                if each:
+                    for x, j in zip(now, (2, 3, 4, 5), strict=True):
+                        x[opened[j > 3]] = np.concatenate([g[j] for g in each])
+            out.append(Shared(now[:2], now[2:], root.mids[:, self.mid_to], root.leaves[:, self.leaf_to]))
+        return out, tokens
+
+    def in_middle(self, state, root: np.ndarray, shared: Shared | None = None) -> np.ndarray:
         """Predictive probability of each word in its middle restaurants."""
         t, tm = state
         customers = np.bincount(self.pair_of, t, len(self.pw))
-        tables, every = (np.bincount(self.mid, x, self.mids)[self.mid] for x in (tm, customers))
-        d, s = DISCOUNT[1], STRENGTH[1]
-        return (np.maximum(0, customers - d * tm) + (s + d * tables) * root[self.pw]) / (s + every)
-
-    def probabilities(self, state, root: np.ndarray) -> np.ndarray:
+        tables, every = (np.bincount(self.mid, x, self.mids) for x in (tm, customers))
+        if shared and len(self.pairs):
+            tm = tm.copy()
+            customers[self.pairs], tm[self.pairs] = shared.pairs
+            every[self.mid_at], tables[self.mid_at] = shared.mids
+        return seated(customers, tm, every[self.mid], tables[self.mid], root[self.pw], 1)
+
+    def probabilities(self, state, root: np.ndarray, shared: Shared | None = None) -> np.ndarray:
         """Predictive probability of each word in its leaf restaurants."""
-        d, s = DISCOUNT[0], STRENGTH[0]
-        tables = np.bincount(self.leaf, state[0], len(self.leaf_mid))[self.leaf]
-        return (np.maximum(0, self.c - d * state[0]) + (s + d * tables) * self.in_middle(state, root)[self.pair_of]) / (s + self.leaf_c[self.leaf])
-
-    def sweep(self, rng: np.random.Generator, state, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """New tables of all groups of leaves, then of middle restaurants."""
+        c, t, every = self.c, state[0], self.leaf_c
+        tables = np.bincount(self.leaf, t, len(self.leaf_mid))
+        if shared and len(self.types):
+            c, t = c.copy(), t.copy()
+            c[self.types], t[self.types] = shared.types
+            every[self.leaf_at], tables[self.leaf_at] = shared.leaves
+        return seated(c, t, every[self.leaf], tables[self.leaf], self.in_middle(state, root, shared)[self.pair_of], 0)
+
+    def sweep(self, k: int, state, root: np.ndarray, shared: Shared | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """New tables of all groups of the partition's own leaves, then middle restaurants."""
         t, tm = state[0].copy(), state[1]
-        some = np.flatnonzero(self.c >= 2)
+        some = np.flatnonzero((self.c >= 2) & self.own_type)
         if len(some):
             others = np.bincount(self.leaf, t, len(self.leaf_mid))[self.leaf[some]] - t[some]
-            t[some] = draw(rng, self.c[some], others, self.in_middle(state, root)[self.pair_of[some]], 0)
+            below = np.zeros(len(self.leaf_mid), np.uint32)
+            below[self._with_draws()] = self.drawn_leaves
+            u = uniform(leaf_group(self.mid_key[self.leaf_mid[self.leaf[some]]], below[self.leaf[some]]), self.words[self.w[some]], k, 0)
+            t[some] = drawn(u, self.c[some], others, self.in_middle(state, root, shared)[self.pair_of[some]], 0)
         customers = np.bincount(self.pair_of, t, len(self.pw))
         others = np.bincount(self.mid, tm, self.mids)[self.mid] - tm
-        tm = np.minimum(customers, 1.0)
-        some = np.flatnonzero(customers >= 2)
+        tm = np.minimum(customers, 1.0) * self.own_pair
+        some = np.flatnonzero((customers >= 2) & self.own_pair)
         if len(some):
-            tm[some] = draw(rng, customers[some], others[some], root[self.pw[some]], 1)
+            u = uniform(self.mid_key[self.mid[some]], self.words[self.pw[some]], k, 1)
+            tm[some] = drawn(u, customers[some], others[some], root[self.pw[some]], 1)
         return t, tm
 
-    def states(self, number: int, roots: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """The first state and the one after each sweep with the root's probabilities."""
+    def pack_state(self, state) -> bytes:
+        """What a sweep draws: tables of own groups of two customers or more."""
+        t, tm = state
+        customers = np.bincount(self.pair_of, t, len(self.pw))
+        return _pack(t[(self.c >= 2) & self.own_type].astype(np.int32), tm[(customers >= 2) & self.own_pair].astype(np.int32))
+
+    def unpack_state(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        of_leaves, of_mids = _unpack(data)
+        t, _ = self.first()
+        t[(self.c >= 2) & self.own_type] = of_leaves
+        customers = np.bincount(self.pair_of, t, len(self.pw))
+        tm = np.minimum(customers, 1.0) * self.own_pair
+        tm[(customers >= 2) & self.own_pair] = of_mids
+        return t, tm
+
+    def states(self, number: int, roots: list[np.ndarray], shared: list[Shared] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The first state and the one after each sweep with the root's probabilities and what
+        is known of shared restaurants, whatever the partition's number."""
         state = self.first()
         yield state
         for k, root in enumerate(roots):
-            state = self.sweep(np.random.default_rng([11, number, k]), state, root)
+            state = self.sweep(k, state, root, shared[k] if shared else None)
             yield state
 
 
@@ -583,51 +744,102 @@ def bucket_of(codes: np.ndarray, buckets: int) -> np.ndarray:
     return ((mix(codes) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
 
 
-def seated_root(bucket: int, sweep: int, messages: list[list[np.ndarray]], held: list[np.ndarray] | None, before: Root | None):
-    """The root's groups of one bucket of words, from what the partitions sent.
+def seated_root(bucket: int, sweep: int, messages: list[list[np.ndarray]], held: list | None, before: Root | None, busy: Busy | None = None):
+    """The groups of one bucket of words in shared leaves, then in shared middle restaurants,
+    then in the root, from what the partitions sent.
 
-    Gives state (codes, customers, tables, sums of the settled words), one answer for each
-    message (a word's customers and tables; at first also its training tokens), and the sums.
-    Words with fewer than two training tokens are settled at once and not sent again.
+    Gives state (codes, customers, tables; sums of the settled words, of shared pairs customers
+    and tables, of shared types tables, the words' tables in settled pairs, totals of the settled
+    pairs and types, totals), one answer for each
+    message (customers and tables of words, shared pairs and types; at first also the training
+    tokens of words and pairs), and the root's sums. Words and pairs with fewer than two training
+    tokens are settled at once and not sent again.
     """
+    first, busy = sweep == 0, busy or Busy({}, 1.0)
+    m_, l_ = len(busy.keys[0]), len(busy.keys[1])
     codes, at = np.unique(np.concatenate([m[0] for m in messages]), return_inverse=True)
-    customers = np.bincount(at, np.concatenate([m[1] for m in messages]), len(codes))
+    n = len(codes)
+    heres = np.split(at, np.cumsum([len(m[0]) for m in messages])[:-1])
+
+    def groups(j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Places and words of the groups with keys in the messages, and which each entry is."""
+        keys = [m[j] // max(1, len(m[0])) * n + h[m[j] % max(1, len(m[0]))] for m, h in zip(messages, heres, strict=True)]
+        found, which = np.unique(np.concatenate(keys).astype(np.int64), return_inverse=True)
+        return found, found // max(1, n), found % max(1, n), which
+
+    add = lambda which, j, size: np.bincount(which, np.concatenate([m[j] for m in messages]), size)
+    at_pair = 3 if first else 2
+    pairs, mid, word, of_pair = groups(at_pair)
+    types, leaf, type_word, of_type = groups(-2)
+    c = add(of_type, -1, len(types))
+    t = np.minimum(c, 1.0)
+    above = np.searchsorted(pairs, busy.leaf_mid[leaf] * n + type_word)
+    customers = add(at, 1, n)
+    pc = add(of_pair, at_pair + 1, len(pairs))
+    if before is not None and held is not None:
+        root = before.probabilities(held[1], held[2])
+        pc_, pt_, t_, below = held[3][1:5]
+        customers = customers + below
+        some = np.flatnonzero(c >= 2)
+        if len(some):
+            inside = seated(pc_, pt_, *before.mids[:, mid], root[word], 1)[above[some]]
+            u = uniform(leaf_group(busy.mid_key[busy.leaf_mid[leaf[some]]], busy.leaf_number[leaf[some]]), codes[type_word[some]], sweep - 1, 0)
+            t[some] = drawn(u, c[some], before.leaves[1, leaf[some]] - t_[some], inside, 0)
+    pc = pc + np.bincount(above, t, len(pairs))
+    pt = np.minimum(pc, 1.0)
+    some = np.flatnonzero(pc >= 2)
+    if before is not None and held is not None and len(some):
+        u = uniform(busy.mid_key[mid[some]], codes[word[some]], sweep - 1, 1)
+        pt[some] = drawn(u, pc[some], before.mids[1, mid[some]] - pt_[some], root[word[some]], 1)
+    customers = customers + np.bincount(word, pt, n)
     tables = np.minimum(customers, 1.0)
     some = np.flatnonzero(customers >= 2)
     if before is not None and len(some):
-        own = np.ones(len(codes)) if held is None else held[2]
-        tables[some] = draw(np.random.default_rng([12, bucket, sweep]), customers[some], before.tables - own[some], np.full(len(some), before.base), 2)
-    # words with two training tokens or more stay open
-    counts = np.bincount(at, np.concatenate([m[2] for m in messages]), len(codes)) if sweep == 0 else None
-    answers, start = [], 0
-    for m in messages:
-        here = at[start : start + len(m[0])]
-        start += len(m[0])
-        pair = [customers[here].astype(np.int32), tables[here].astype(np.int32)]
-        answers.append(pair if counts is None else [*pair, counts[here].astype(np.int64)])
-    if counts is None:
-        settled, state = held[3], [codes, customers, tables, held[3]]
+        own = np.ones(n) if held is None else held[2]
+        tables[some] = drawn(uniform(np.zeros(1, np.uint64), codes[some], sweep, 2), customers[some], before.tables - own[some], np.full(len(some), before.base), 2)
+    # words and pairs with two training tokens or more stay open
+    counts, trained = (add(at, 2, n), add(of_pair, 5, len(pairs))) if first else (None, None)
+    answers, starts = [], [0, 0]
+    for m, here in zip(messages, heres, strict=True):
+        i, j = (which[a : a + len(m[k])] for which, a, k in zip((of_pair, of_type), starts, (at_pair, -2), strict=True))
+        starts = [starts[0] + len(i), starts[1] + len(j)]
+        of_words = [customers[here].astype(np.int32), tables[here].astype(np.int32), *([counts[here].astype(np.int64)] if first else [])]
+        of_pairs = [pc[i].astype(np.int32), pt[i].astype(np.int32), *([trained[i].astype(np.int64)] if first else [])]
+        answers.append([*of_words, *of_pairs, c[j].astype(np.int64), t[j].astype(np.int32)])
+    sums = lambda i, j: np.concatenate([np.bincount(x[k], y[k], size) for x, k, ys, size in ((mid, i, (pc, pt), m_), (leaf, j, (c, t), l_)) for y in ys])
+    if first:
+        open_, open_pair = counts >= 2, trained >= 2
+        open_type = open_pair[above]
+        settled = np.array([customers[~open_].sum(), tables[~open_].sum()])
+        rest = [settled, pc[open_pair], pt[open_pair], t[open_type], np.bincount(word[~open_pair], pt[~open_pair], n)[open_], sums(~open_pair, ~open_type)]
+        state = [codes[open_], customers[open_], tables[open_], [*rest, sums(slice(None), slice(None))]]
+        every = (float(customers.sum()), float(tables.sum()), int((counts > 0).sum()), int(counts.sum()))
     else:
-        open_ = counts >= 2
-        settled = np.zeros(2)
-        state = [codes[open_], customers[open_], tables[open_], np.array([customers[~open_].sum(), tables[~open_].sum()])]
-    first = (0, 0) if counts is None else (int((counts > 0).sum()), int(counts.sum()))
-    every = (float(customers.sum() + settled[0]), float(tables.sum() + settled[1]), *first)
+        settled, closed = held[3][0], held[3][5]
+        state = [codes, customers, tables, [settled, pc, pt, t, below, closed, closed + sums(slice(None), slice(None))]]
+        every = (float(customers.sum() + settled[0]), float(tables.sum() + settled[1]), 0, 0)
     return state, answers, every
 
 
 # -- kernels ---------------------------------------------------------------------------
 
-ROOT = "bucket int, part int, sweep int, body binary, customers double, tables double, vocabulary long, tokens long"
+ROOT = "bucket int, part int, sweep int, body binary, customers double, tables double, vocabulary long, tokens long, totals array<double>"
 
 
-def _answers(right: pa.Table, known: list[Root]) -> tuple[list[np.ndarray], np.ndarray | None]:
-    """The root's probabilities after each sweep in the order of the words, and their counts."""
+def _answers(one: Part, right: pa.Table, known: list[Root]):
+    """After the sweeps in right (the first, and later ones) the root's probabilities in the order
+    of the words, and their counts; what is shared, and its pairs' training tokens; the states."""
     rows = sorted(right.select(["sweep", "bucket", "body"]).to_pylist(), key=lambda r: (r["sweep"], r["bucket"]))
-    got: list[list[list[np.ndarray]]] = [[] for _ in known]
+    sweeps = sorted({r["sweep"] for r in rows})
+    got: list[list[list[np.ndarray]]] = [[] for _ in sweeps]
+    states = []
     for r in rows:
-        got[r["sweep"]].append(_unpack(r["body"]))
-    return told(got, known)
+        if r["bucket"] < 0:
+            states.append(one.unpack_state(r["body"]))
+        else:
+            got[sweeps.index(r["sweep"])].append(_unpack(r["body"]))
+    known = [known[k] for k in sweeps]
+    return *told(got, known), *one.shared(got, known), states
 
 
 def told(got: list[list[list[np.ndarray]]], known: list[Root]) -> tuple[list[np.ndarray], np.ndarray | None]:
@@ -645,14 +857,14 @@ def told(got: list[list[list[np.ndarray]]], known: list[Root]) -> tuple[list[np.
     return roots, counts
 
 
-def _preparing(buckets: int, common):
+def _preparing(buckets: int, common, busy: Busy):
     """The messages of a partition to one row, the counted partition."""
 
     def run(left: pa.Table) -> pa.Table:
         rows = sorted(left.to_pylist(), key=lambda r: r["chunk"])
         if rows[0]["part"] < 0:
             return left.select(["part", "chunk", "body"])
-        one = Part.of([_unpack(r["body"]) for r in rows], [r["chunk"] for r in rows], buckets, common.value)
+        one = Part.of([_unpack(r["body"]) for r in rows], [r["chunk"] for r in rows], buckets, common.value, busy)
         body = one.save()
         release()
         return pa.table({"part": pa.array([rows[0]["part"]], pa.int32()), "chunk": pa.array([None], pa.int64()), "body": pa.array([body], pa.binary())})
@@ -665,16 +877,17 @@ def _counted(left: pa.Table) -> tuple[int, Part]:
 
 
 def _sending(known: list[Root]):
-    """A partition's customers of the root after as many sweeps as the root has answered."""
+    """What a partition sends after as many sweeps as the buckets have answered, and its state
+    (to a bucket below zero, that sends it back)."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         number, one = _counted(left)
-        roots, counts = _answers(right, known)
-        state = None
-        for state in one.states(number, roots):
-            pass
-        at, body = [], []
-        for bucket, message in one.messages(state, counts):
+        roots, counts, shared, tokens, states = _answers(one, right, known)
+        state = one.sweep(len(known) - 1, states[-1], roots[-1], shared[-1]) if known else one.first()
+        at, body = [-1 - number], [one.pack_state(state)]
+        for bucket, message in one.messages(state, counts, tokens):
+            for j in (3 if counts is None else 2, -2):
+                message[j] = np.diff(message[j], prepend=0)
             at.append(bucket)
             body.append(_pack(_steps(message[0]), *message[1:]))
         release()
@@ -683,29 +896,30 @@ def _sending(known: list[Root]):
     return run
 
 
-def _seating(sweep: int, before: Root | None):
+def _seating(sweep: int, before: Root | None, busy: Busy):
     """Rows of a bucket (the state of the sweep before has part -1) to its answers and state."""
 
+    def rows_of(bucket: int, parts: list[int], body: list[bytes], sums: tuple, totals: list[float] | None) -> pa.RecordBatch:
+        """The last of the rows has the sums."""
+        n = len(parts)
+        last = [pa.array([zero] * (n - 1) + [v], kind) for v, zero, kind in zip(sums, (0.0, 0.0, 0, 0), (pa.float64(),) * 2 + (pa.int64(),) * 2, strict=True)]
+        columns = [pa.array([bucket] * n, pa.int32()), pa.array(parts, pa.int32()), pa.array([sweep] * n, pa.int32()), pa.array(body, pa.binary()), *last, pa.array([None] * (n - 1) + [totals], pa.list_(pa.float64()))]
+        return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in ROOT.split(", ")])
+
     def work(bucket: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-        # of the sweep before, the tables and the settled words' sums
-        held = next(([None, None, *_unpack(body)] for part, body in rows if part < 0), None)
+        if bucket < 0:  # the state of a partition
+            return rows_of(bucket, [rows[0][0]], [rows[0][1]], (0.0, 0.0, 0, 0), None)
+        # of the sweep before, without the codes of the words
+        held = next(([None, x[0].astype(float), x[1].astype(float), [x[2], *(y.astype(float) for y in x[3:7]), x[7]]] for part, body in rows if part < 0 for x in (_unpack(body),)), None)
         sent = [(part, _unpack(body)) for part, body in rows if part >= 0]
         for _, m in sent:
             m[0] = np.cumsum(m[0], dtype=np.uint64)
-        state, answers, sums = seated_root(bucket, sweep, [m for _, m in sent], held, before)
-        n = len(sent)
-        return pa.RecordBatch.from_pydict(
-            {
-                "bucket": pa.array([bucket] * (n + 1), pa.int32()),
-                "part": pa.array([*[p for p, _ in sent], -1], pa.int32()),
-                "sweep": pa.array([sweep] * (n + 1), pa.int32()),
-                "body": pa.array([*[_pack(*a) for a in answers], _pack(state[2].astype(np.int32), state[3])], pa.binary()),
-                "customers": pa.array([0.0] * n + [sums[0]], pa.float64()),
-                "tables": pa.array([0.0] * n + [sums[1]], pa.float64()),
-                "vocabulary": pa.array([0] * n + [sums[2]], pa.int64()),
-                "tokens": pa.array([0] * n + [sums[3]], pa.int64()),
-            }
-        )
+            for j in (3 if sweep == 0 else 2, -2):
+                m[j] = np.cumsum(m[j])
+        state, answers, sums = seated_root(bucket, sweep, [m for _, m in sent], held, before, busy)
+        settled, *shared, closed, totals = state[3]
+        body = _pack(state[1].astype(np.int32), state[2].astype(np.int32), settled, *(x.astype(np.int32) for x in shared), closed)
+        return rows_of(bucket, [*[p for p, _ in sent], -1], [*[_pack(*a) for a in answers], body], sums, totals.tolist())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
@@ -729,12 +943,11 @@ def _scoring(known: list[Root]):
     """Sums of the log probabilities of a partition's tokens for the documents of each chunk."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        number, one = _counted(left)
-        roots, count = _answers(right, known)
+        _, one = _counted(left)
+        roots, count, shared, _, states = _answers(one, right, known)
         p = np.zeros(len(one.w))
-        for k, state in enumerate(one.states(number, roots)):
-            if k > BURN_IN:
-                p += one.probabilities(state, roots[min(k, len(roots) - 1)])
+        for state, root, told_shared in zip(states, roots[-SAMPLES:], shared[-SAMPLES:], strict=True):
+            p += one.probabilities(state, root, told_shared)
         sums = [one.sums(v) for v in (np.log10(p / SAMPLES), np.log10(count + 0.1)[one.w], (count > 0)[one.w])]
         body = [_pack(a, b, c.astype(np.int32)) for a, b, c in zip(*sums, strict=True)]
         n = len(one.chunks)
@@ -815,6 +1028,16 @@ def _bucketed(parts: DataFrame, buckets: int) -> tuple[DataFrame, str]:
     return spark.table(name), name
 
 
+def _totals(got: DataFrame, busy: Busy) -> list[np.ndarray]:
+    """Customers and tables of the shared middle restaurants and leaves, summed over the buckets."""
+    m, n = len(busy.keys[0]), len(busy.keys[1])
+    every = np.zeros(2 * (m + n))
+    if m:
+        for r in got.filter("part < 0").select(F.posexplode("totals")).groupBy("pos").agg(F.sum("col").alias("x")).collect():
+            every[r["pos"]] = r["x"]
+    return [every[: 2 * m].reshape(2, m), every[2 * m :].reshape(2, n)]
+
+
 def scored(docs: DataFrame, held_out, part_tokens: int = PART_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
@@ -829,20 +1052,26 @@ def scored(docs: DataFrame, held_out, part_tokens: int = PART_TOKENS) -> DataFra
     buckets = max(8, parts // 4)
     packed = source.mapInArrow(tidy(_chunks(parts, busy, common)), "part int, chunk long, body binary").repartition(parts, "part")
     # the rows of chunks (each a part below zero) pass through unchanged
-    counted, name = _bucketed(packed.groupBy("part").applyInArrow(_preparing(buckets, sent_common), "part int, chunk long, body binary"), parts)
+    counted, name = _bucketed(packed.groupBy("part").applyInArrow(_preparing(buckets, sent_common, busy), "part int, chunk long, body binary"), parts)
     spark.sparkContext._jvm.System.gc()  # what the shuffle left behind can go
     body = counted.filter("part >= 0").select("part", "body").groupBy("part")
-    answers, state, known, train = spark.createDataFrame([], ROOT), None, [], 0
-    for sweep in range(BURN_IN + SAMPLES):
+    answers, state, known, train, every = spark.createDataFrame([], ROOT), None, [], 0, []
+    for sweep in range(1 + BURN_IN + SAMPLES):
         sent = body.cogroup(answers.groupBy("part")).applyInArrow(_sending(list(known)), "bucket int, part int, body binary")
         sent = sent if state is None else sent.unionByName(state)
-        got = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket", "part").mapInArrow(tidy(_seating(sweep, known[-1] if known else None)), ROOT)
+        got = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket", "part").mapInArrow(tidy(_seating(sweep, known[-1] if known else None, busy)), ROOT)
         got = written(got, f"root-{sweep}")
+        spark.sparkContext._jvm.System.gc()
         sums = got.agg(F.sum("customers").alias("c"), F.sum("tables").alias("t"), F.sum("vocabulary").alias("v"), F.sum("tokens").alias("n")).first()
         train = train if known else sums["n"] or 0
-        known.append(Root(sums["c"] or 0.0, sums["t"] or 0.0, known[0].vocabulary if known else sums["v"] or 0))
+        known.append(Root(sums["c"] or 0.0, sums["t"] or 0.0, known[0].vocabulary if known else sums["v"] or 0, *_totals(got, busy)))
         state = got.filter("part < 0").select("bucket", "part", "body")
-        answers = answers.unionByName(got.filter("part >= 0")) if sweep else got.filter("part >= 0")
+        every.append(got.filter("part >= 0"))
+        # the first answers tell of settled words too
+        answers = every[0].unionByName(every[-1]) if sweep else every[0]
+    answers = every[0].filter("bucket >= 0")
+    for got in every[-SAMPLES:]:
+        answers = answers.unionByName(got)
     sums = body.cogroup(answers.groupBy("part")).applyInArrow(_scoring(known), SUMS)
     ids = counted.filter("part < 0").select("chunk", F.lit(True).alias("ids"), "body")
     both = ids.unionByName(sums).repartition(parts, "chunk").sortWithinPartitions("chunk", F.col("ids").desc())
