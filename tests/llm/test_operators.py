@@ -465,6 +465,21 @@ def test_language_model_does_not_depend_on_partitions(spark, monkeypatch):
         assert abs(score - many[i][0]) < 1e-6 and abs(base - many[i][1]) < 1e-6
 
 
+def test_language_model_splits_as_common_words():
+    """Also slices of a batch, as long batches are cut; and nulls, other spaces and odd characters."""
+    texts = [" one  Two\x0bthree\x0c", None, "", "  \t\r\n", "É\x85a\x1cB c", "x\u2003y İZ", *[f"A{chr(i)}b" for i in range(1, 0x300)], "last One "] * 3
+    for kind in (pa.string(), pa.large_string()):
+        whole = pa.array(texts).cast(kind)
+        for start, n in ((0, len(texts)), (3, 900), (901, 700), (len(texts) - 1, 1)):
+            for sliced in (whole.slice(start, n), pa.array(texts).slice(start, n).cast(kind)):
+                flat, counts = pitman_yor.split(sliced)
+                want = [words(t) for t in texts[start : start + n]]
+                assert counts.tolist() == [len(w) + 1 for w in want]
+                assert flat.cast(pa.large_binary()).to_pylist() == [x for w in want for x in w]
+                numbers, codes = pitman_yor.tokens([flat], counts)
+                assert codes[numbers].tolist() == [c for w in want for c in [*map(pitman_yor.xxhash.xxh3_64_intdigest, w), pitman_yor.END]]
+
+
 def test_quality_learns_and_defines_cases(spark, docs, labels):
     good = [(i, f"the quick {i} fox jumps over the lazy dog number {i}", 1) for i in range(100, 220)]
     bad = [(i, f"BUY!! {i} NOW!! CHEAP!! $$$ DEAL!!", 0) for i in range(300, 420)]

@@ -77,12 +77,18 @@ def tidy(run, keeps: str = ""):
 
 
 def release() -> None:
-    import ctypes
     import gc
 
+    gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Return freed memory to the system, without a search for cycles."""
+    import ctypes
+
     import pyarrow as pa
 
-    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

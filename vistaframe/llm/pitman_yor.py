@@ -55,6 +55,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -62,7 +63,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import crc_fold, mix, release, scratch, table, tidy, words, written
+from .common import crc_fold, mix, scratch, table, tidy, trim, written
 
 END = xxhash.xxh3_64_intdigest(b" end")
 BEGIN = xxhash.xxh3_64_intdigest(b" begin")
@@ -70,7 +71,7 @@ BEGIN = xxhash.xxh3_64_intdigest(b" begin")
 DISCOUNT, STRENGTH = (0.8, 0.8, 0.7), (2.0, 5.0, 20.0)
 BURN_IN, SAMPLES = 1, 2
 STIRLING = 1024
-CHUNK_TOKENS, CHUNK_DOCS, PART_TOKENS, WORDS_KEPT = 1_000_000, 30_000, 1_000_000, 100_000
+CHUNK_TOKENS, CHUNK_DOCS, PART_TOKENS = 1_000_000, 30_000, 1_000_000
 #: A middle restaurant with more than this share of a partition's tokens is opened as rooms.
 ROOM = 1 / 8
 #: Words that travel as numbers; bits that tell leaves of a middle restaurant apart.
@@ -115,32 +116,32 @@ def _rising(keys: np.ndarray) -> np.ndarray:
     return np.sort((keys.astype(np.int64) << bits) | np.arange(len(keys))) & ((1 << bits) - 1)
 
 
-class Numbers(dict):
-    """Dense numbers of words, with their 64-bit codes; 0 is the end, 1 the beginning."""
-
-    def __init__(self):
-        super().__init__()
-        self.codes = [END, BEGIN]
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self.codes)
-        self.codes.append(xxhash.xxh3_64_intdigest(word))
-        return n
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts (as common.words), and the tokens of each text, its end with them."""
+    # a copy, as ascii_lower misreads a cast slice
+    texts = pa.concat_arrays([texts, texts.slice(0, 0)]).fill_null("").cast(pa.large_string())
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat, edges = lists.flatten(), lists.offsets.to_numpy()
+    counts = np.diff(edges) + 1
+    # an empty word stands before leading space and after trailing
+    full = pc.not_equal(pc.binary_length(flat), 0)
+    none = np.flatnonzero(~full.to_numpy(zero_copy_only=False))
+    if len(none):
+        counts -= np.bincount(np.searchsorted(edges, none, "right") - 1, minlength=len(counts))
+        flat = flat.filter(full)
+    return flat, counts
 
 
-def tokens(texts: list[str | None], numbers: Numbers) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the words of all texts, each text with its end, and the sizes."""
-    lists = [words(t) for t in texts]
-    counts = np.fromiter(map(len, lists), np.int64, len(lists)) + 1
-    size = int(counts.sum())
-    flat = np.zeros(size, np.int32)
-    inner = np.ones(size, bool)
+def tokens(words: list[pa.Array], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Dense numbers of all tokens, and the 64-bit codes of the numbers; 0 is the end, 1 the beginning."""
+    flat = np.zeros(int(counts.sum()), np.int32)
+    inner = np.ones(len(flat), bool)
     inner[np.cumsum(counts) - 1] = False
-    # each different word is looked up once, in the order in which they come
-    coded = pa.array(list(chain.from_iterable(lists)), pa.large_binary()).dictionary_encode()
-    own = np.fromiter(map(numbers.__getitem__, coded.dictionary.to_pylist()), np.int32, len(coded.dictionary))
-    flat[inner] = own[coded.indices.to_numpy()]
-    return flat, counts
+    # each different word is hashed once
+    coded = pa.concat_arrays(words).dictionary_encode()
+    own = coded.dictionary.cast(pa.large_binary()).to_pylist()
+    flat[inner] = coded.indices.to_numpy() + 2
+    return flat, np.fromiter(chain((END, BEGIN), map(xxhash.xxh3_64_intdigest, own)), np.uint64, len(own) + 2)
 
 
 def contexts(flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,10 +229,10 @@ def _counting(share: float):
     def out(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(3)], names=names)
 
-    def found(rows: list, numbers: Numbers) -> pa.RecordBatch:
-        flat, counts = (np.concatenate([r[j] for r in rows]) for j in (0, 1))
+    def found(rows: list) -> pa.RecordBatch:
+        counts = np.concatenate([r[1] for r in rows])
+        flat, codes = tokens([r[0] for r in rows], counts)
         before, earlier = contexts(flat, counts)
-        codes = np.array(numbers.codes, np.uint64)
         least = share * len(flat) / 4
         n = np.bincount(before, minlength=len(codes))
         often = n > least
@@ -244,18 +245,16 @@ def _counting(share: float):
         return out(got + [(1, k, c) for k, c in zip(key.astype(np.int64).tolist(), m.tolist(), strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, rows, size, total = Numbers(), [], 0, 0
+        rows, size, total = [], 0, 0
         for batch in batches:
-            flat, counts = tokens(batch.column("text").to_pylist(), numbers)
-            rows.append((flat, counts))
-            size, total = size + len(flat), total + len(flat)
+            rows.append(split(batch.column("text")))
+            n = int(rows[-1][1].sum())
+            size, total = size + n, total + n
             if size >= CHUNK_TOKENS:
-                yield found(rows, numbers)
+                yield found(rows)
                 rows, size = [], 0
-                if len(numbers) > WORDS_KEPT:
-                    numbers = Numbers()
         if rows:
-            yield found(rows, numbers)
+            yield found(rows)
         yield out([(-1, None, total)])
 
     return run
@@ -274,11 +273,12 @@ def _chunks(parts: int, busy: Busy, common: np.ndarray):
     rising = np.argsort(common)
     known = common[rising]
 
-    def emit(name: int, rows: list, numbers: Numbers) -> pa.RecordBatch:
-        flat, counts = (np.concatenate([r[j] for r in rows]) for j in (0, 1))
+    def emit(name: int, rows: list) -> pa.RecordBatch:
+        counts = np.concatenate([r[1] for r in rows])
         ids = [i for r in rows for i in r[2]]
         held = np.concatenate([r[3] for r in rows])
-        codes = np.array(numbers.codes, np.uint64)
+        flat, codes = tokens([r[0] for r in rows], counts)
+        rows.clear()
         before, earlier = contexts(flat, counts)
         doc = np.repeat(np.arange(len(counts), dtype=np.uint16) | (held * np.uint16(_HELD)), counts)
         place = np.empty(len(codes), np.int64)
@@ -325,20 +325,17 @@ def _chunks(parts: int, busy: Busy, common: np.ndarray):
         return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([name] * len(to), pa.int64()), pa.array(body, pa.binary())], names=["part", "chunk", "body"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, rows, size, docs, made = Numbers(), [], 0, 0, 0
+        rows, size, docs, made = [], 0, 0, 0
         task = TaskContext.get().partitionId() << 32
         for batch in batches:
             ids, held = batch.column("doc_id").to_pylist(), np.array(batch.column("held_out").to_pylist(), bool)
-            flat, counts = tokens(batch.column("text").to_pylist(), numbers)
-            rows.append((flat, counts, ids, held))
-            size, docs = size + len(flat), docs + len(ids)
+            rows.append((*split(batch.column("text")), ids, held))
+            size, docs = size + int(rows[-1][1].sum()), docs + len(ids)
             if size >= CHUNK_TOKENS or docs >= CHUNK_DOCS:
-                yield emit(task + made, rows, numbers)
+                yield emit(task + made, rows)
                 rows, size, docs, made = [], 0, 0, made + 1
-                if len(numbers) > WORDS_KEPT:
-                    numbers = Numbers()
         if docs:
-            yield emit(task + made, rows, numbers)
+            yield emit(task + made, rows)
 
     return run
 
@@ -576,13 +573,18 @@ class Part:
         self.type_to = to[self.leaf[self.types]]
         self.type_edges = np.searchsorted(bucket[self.w[self.types]], np.arange(buckets + 1))
 
-    _SAVED = ("size", "leaf", "w", "leaf_mid", "pair_of", "mid", "pw", "c", "mid_at", "mid_to", "leaf_at", "leaf_to")
+    _SAVED = ("size", "leaf", "leaf_mid", "pair_in_mid", "mid", "pw", "c", "mid_at", "mid_to", "leaf_at", "leaf_to")
     _RISING = ("leaf", "leaf_mid", "mid")
 
+    def _first_pair(self) -> np.ndarray:
+        """Of the middle restaurant of each type."""
+        return np.searchsorted(self.mid, np.arange(self.mids))[self.leaf_mid[self.leaf]]
+
     def save(self) -> bytes:
+        self.pair_in_mid = self.pair_of - self._first_pair()
         kept = [np.diff(v, prepend=0) if n in self._RISING else v for n in self._SAVED for v in (getattr(self, n),)]
         below = np.diff(self.drawn_leaves, prepend=np.uint32(0)) & np.uint32((1 << LEAF_BITS) - 1)
-        return _pack(self.words, self.edges.astype(np.int64), self.chunks, self.docs, self.message, self.doc, self.mid_key, below, *[k.astype(np.int32) for k in kept])
+        return _pack(_steps(self.words), self.edges.astype(np.int64), self.chunks, self.docs, self.message, self.doc, self.mid_key, below, *[k.astype(np.int32) for k in kept])
 
     @classmethod
     def load(cls, data: bytes) -> Part:
@@ -592,7 +594,9 @@ class Part:
         for name, v in zip(cls._SAVED, kept, strict=True):
             setattr(self, name, np.cumsum(v, dtype=np.int64) if name in cls._RISING else v)
         self.c = self.c.astype(float)
-        self.mids = len(self.mid_key)
+        self.mids, self.words = len(self.mid_key), np.cumsum(self.words, dtype=np.uint64)
+        self.pair_of = self.pair_in_mid + self._first_pair()
+        self.w = self.pw[self.pair_of]
         self._share()
         return self
 
@@ -866,7 +870,7 @@ def _preparing(buckets: int, common, busy: Busy):
             return left.select(["part", "chunk", "body"])
         one = Part.of([_unpack(r["body"]) for r in rows], [r["chunk"] for r in rows], buckets, common.value, busy)
         body = one.save()
-        release()
+        trim()
         return pa.table({"part": pa.array([rows[0]["part"]], pa.int32()), "chunk": pa.array([None], pa.int64()), "body": pa.array([body], pa.binary())})
 
     return run
@@ -890,7 +894,7 @@ def _sending(known: list[Root]):
                 message[j] = np.diff(message[j], prepend=0)
             at.append(bucket)
             body.append(_pack(_steps(message[0]), *message[1:]))
-        release()
+        trim()
         return pa.table({"bucket": pa.array(at, pa.int32()), "part": pa.array([number] * len(at), pa.int32()), "body": pa.array(body, pa.binary())})
 
     return run
@@ -951,7 +955,7 @@ def _scoring(known: list[Root]):
         sums = [one.sums(v) for v in (np.log10(p / SAMPLES), np.log10(count + 0.1)[one.w], (count > 0)[one.w])]
         body = [_pack(a, b, c.astype(np.int32)) for a, b, c in zip(*sums, strict=True)]
         n = len(one.chunks)
-        release()
+        trim()
         return pa.table({"chunk": pa.array(one.chunks, pa.int64()), "ids": pa.array([False] * n), "body": pa.array(body, pa.binary())})
 
     return run
