@@ -480,6 +480,14 @@ def test_language_model_splits_as_common_words():
                 assert codes[numbers].tolist() == [c for w in want for c in [*map(pitman_yor.xxhash.xxh3_64_intdigest, w), pitman_yor.END]]
 
 
+def test_language_model_of_words_that_occur_once(spark):
+    """Buckets of words that get no message in later sweeps, or none at all."""
+    for text, n in (("a b c", 4), (None, 1)):
+        rows = pitman_yor.scored(spark.createDataFrame([(1, text)], "doc_id long, text string"), F.lit(False)).collect()
+        assert [(r.doc_id, r.n_tokens, r.n_known, r.train_tokens) for r in rows] == [(1, n, n, n)]
+        assert rows[0].score < 0 and math.isfinite(rows[0].score)
+
+
 def test_quality_learns_and_defines_cases(spark, docs, labels):
     good = [(i, f"the quick {i} fox jumps over the lazy dog number {i}", 1) for i in range(100, 220)]
     bad = [(i, f"BUY!! {i} NOW!! CHEAP!! $$$ DEAL!!", 0) for i in range(300, 420)]

@@ -748,6 +748,10 @@ def bucket_of(codes: np.ndarray, buckets: int) -> np.ndarray:
     return ((mix(codes) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
 
 
+def _joined(arrays: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate(arrays) if arrays else np.empty(0, np.int64)
+
+
 def seated_root(bucket: int, sweep: int, messages: list[list[np.ndarray]], held: list | None, before: Root | None, busy: Busy | None = None):
     """The groups of one bucket of words in shared leaves, then in shared middle restaurants,
     then in the root, from what the partitions sent.
@@ -761,17 +765,17 @@ def seated_root(bucket: int, sweep: int, messages: list[list[np.ndarray]], held:
     """
     first, busy = sweep == 0, busy or Busy({}, 1.0)
     m_, l_ = len(busy.keys[0]), len(busy.keys[1])
-    codes, at = np.unique(np.concatenate([m[0] for m in messages]), return_inverse=True)
+    codes, at = np.unique(_joined([m[0] for m in messages]).astype(np.uint64), return_inverse=True)
     n = len(codes)
-    heres = np.split(at, np.cumsum([len(m[0]) for m in messages])[:-1])
+    heres = np.split(at, np.cumsum([len(m[0]) for m in messages])[:-1])[: len(messages)]
 
     def groups(j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Places and words of the groups with keys in the messages, and which each entry is."""
         keys = [m[j] // max(1, len(m[0])) * n + h[m[j] % max(1, len(m[0]))] for m, h in zip(messages, heres, strict=True)]
-        found, which = np.unique(np.concatenate(keys).astype(np.int64), return_inverse=True)
+        found, which = np.unique(_joined(keys).astype(np.int64), return_inverse=True)
         return found, found // max(1, n), found % max(1, n), which
 
-    add = lambda which, j, size: np.bincount(which, np.concatenate([m[j] for m in messages]), size)
+    add = lambda which, j, size: np.bincount(which, _joined([m[j] for m in messages]), size)
     at_pair = 3 if first else 2
     pairs, mid, word, of_pair = groups(at_pair)
     types, leaf, type_word, of_type = groups(-2)
@@ -882,39 +886,38 @@ def _counted(left: pa.Table) -> tuple[int, Part]:
 
 def _sending(known: list[Root]):
     """What a partition sends after as many sweeps as the buckets have answered, and its state
-    (to a bucket below zero, that sends it back)."""
+    (as part -2 - number, that a bucket sends back)."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         number, one = _counted(left)
         roots, counts, shared, tokens, states = _answers(one, right, known)
         state = one.sweep(len(known) - 1, states[-1], roots[-1], shared[-1]) if known else one.first()
-        at, body = [-1 - number], [one.pack_state(state)]
+        at, body = [number % (len(one.edges) - 1)], [one.pack_state(state)]
         for bucket, message in one.messages(state, counts, tokens):
             for j in (3 if counts is None else 2, -2):
                 message[j] = np.diff(message[j], prepend=0)
             at.append(bucket)
             body.append(_pack(_steps(message[0]), *message[1:]))
         trim()
-        return pa.table({"bucket": pa.array(at, pa.int32()), "part": pa.array([number] * len(at), pa.int32()), "body": pa.array(body, pa.binary())})
+        return pa.table({"bucket": pa.array(at, pa.int32()), "part": pa.array([-2 - number] + [number] * (len(at) - 1), pa.int32()), "body": pa.array(body, pa.binary())})
 
     return run
 
 
 def _seating(sweep: int, before: Root | None, busy: Busy):
-    """Rows of a bucket (the state of the sweep before has part -1) to its answers and state."""
+    """Rows of a bucket (the state of the sweep before has part -1, those of partitions lie below)
+    to its answers and state; the states of partitions go back with a bucket below zero."""
 
-    def rows_of(bucket: int, parts: list[int], body: list[bytes], sums: tuple, totals: list[float] | None) -> pa.RecordBatch:
+    def rows_of(bucket: list[int], parts: list[int], body: list[bytes], sums: tuple, totals: list[float]) -> pa.RecordBatch:
         """The last of the rows has the sums."""
         n = len(parts)
         last = [pa.array([zero] * (n - 1) + [v], kind) for v, zero, kind in zip(sums, (0.0, 0.0, 0, 0), (pa.float64(),) * 2 + (pa.int64(),) * 2, strict=True)]
-        columns = [pa.array([bucket] * n, pa.int32()), pa.array(parts, pa.int32()), pa.array([sweep] * n, pa.int32()), pa.array(body, pa.binary()), *last, pa.array([None] * (n - 1) + [totals], pa.list_(pa.float64()))]
+        columns = [pa.array(bucket, pa.int32()), pa.array(parts, pa.int32()), pa.array([sweep] * n, pa.int32()), pa.array(body, pa.binary()), *last, pa.array([None] * (n - 1) + [totals], pa.list_(pa.float64()))]
         return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in ROOT.split(", ")])
 
     def work(bucket: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-        if bucket < 0:  # the state of a partition
-            return rows_of(bucket, [rows[0][0]], [rows[0][1]], (0.0, 0.0, 0, 0), None)
         # of the sweep before, without the codes of the words
-        held = next(([None, x[0].astype(float), x[1].astype(float), [x[2], *(y.astype(float) for y in x[3:7]), x[7]]] for part, body in rows if part < 0 for x in (_unpack(body),)), None)
+        held = next(([None, x[0].astype(float), x[1].astype(float), [x[2], *(y.astype(float) for y in x[3:7]), x[7]]] for part, body in rows if part == -1 for x in (_unpack(body),)), None)
         sent = [(part, _unpack(body)) for part, body in rows if part >= 0]
         for _, m in sent:
             m[0] = np.cumsum(m[0], dtype=np.uint64)
@@ -923,7 +926,9 @@ def _seating(sweep: int, before: Root | None, busy: Busy):
         state, answers, sums = seated_root(bucket, sweep, [m for _, m in sent], held, before, busy)
         settled, *shared, closed, totals = state[3]
         body = _pack(state[1].astype(np.int32), state[2].astype(np.int32), settled, *(x.astype(np.int32) for x in shared), closed)
-        return rows_of(bucket, [*[p for p, _ in sent], -1], [*[_pack(*a) for a in answers], body], sums, totals.tolist())
+        back = [(-2 - part, b) for part, b in rows if part < -1]
+        buckets, parts = [-1 - bucket] * len(back) + [bucket] * (len(sent) + 1), [p for p, _ in back + sent]
+        return rows_of(buckets, [*parts, -1], [*[b for _, b in back], *[_pack(*a) for a in answers], body], sums, totals.tolist())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
